@@ -54,6 +54,7 @@ class Scratch:
         path = f"{self.root}/{name}"
         writer = df.write.mode("overwrite")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+        self.spark._jvm.System.gc()  # Spark's cleaner then frees the shuffle files of finished phases
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.llm import simhash
+from quillmark.llm import simhash, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,9 +17,10 @@ def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 def queries() -> dict[str, Query]:
     return {
+        "op6_substring_dedup": _over("documents", substrings.op6),
         "op8_simhash_near_dedup": _over("documents", simhash.op8),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_substring_dedup": substrings.OP6_SQL}
