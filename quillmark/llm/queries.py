@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.llm import simhash, substrings
+from quillmark.llm import lines, mixing, packing, simhash, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,10 +17,13 @@ def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_mixing": _over("documents", mixing.op1),
         "op6_substring_dedup": _over("documents", substrings.op6),
+        "op7_packing": _over("documents", packing.op7),
         "op8_simhash_near_dedup": _over("documents", simhash.op8),
+        "op10_line_dedup": _over("documents", lines.op10),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_substring_dedup": substrings.OP6_SQL}
+    return {"op6_substring_dedup": substrings.OP6_SQL, "op10_line_dedup": lines.OP10_SQL}

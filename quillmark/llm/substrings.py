@@ -10,6 +10,10 @@ one document are candidates. Candidates are verified on the text: the windows th
 hashed whole (96 bits), and a window is repeated if a document with a smaller id has the same hash.
 When ``fanout`` runs have gathered they are compacted into one.
 
+A row whose whole text stands under a smaller id has all its windows there, so it needs no
+verification. Verified windows are matched in ``slices`` of the hash, one after another, which bounds the
+shuffle files that lie on disk at once.
+
 Every group is reduced by partial aggregates before it is shuffled and joined back with a
 join whose large keys Spark can split; none is collected.
 """
@@ -28,6 +32,8 @@ from pyspark.sql import functions as F
 from quillmark.llm.common import Scratch, did, undid
 
 WINDOW, GRAM = 13, 6
+#: In place of a start: every window of the row.
+ALL = -1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -107,6 +113,11 @@ class FingerprintLog:
             self.compact()
         return found
 
+    def drop(self) -> None:
+        """Deletes the index."""
+        self.scratch.drop(*(name for name, _ in self.runs))
+        self.runs = []
+
     def compact(self) -> None:
         """Merges all runs into one."""
         old, self.runs = self.runs, []
@@ -137,6 +148,8 @@ def _windows(window: int, gram: int):
 
 def _covered(at: list[int], window: int, n: int) -> np.ndarray:
     """Which of n words the windows that start at the positions cover."""
+    if at[0] == ALL:
+        return np.full(n, n >= window)
     edge = np.zeros(n + 1, np.int64)
     np.add.at(edge, at, 1)
     np.add.at(edge, np.minimum(np.array(at) + window, n), -1)
@@ -161,9 +174,9 @@ def _digests(window: int):
     return run
 
 
-def repeated_windows(docs: DataFrame, scratch: Scratch, batches: int = 2, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def repeated_windows(docs: DataFrame, scratch: Scratch, batches: int = 2, slices: int = 4, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(did, tag, starts): the starts of a row's windows whose words also start a window in a document with a
-    smaller did. docs: (did, tag, text); tag tells rows of one id apart.
+    smaller did; ALL stands for each window. docs: (did, tag, text); tag tells rows of one id apart.
 
     Rows that share an id do not remove each other's windows. Documents go through the index
     in ``batches`` batches of ascending did."""
@@ -183,24 +196,42 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, batches: int = 2, window
     for p, f in zip(prints[1:], found[1:], strict=True):
         all_prints, all_found = all_prints.unionByName(p), all_found.unionByName(f)
     marked = all_prints.join(all_found.distinct(), "g").groupBy("did").agg(F.collect_set("g").alias("found"))
-    windows = scratch.put(docs.join(scratch.put(marked, "marked"), "did").select("did", "tag", "text", "found").mapInArrow(_windows(window, gram), "w long, x int, did long, tag int, at int"), "windows")
-    scratch.drop("marked", *(f"prints-{k}" for k in range(len(prints))))
-    first = windows.groupBy("w", "x").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).filter("lo < hi").select("w", "x", "lo")
-    return windows.join(first, ["w", "x"]).filter("did > lo").groupBy("did", "tag").agg(F.sort_array(F.collect_set("at")).alias("starts"))
+    copied = _copies(docs)
+    copies = scratch.put(copied.filter("copy").select("did", "tag").distinct(), "copies")
+    whole = copied.groupBy("did").agg(F.bool_and("copy").alias("all")).filter("all")
+    marked = scratch.put(marked.join(whole, "did", "left_anti"), "marked")
+    log.drop()
+    scratch.drop(*(f"prints-{k}" for k in range(len(prints))), *(f"found-{k + 1}" for k in range(len(found))))
+    windows = scratch.put(docs.join(marked, "did").select("did", "tag", "text", "found").mapInArrow(_windows(window, gram), "w long, x int, did long, tag int, at int"), "windows")
+    scratch.drop("marked")
+    later = copies.select("did", "tag", F.array(F.lit(ALL)).alias("starts"))
+    for k in range(slices):
+        part = windows.filter(F.pmod("w", F.lit(slices)) == k)
+        first = part.groupBy("w", "x").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).filter("lo < hi").select("w", "x", "lo")
+        own = part.join(first, ["w", "x"]).filter("did > lo").groupBy("did", "tag").agg(F.collect_set("at").alias("starts"))
+        later = later.unionByName(scratch.put(own, f"later-{k}"))
+    scratch.drop("windows")
+    return later.groupBy("did", "tag").agg(F.sort_array(F.flatten(F.collect_list("starts"))).alias("starts"))
+
+
+def _copies(docs: DataFrame) -> DataFrame:
+    """(did, tag, copy): whether a row's whole text stands under a smaller did."""
+    rows = docs.select("did", "tag", F.xxhash64("text").alias("th"), F.length("text").alias("n"))
+    first = rows.groupBy("th", "tag", "n").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).filter("lo < hi").select("th", "tag", "n", "lo")
+    return rows.join(first, ["th", "tag", "n"], "left").select("did", "tag", F.coalesce(F.col("did") > F.col("lo"), F.lit(False)).alias("copy"))
 
 
 def _tagged(docs: DataFrame) -> DataFrame:
     return docs.select(did().alias("did"), F.hash("text").alias("tag"), F.col("text").cast("string").alias("text"))
 
 
-def remove_repeats(docs: DataFrame, batches: int = 2, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, batches: int = 2, slices: int = 4, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(did, text, starts) of each row: its text, and the starts of its repeated windows
-    (null if it has none). Null ids sort last and count as one id; a null text has no words; a row with fewer words
+    (null if it has none, ALL for each window). Null ids sort last and count as one id; a null text has no words; a row with fewer words
     than a window has no window. An empty table gives an empty result."""
     docs = _tagged(docs)
     scratch = Scratch(docs.sparkSession, "substrings")
-    starts = scratch.put(repeated_windows(docs, scratch, batches, window, gram), "starts")
-    scratch.drop("windows")
+    starts = scratch.put(repeated_windows(docs, scratch, batches, slices, window, gram), "starts")
     return docs.join(starts, ["did", "tag"], "left").select("did", "text", "starts")
 
 
