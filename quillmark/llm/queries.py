@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.llm import language, lines, mixing, packing, simhash, substrings
+from quillmark.llm import embedding_dedup, language, lines, mixing, nearest, packing, simhash, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,8 @@ def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
 def queries() -> dict[str, Query]:
     return {
         "op1_mixing": _over("documents", mixing.op1),
+        "op2_embedding_near_dedup": _over("embeddings", embedding_dedup.op2),
+        "op4_nearest_neighbours": _over("embeddings", nearest.op4),
         "op3_language_id": _over("documents", language.op3),
         "op6_substring_dedup": _over("documents", substrings.op6),
         "op7_packing": _over("documents", packing.op7),
