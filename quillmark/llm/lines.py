@@ -4,7 +4,8 @@ Lines are what stands between line feeds. Each three consecutive lines of a text
 together; a window whose hash occurs before it in the corpus, in the order of (id, text hash,
 position), is a later occurrence. The lines of all later occurrences of a text, merged, go.
 The first occurrence is a minimum, so it is reduced on each machine before the shuffle, and the
-join back is one whose large keys Spark can split.
+reduced rows are written before they are joined back, so that both sides of the join are plain shuffles,
+whose large partitions Spark splits.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from quillmark.llm.common import Scratch, did, undid
 WINDOW = 3
 
 
-def later_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def later_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFrame:
     """(did, tag, starts): the first lines of a row's windows that occur before it. docs: (did, tag, text)."""
     lines = F.split("text", "\n")
     first = F.sequence(F.lit(0), F.size("lines") - window)
@@ -31,7 +32,7 @@ def later_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     windows = docs.select("did", "tag", lines.alias("lines")).filter(F.size("lines") >= window).select("did", "tag", F.posexplode(hashed).alias("at", "h"))
     place = F.struct("did", "tag", "at")
     least = windows.groupBy("h").agg(F.min(place).alias("least"), F.count("*").alias("n")).filter("n > 1").select("h", "least")
-    return windows.join(least, "h").filter(place > F.col("least")).groupBy("did", "tag").agg(F.collect_set("at").alias("starts"))
+    return windows.join(scratch.put(least, "least"), "h").filter(place > F.col("least")).groupBy("did", "tag").agg(F.collect_set("at").alias("starts"))
 
 
 def kept_lines(text: str | None, starts: list[int] | None, window: int = WINDOW) -> tuple[str | None, int, int]:
@@ -66,7 +67,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     sorts last. An empty table gives an empty result."""
     scratch = Scratch(docs.sparkSession, "lines")
     rows = docs.select(F.struct(*docs.columns).alias("row"), did().alias("did"), F.hash("text").alias("tag"), F.col("text").cast("string").alias("text"))
-    starts = scratch.put(later_windows(rows.select("did", "tag", "text"), window), "starts")
+    starts = scratch.put(later_windows(rows.select("did", "tag", "text"), scratch, window), "starts")
     schema = T.StructType([T.StructField("row", docs.select(F.struct(*docs.columns).alias("row")).schema[0].dataType), T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
     return rows.join(starts, ["did", "tag"], "left").select("row", "text", "starts").mapInArrow(_kept(window), schema)
 

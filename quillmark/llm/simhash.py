@@ -64,7 +64,7 @@ def links(prints: DataFrame, scratch: Scratch, crowd: int = 256) -> DataFrame:
     block = [F.struct(F.lit(k).alias("k"), (F.shiftrightunsigned("fp", at).bitwiseAND((1 << bits) - 1)).alias("v")) for k, (at, bits) in enumerate(BLOCKS)]
     blocks = prints.select("fp", F.explode(F.array(*block)).alias("x")).select("fp", (F.col("x.v") * len(BLOCKS) + F.col("x.k")).alias("key"), F.col("x.k").alias("k"))
     shared = blocks.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    blocks = scratch.put(blocks.join(shared, "key"), "blocks")
+    blocks = scratch.put(blocks.join(scratch.put(shared, "shared"), "key"), "blocks")
     left = blocks.filter(F.col("n") <= crowd).select("key", F.col("fp").alias("a"))
     right = blocks.filter(F.col("n") <= crowd).select("key", F.col("fp").alias("b"))
     pairs = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)).select("a", "b")
@@ -88,7 +88,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, crowd: in
     roots = components(links(prints.select("fp"), scratch, crowd), scratch).select(F.col("a").alias("fp"), "root")
     found = prints.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = found.groupBy("root").agg(F.min("least").alias("component"))
-    classes = scratch.put(found.join(least, "root").select("fp", "component"), "classes")
+    classes = scratch.put(found.join(scratch.put(least, "least"), "root").select("fp", "component"), "classes")
     return rows.join(classes, "fp").select("did", "fp", "component")
 
 

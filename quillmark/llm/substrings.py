@@ -14,8 +14,9 @@ A row whose whole text stands under a smaller id has all its windows there, so i
 verification. Verified windows are matched in ``slices`` of the hash, one after another, which bounds the
 shuffle files that lie on disk at once.
 
-Every group is reduced by partial aggregates before it is shuffled and joined back with a
-join whose large keys Spark can split; none is collected.
+Every group is reduced by partial aggregates before it is shuffled, and the reduced rows are written
+before they are joined back: both sides of the join are then plain shuffles, whose large
+partitions Spark splits. No group is collected.
 """
 
 from __future__ import annotations
@@ -196,7 +197,7 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, batches: int = 2, slices
     for p, f in zip(prints[1:], found[1:], strict=True):
         all_prints, all_found = all_prints.unionByName(p), all_found.unionByName(f)
     marked = all_prints.join(all_found.distinct(), "g").groupBy("did").agg(F.collect_set("g").alias("found"))
-    copied = _copies(docs)
+    copied = _copies(docs, scratch)
     copies = scratch.put(copied.filter("copy").select("did", "tag").distinct(), "copies")
     whole = copied.groupBy("did").agg(F.bool_and("copy").alias("all")).filter("all")
     marked = scratch.put(marked.join(whole, "did", "left_anti"), "marked")
@@ -208,17 +209,18 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, batches: int = 2, slices
     for k in range(slices):
         part = windows.filter(F.pmod("w", F.lit(slices)) == k)
         first = part.groupBy("w", "x").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).filter("lo < hi").select("w", "x", "lo")
-        own = part.join(first, ["w", "x"]).filter("did > lo").groupBy("did", "tag").agg(F.collect_set("at").alias("starts"))
+        own = part.join(scratch.put(first, f"first-{k}"), ["w", "x"]).filter("did > lo").groupBy("did", "tag").agg(F.collect_set("at").alias("starts"))
         later = later.unionByName(scratch.put(own, f"later-{k}"))
+        scratch.drop(f"first-{k}")
     scratch.drop("windows")
     return later.groupBy("did", "tag").agg(F.sort_array(F.flatten(F.collect_list("starts"))).alias("starts"))
 
 
-def _copies(docs: DataFrame) -> DataFrame:
+def _copies(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(did, tag, copy): whether a row's whole text stands under a smaller did."""
     rows = docs.select("did", "tag", F.xxhash64("text").alias("th"), F.length("text").alias("n"))
     first = rows.groupBy("th", "tag", "n").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).filter("lo < hi").select("th", "tag", "n", "lo")
-    return rows.join(first, ["th", "tag", "n"], "left").select("did", "tag", F.coalesce(F.col("did") > F.col("lo"), F.lit(False)).alias("copy"))
+    return rows.join(scratch.put(first, "whole"), ["th", "tag", "n"], "left").select("did", "tag", F.coalesce(F.col("did") > F.col("lo"), F.lit(False)).alias("copy"))
 
 
 def _tagged(docs: DataFrame) -> DataFrame:
