@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.llm import embedding_dedup, language, lines, mixing, nearest, packing, simhash, substrings
+import corpus_pipeline
+from quillmark.llm import embedding_dedup, html, language, lines, mixing, nearest, packing, simhash, substrings, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,12 +22,15 @@ def queries() -> dict[str, Query]:
         "op2_embedding_near_dedup": _over("embeddings", embedding_dedup.op2),
         "op4_nearest_neighbours": _over("embeddings", nearest.op4),
         "op3_language_id": _over("documents", language.op3),
+        "op5_url_filter": _over("pages", urls.op5),
         "op6_substring_dedup": _over("documents", substrings.op6),
         "op7_packing": _over("documents", packing.op7),
         "op8_simhash_near_dedup": _over("documents", simhash.op8),
+        "op9_html_extraction": _over("pages", html.op9),
+        "pipeline": corpus_pipeline.run,
         "op10_line_dedup": _over("documents", lines.op10),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_substring_dedup": substrings.OP6_SQL, "op10_line_dedup": lines.OP10_SQL}
+    return {"op5_url_filter": urls.OP5_SQL, "op6_substring_dedup": substrings.OP6_SQL, "op10_line_dedup": lines.OP10_SQL}
