@@ -4,7 +4,7 @@ Pages are dealt by host, a hot one over many tasks, and taken in groups of ``GRO
 is parsed into a tree without the regions whose element, class, id or role marks them as menus, headers, footers,
 sidebars, notices, adverts, forms or comments. The trees of a group are aligned with the
 first by simple tree matching; a text that stands in the same aligned place on ``SAME`` of the group's pages
-is part of the template, and the slots that vary are content. Content is the article, where
+is part of the template, and the slots that vary are content; a block of which some text varies is content as a whole. Content is the article, where
 the page marks one, or else the whole body.
 
 The weight of a match depends on the elements alone, so it is remembered by the two subtrees' forms and
@@ -289,31 +289,32 @@ def aligned(a: Node, b: Node) -> list[tuple[tuple[int, int], str, tuple[int, int
 
 
 def texts(root: Node, template: frozenset | set = frozenset()) -> list[str]:
-    """The blocks of a tree in page order, without the texts at template places."""
-    blocks, run = [], []
+    """The blocks of a tree in page order, without those of which every text stands at a template place."""
+    blocks, run, varies = [], [], False
 
     def flush() -> None:
-        if words := "".join(run).split():
+        if varies and (words := "".join(run).split()):
             blocks.append(" ".join(words))
         run.clear()
 
-    todo: list = [root]
+    todo: list = [(root, False)]
     while todo:
-        x = todo.pop()
+        x, constant = todo.pop()
         if x is None:
             flush()
+            varies = False
         elif type(x) is str:
             run.append(x)
+            varies = varies or not constant and not x.isspace()
         elif x.tag == "br":
             run.append(" ")
         else:
             if x.tag in BLOCKS:
                 flush()
-                todo.append(None)
+                varies = False
+                todo.append((None, False))
             for k in range(len(x.children) - 1, -1, -1):
-                c = x.children[k]
-                if type(c) is Node or (id(x), k) not in template:
-                    todo.append(c)
+                todo.append((x.children[k], bool(template) and (id(x), k) in template))
     flush()
     return blocks
 

@@ -60,11 +60,12 @@ class ByteNet:
             out[k : k + step] = self._softmax(np.maximum(top, 0) @ self.p["out"] + self.p["out_bias"])
         return out
 
-    def fit(self, windows: np.ndarray, labels: np.ndarray, epochs: int = 12, size: int = 128, rate: float = 0.01, seed: int = 42) -> None:
+    def fit(self, windows: np.ndarray, labels: np.ndarray, epochs: int = 12, least_steps: int = 400, size: int = 128, rate: float = 0.01, seed: int = 42) -> None:
         """Adam on the cross entropy. Half of the windows of an epoch are cut short, as short texts are."""
         rng = np.random.default_rng(seed)
         first, second = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
         t = 0
+        epochs = max(epochs, -(-least_steps * size // max(1, len(windows))))
         total = epochs * max(1, -(-len(windows) // size))
         for _ in range(epochs):
             order = rng.permutation(len(windows))
@@ -128,13 +129,17 @@ def train(labelled: DataFrame, sample_docs: int = 2400, windows_a_doc: int = 4,
 
     At most MOST_LANGUAGES languages; sample_docs bounds what reaches the driver."""
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    languages = sorted(r["lang"] for r in rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
-    if len(languages) > MOST_LANGUAGES:
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not languages:
+    if not counts:
         return None
+    quota = max(1, sample_docs // len(counts))
+    # A cut at a hash first: about twice the quota is left of each language, however large the table.
+    cuts = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, (2 * quota + 20) / n) * (1 << 30)))))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
-    chosen = rows.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= max(1, sample_docs // len(languages)))
+    few = rows.filter(F.pmod(F.xxhash64("key", F.lit("cut")), F.lit(1 << 30)) < F.element_at(cuts, F.col("lang")))
+    chosen = few.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= quota)
     sample = chosen.select("lang", "text").mapInArrow(_spread(windows_a_doc), "lang string, window binary").collect()
     if not sample:
         return None

@@ -4,9 +4,9 @@ A url's verdict is that of the longest rule that fits it. The rest are judged by
 segments of each host's paths form a tree; runs of digits and long hexadecimal runs in a segment are
 one wildcard. Then, level by level, the children of a node become one wildcard branch if they are many and rare, and
 so do all children whose share of blocked urls does not differ from the node's by a two-proportion
-z test. A leaf is a template. Its purity is the share of block labels among its labelled urls (those that a rule
-fits), smoothed by ``ALPHA`` urls of the host's share of blocked urls among all; ``REJECT`` and
-more blocks.
+z test. A leaf is a template. Its purity is the share of its urls that a rule labels block,
+smoothed by ``ALPHA`` urls of the host's share; more than ``REJECT`` blocks. Urls without a label count
+as not blocked, so a few known bad urls do not condemn their neighbours.
 
 Urls are first counted by host and shape, so the tree is built from one row for each shape.
 """
@@ -63,7 +63,7 @@ def _level(shapes: DataFrame, level: int, scratch: Scratch) -> DataFrame:
     apart = F.abs(rate - pooled) > F.lit(Z) * F.sqrt(pooled * (1.0 - pooled) * (1.0 / F.col("n") + 1.0 / F.col("pn")))
     chosen = both.select("host", "template", "seg", F.when(~many & apart, F.col("seg")).otherwise("*").alias("new"))
     joined = here.join(scratch.put(chosen, f"chosen-{level}"), ["host", "template", "seg"], "left")
-    return joined.select("host", "key", "shape", "n", "nb", "na", F.when(F.col("new").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "new")).alias("template"))
+    return joined.select("host", "key", "shape", "n", "nb", F.when(F.col("new").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "new")).alias("template"))
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, id_column: str = "page_id") -> DataFrame:
@@ -77,17 +77,17 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, id_colum
     rows = rows.select(id_column, host.alias("host"), path.alias("path"))
     rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("shape", _shape()).withColumn("key", F.array_join("shape", "/"))
     verdicts = {v: [r for w, r in rules if w == v] for v in ("block", "allow")}
-    labelled = {v: F.coalesce(F.col("rule").isin(rs), F.lit(False)).cast("long") for v, rs in verdicts.items()}
-    shapes = rows.groupBy("host", "key").agg(F.any_value("shape").alias("shape"), F.count("*").alias("n"), F.sum(labelled["block"]).alias("nb"), F.sum(labelled["allow"]).alias("na"))
+    blocked = F.coalesce(F.col("rule").isin(verdicts["block"]), F.lit(False)).cast("long")
+    shapes = rows.groupBy("host", "key").agg(F.any_value("shape").alias("shape"), F.count("*").alias("n"), F.sum(blocked).alias("nb"))
     shapes = scratch.put(shapes.withColumn("template", F.lit("")), "shapes")
     for level in range(DEPTH + 1):
         shapes = scratch.put(_level(shapes, level, scratch), f"level-{level}")
     hosts = shapes.groupBy("host").agg((F.sum("nb") / F.sum("n")).alias("share"))
-    leaves = shapes.groupBy("host", "template").agg(F.sum("nb").alias("b"), F.sum("na").alias("a"))
-    pure = leaves.join(scratch.put(hosts, "hosts"), "host").select("host", "template", ((F.col("b") + ALPHA * F.col("share")) / (F.col("b") + F.col("a") + ALPHA)).alias("purity"))
+    leaves = shapes.groupBy("host", "template").agg(F.sum("nb").alias("b"), F.sum("n").alias("m"))
+    pure = leaves.join(scratch.put(hosts, "hosts"), "host").select("host", "template", ((F.col("b") + ALPHA * F.col("share")) / (F.col("m") + ALPHA)).alias("purity"))
     by_shape = scratch.put(shapes.select("host", "key", "template").join(scratch.put(pure, "pure"), ["host", "template"]), "by_shape")
     done = rows.select(id_column, "host", "path", "rule", "key").join(by_shape, ["host", "key"])
-    own = F.when(F.col("purity") >= REJECT, "block").otherwise("allow")
+    own = F.when(F.col("purity") > REJECT, "block").otherwise("allow")
     verdict = F.when(F.col("rule").isin(verdicts["block"]), "block").when(F.col("rule").isin(verdicts["allow"]), "allow").otherwise(own)
     return done.select(id_column, "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
 
@@ -109,7 +109,7 @@ def _levels_sql() -> str:
       AND abs((nb + 1.0::DOUBLE) / (n + 2.0::DOUBLE) - (pb + 1.0::DOUBLE) / (pn + 2.0::DOUBLE)) > {Z}::DOUBLE
         * sqrt((pb + 1.0::DOUBLE) / (pn + 2.0::DOUBLE) * (1.0 - (pb + 1.0::DOUBLE) / (pn + 2.0::DOUBLE)) * (1.0::DOUBLE / n + 1.0::DOUBLE / pn))
     THEN seg ELSE '*' END AS new FROM c{level} JOIN p{level} USING (host, template))
-, l{level} AS (SELECT s.host, s.key, s.shape, s.n, s.nb, s.na, CASE WHEN d.new IS NULL THEN s.template ELSE s.template || '/' || d.new END AS template
+, l{level} AS (SELECT s.host, s.key, s.shape, s.n, s.nb, CASE WHEN d.new IS NULL THEN s.template ELSE s.template || '/' || d.new END AS template
     FROM {before} s LEFT JOIN d{level} d ON s.host = d.host AND s.template = d.template AND s.shape[{level + 1}] = d.seg)""")
     return "".join(out)
 
@@ -132,15 +132,15 @@ WITH r AS (
 ), keyed AS (
   SELECT *, coalesce(array_to_string(shape, '/'), '') AS key FROM shaped
 ), shapes AS (
-  SELECT host, key, any_value(shape) AS shape, count(*) AS n, count(*) FILTER (rule IN ('net/', 'example.com/de/')) AS nb, count(*) FILTER (rule IN ('example.net/en/', 'org/fr/')) AS na, '' AS template
+  SELECT host, key, any_value(shape) AS shape, count(*) AS n, count(*) FILTER (rule IN ('net/', 'example.com/de/')) AS nb, '' AS template
   FROM keyed GROUP BY host, key
 )"""
     + _levels_sql()
     + f"""
 , hosts AS (SELECT host, sum(nb)::DOUBLE / sum(n) AS share FROM l{DEPTH} GROUP BY host)
-, leaves AS (SELECT host, template, sum(nb) AS b, sum(na) AS a FROM l{DEPTH} GROUP BY host, template)
-, pure AS (SELECT host, template, (b + {ALPHA}::DOUBLE * share) / (b + a + {ALPHA}::DOUBLE) AS purity FROM leaves JOIN hosts USING (host))
-SELECT k.page_id, k.host, k.path, k.rule, CASE WHEN k.rule IN ('net/', 'example.com/de/') THEN 'block' WHEN k.rule IS NOT NULL THEN 'allow' WHEN p.purity >= {REJECT} THEN 'block' ELSE 'allow' END AS verdict
+, leaves AS (SELECT host, template, sum(nb) AS b, sum(n) AS m FROM l{DEPTH} GROUP BY host, template)
+, pure AS (SELECT host, template, (b + {ALPHA}::DOUBLE * share) / (m + {ALPHA}::DOUBLE) AS purity FROM leaves JOIN hosts USING (host))
+SELECT k.page_id, k.host, k.path, k.rule, CASE WHEN k.rule IN ('net/', 'example.com/de/') THEN 'block' WHEN k.rule IS NOT NULL THEN 'allow' WHEN p.purity > {REJECT} THEN 'block' ELSE 'allow' END AS verdict
 FROM keyed k JOIN l{DEPTH} l USING (host, key) JOIN pure p ON p.host = l.host AND p.template = l.template
 """
 )
