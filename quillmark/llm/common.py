@@ -81,9 +81,9 @@ def undid(column: str = "did") -> Column:
     return F.nullif(F.col(column), F.lit(NO_ID))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(did, th, text) of documents."""
-    return docs.select(did().alias("did"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
+def others(docs: DataFrame) -> Column:
+    """The columns of docs but its text, as a struct, so that the text crosses a shuffle once."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
 
 
 def n_words(text: Column) -> Column:

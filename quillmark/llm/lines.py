@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmark.llm.common import Scratch, did, undid
+from quillmark.llm.common import Scratch, did, others
 
 WINDOW = 3
 
@@ -59,16 +59,16 @@ def _kept(window: int):
 
 
 def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(row, text, n_lines, n_removed): each row of docs as a struct, its text without later occurrences
+    """(row, text, n_lines, n_removed): the other columns of each row of docs as a struct, its text without later occurrences
     of windows, and counts of lines.
 
     A null text stays null and has no lines; texts of fewer than three lines have no window and stay as they are.
     Rows alike in id and text count as one place, so they do not remove each other. A null id
     sorts last. An empty table gives an empty result."""
     scratch = Scratch(docs.sparkSession, "lines")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), did().alias("did"), F.hash("text").alias("tag"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(others(docs).alias("row"), did().alias("did"), F.hash("text").alias("tag"), F.col("text").cast("string").alias("text"))
     starts = scratch.put(later_windows(rows.select("did", "tag", "text"), scratch, window), "starts")
-    schema = T.StructType([T.StructField("row", docs.select(F.struct(*docs.columns).alias("row")).schema[0].dataType), T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
+    schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
     return rows.join(starts, ["did", "tag"], "left").select("row", "text", "starts").mapInArrow(_kept(window), schema)
 
 
@@ -76,9 +76,9 @@ def documents_without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFram
     """docs, same columns and rows, with later occurrences of line windows cut out of text; n_chars, if
     there is one, counts what is left. Rows that lose all their lines stay, with an empty text."""
     done = deduplicate(docs, window)
-    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    changed = F.col("n_removed") > 0
-    return done.select(*(F.when(changed, new[c]).otherwise(F.col(f"row.`{c}`")).alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    left = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None
+    new = {"text": F.col("text"), "n_chars": left}
+    return done.select(*(new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op10(docs: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmark.llm.common import WORD, Scratch, did, n_words, undid
+from quillmark.llm.common import WORD, Scratch, did, n_words, others, undid
 
 BLOCK, MOST_SOURCES, MOST_SHARDS, SHARD_SLOTS = 128, 100_000, 4096, 1024
 #: A source has this many blocks at least, if it has as many words; small sources get shorter blocks.
@@ -129,7 +129,7 @@ def mix(docs: DataFrame, weights: Callable[[list[str | None]], list[float]] = cy
     sources = spark.createDataFrame(table, "sid long, source string, size long, target double, block_words long, n_blocks long")
     rows = sized.join(F.broadcast(sources), sized["source"].eqNullSafe(sources["source"])).select("did", "tag", "sid", "n", "block_words")
 
-    buckets = max(1, min(1 << 20, ceil(sum(x[2] for x in sums) / 1000)))
+    buckets = max(1, min(1 << 20, ceil(sum(x[2] for x in sums) / 200)))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("did", "tag"), F.lit(buckets)))
     before = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = rows.groupBy("sid", "bucket").agg(F.sum("n").alias("m")).select("sid", "bucket", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("base"))
@@ -190,9 +190,8 @@ def mixed_documents(docs: DataFrame, weights: Callable[[list[str | None]], list[
     Rows alike in id, source and text are mixed as one document and then stay as many."""
     mixed = mix(docs, weights, cap, seed, distinct=True)
     takes = _times(mixed).groupBy("did", "tag").agg(F.collect_list(F.struct("first", "words", "times")).alias("parts"))
-    own = F.struct(*docs.columns)
-    rows = docs.select(did().alias("did"), F.hash("text").alias("tag"), own.alias("row"), F.col("text").cast("string").alias("text"))
-    schema = T.StructType([T.StructField("row", docs.select(own.alias("row")).schema[0].dataType), T.StructField("text", T.StringType())])
+    rows = docs.select(did().alias("did"), F.hash("text").alias("tag"), others(docs).alias("row"), F.col("text").cast("string").alias("text"))
+    schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("text", T.StringType())])
     made = rows.join(takes, ["did", "tag"]).select("row", "text", "parts").mapInArrow(_copies, schema)
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return made.select(*(new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
