@@ -5,7 +5,8 @@ together; a window whose hash occurs before it in the corpus, in the order of (i
 position), is a later occurrence. The lines of all later occurrences of a text, merged, go.
 The first occurrence is a minimum, so it is reduced on each machine before the shuffle, and the
 reduced rows are written before they are joined back, so that both sides of the join are plain shuffles,
-whose large partitions Spark splits.
+whose large partitions Spark splits. Texts meet what is cut from them in a merge join at every size, never by a
+broadcast of a table that grows with the corpus.
 """
 
 from __future__ import annotations
@@ -69,7 +70,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     rows = docs.select(others(docs).alias("row"), did().alias("did"), F.hash("text").alias("tag"), F.col("text").cast("string").alias("text"))
     starts = scratch.put(later_windows(rows.select("did", "tag", "text"), scratch, window), "starts")
     schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return rows.join(starts, ["did", "tag"], "left").select("row", "text", "starts").mapInArrow(_kept(window), schema)
+    return rows.join(starts.hint("merge"), ["did", "tag"], "left").select("row", "text", "starts").mapInArrow(_kept(window), schema)
 
 
 def documents_without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:

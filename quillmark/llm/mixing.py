@@ -192,6 +192,6 @@ def mixed_documents(docs: DataFrame, weights: Callable[[list[str | None]], list[
     takes = _times(mixed).groupBy("did", "tag").agg(F.collect_list(F.struct("first", "words", "times")).alias("parts"))
     rows = docs.select(did().alias("did"), F.hash("text").alias("tag"), others(docs).alias("row"), F.col("text").cast("string").alias("text"))
     schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("text", T.StringType())])
-    made = rows.join(takes, ["did", "tag"]).select("row", "text", "parts").mapInArrow(_copies, schema)
+    made = rows.join(takes.hint("merge"), ["did", "tag"]).select("row", "text", "parts").mapInArrow(_copies, schema)
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return made.select(*(new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

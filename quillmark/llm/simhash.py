@@ -102,5 +102,5 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     one of the smallest text hash. Columns as in docs."""
     keep = near_duplicates(docs).filter(F.col("did") == F.col("component")).select("did").distinct()
     own = F.struct(*docs.columns)
-    rows = docs.select(did().alias("did"), F.xxhash64("text").alias("th"), own.alias("row")).join(keep, "did")
+    rows = docs.select(did().alias("did"), F.xxhash64("text").alias("th"), own.alias("row")).join(keep.hint("merge"), "did")
     return rows.groupBy("did").agg(F.min_by("row", "th").alias("row")).select("row.*")

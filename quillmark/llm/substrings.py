@@ -203,7 +203,7 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, batches: int = 2, slices
     marked = scratch.put(marked.join(whole, "did", "left_anti"), "marked")
     log.drop()
     scratch.drop(*(f"prints-{k}" for k in range(len(prints))), *(f"found-{k + 1}" for k in range(len(found))))
-    windows = scratch.put(docs.join(marked, "did").select("did", "tag", "text", "found").mapInArrow(_windows(window, gram), "w long, x int, did long, tag int, at int"), "windows")
+    windows = scratch.put(docs.join(marked.hint("merge"), "did").select("did", "tag", "text", "found").mapInArrow(_windows(window, gram), "w long, x int, did long, tag int, at int"), "windows")
     scratch.drop("marked")
     later = copies.select("did", "tag", F.array(F.lit(ALL)).alias("starts"))
     for k in range(slices):
@@ -234,7 +234,7 @@ def remove_repeats(docs: DataFrame, batches: int = 2, slices: int = 4, window: i
     docs = _tagged(docs)
     scratch = Scratch(docs.sparkSession, "substrings")
     starts = scratch.put(repeated_windows(docs, scratch, batches, slices, window, gram), "starts")
-    return docs.join(starts, ["did", "tag"], "left").select("did", "text", "starts")
+    return docs.join(starts.hint("merge"), ["did", "tag"], "left").select("did", "text", "starts")
 
 
 def op6(docs: DataFrame, batches: int = 2) -> DataFrame:
