@@ -13,12 +13,16 @@ FACTORS = ["model", "retriever", "prompt", "top_k"]
 CONFIG = ["model", "retriever", "prompt", "top_k"]
 
 
-def _results(f) -> Query:
-    return lambda spark, d: rounded(f(results(spark, d)))
+#: Decimals of means of few short decimals, which fall on the border between two roundings at fewer.
+FINE = 12
 
 
-def _scores(f) -> Query:
-    return lambda spark, d: rounded(f(scores(spark, d)))
+def _results(f, digits: int = 9) -> Query:
+    return lambda spark, d: rounded(f(results(spark, d)), digits)
+
+
+def _scores(f, digits: int = 9) -> Query:
+    return lambda spark, d: rounded(f(scores(spark, d)), digits)
 
 
 def _items(f) -> Query:
@@ -99,12 +103,12 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         ),
     ),
     "best_vs_direct": (
-        _results(lambda r: compare.best_rag_against_direct(r, "f1")),
+        _results(lambda r: compare.best_rag_against_direct(r, "f1"), FINE),
         sql(
             f"""WITH {RESULTS}, t AS (SELECT model, dataset, avg(f1) AS top_mean, max(f1) AS best FROM (SELECT *, row_number() OVER (PARTITION BY model, dataset ORDER BY f1 DESC, id) AS rn FROM results WHERE exp_type = 'rag') WHERE rn <= 5 GROUP BY ALL),
             b AS (SELECT model, dataset, avg(f1) FILTER (exp_type = 'direct') AS direct_mean, count(*) FILTER (exp_type = 'rag') AS n FROM results GROUP BY ALL)
             SELECT model, dataset, direct_mean, top_mean, best, top_mean - direct_mean AS advantage, CASE WHEN direct_mean > 0 THEN (top_mean - direct_mean) / direct_mean * 100 ELSE 0.0 END AS advantage_pct, n FROM t JOIN b USING (model, dataset) WHERE direct_mean IS NOT NULL""",
-            "direct_mean", "top_mean", "best", "advantage", "advantage_pct",
+            "direct_mean", "top_mean", "best", "advantage", "advantage_pct", digits=FINE,
         ),
     ),
     "success_factors": (
@@ -134,25 +138,25 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         ),
     ),
     "sign_stability": (
-        _results(lambda r: compare.sign_stability(r, "model", "retriever", "f1")),
+        _results(lambda r: compare.sign_stability(r, "model", "retriever", "f1"), FINE),
         sql(
             f"""WITH {RESULTS}, r AS (SELECT * FROM results WHERE exp_type = 'rag'), g AS (SELECT dataset, avg(f1) AS g FROM r GROUP BY dataset), a AS (SELECT dataset, model, avg(f1) AS ma FROM r GROUP BY ALL), b AS (SELECT dataset, retriever, avg(f1) AS mb FROM r GROUP BY ALL),
             c AS (SELECT dataset, model, retriever, avg(f1) AS x FROM r GROUP BY ALL), e AS (SELECT model, retriever, x - ma - mb + g AS e FROM c JOIN a USING (dataset, model) JOIN b USING (dataset, retriever) JOIN g USING (dataset))
             SELECT model, retriever, count(*) AS n_strata, max(e) - min(e) AS spread, min(e) > 0 OR max(e) < 0 AS stable FROM e GROUP BY ALL""",
-            "spread",
+            "spread", digits=FINE,
         ),
     ),
     "question_difficulty": (
-        _scores(lambda s: compare.question_difficulty(s, "f1")),
+        _scores(lambda s: compare.question_difficulty(s, "f1"), FINE),
         sql(
             f"""WITH {SCORES}, g AS (SELECT idx, dataset, avg(f1) AS mean_score, stddev_samp(f1) AS std_score, avg(CAST(f1 >= 0.5 AS INT)) AS pct_correct, count(*) AS n FROM scores GROUP BY ALL)
             SELECT *, CASE WHEN pct_correct >= 0.8 THEN 'easy' WHEN pct_correct <= 0.2 THEN 'hard' ELSE 'discriminating' END AS difficulty FROM g""",
-            "mean_score", "std_score", "pct_correct",
+            "mean_score", "std_score", "pct_correct", digits=FINE,
         ),
     ),
     "question_delta": (
-        _scores(lambda s: compare.question_delta(s, "f1").select("id", "idx", "model", "dataset", "direct_mean", "delta")),
-        sql(f"{_DELTAS} SELECT id, idx, model, dataset, direct_mean, delta FROM deltas", "direct_mean", "delta"),
+        _scores(lambda s: compare.question_delta(s, "f1").select("id", "idx", "model", "dataset", "direct_mean", "delta"), FINE),
+        sql(f"{_DELTAS} SELECT id, idx, model, dataset, direct_mean, delta FROM deltas", "direct_mean", "delta", digits=FINE),
     ),
     "help_rates": (
         lambda spark, d: rounded(compare.help_rates(compare.question_delta(scores(spark, d), "f1")), 12),
@@ -163,8 +167,8 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         ),
     ),
     "delta_summary": (
-        _scores(lambda s: compare.delta_summary(compare.question_delta(s, "f1"), "model")),
-        sql(f"{_DELTAS} SELECT model, avg(delta) AS mean, max(delta) AS best, min(delta) AS worst, arg_min(delta, id) AS first, count(*) AS n FROM deltas GROUP BY model", "mean", "best", "worst", "first"),
+        _scores(lambda s: compare.delta_summary(compare.question_delta(s, "f1"), "model"), FINE),
+        sql(f"{_DELTAS} SELECT model, avg(delta) AS mean, max(delta) AS best, min(delta) AS worst, arg_min(delta, id) AS first, count(*) AS n FROM deltas GROUP BY model", "mean", "best", "worst", "first", digits=FINE),
     ),
     "dedup_best": (
         _results(lambda r: compare.deduplicate(r, ["model", "dataset", "retriever", "prompt", "top_k"], "f1").select("id", "model", "dataset", "f1")),
@@ -207,11 +211,11 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         sql(f"{_BASED} SELECT model, count(*) AS n, avg(CAST(benefit > 0 AS INT)) * 100 AS pct_better FROM based WHERE baseline IS NOT NULL GROUP BY model", "pct_better"),
     ),
     "tier_wins": (
-        _results(lambda r: compare.tiers(r, "f1")),
+        _results(lambda r: compare.tiers(r, "f1"), FINE),
         sql(
             f"""WITH {RESULTS}, p AS (SELECT model, dataset, max(f1) FILTER (exp_type = 'direct') AS best_direct, max(f1) FILTER (exp_type = 'rag') AS best_rag FROM results GROUP BY ALL),
             t AS (SELECT model, dataset, avg(f1) AS top_mean FROM (SELECT *, row_number() OVER (PARTITION BY model, dataset ORDER BY f1 DESC, id) AS rn FROM results WHERE exp_type = 'rag') WHERE rn <= 5 GROUP BY ALL) SELECT *, best_rag > best_direct AS rag_wins FROM p JOIN t USING (model, dataset)""",
-            "best_direct", "best_rag", "top_mean",
+            "best_direct", "best_rag", "top_mean", digits=FINE,
         ),
     ),
     "grid_coverage_missing": (
@@ -229,12 +233,12 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         SELECT factor, level, agree FROM (SELECT *, row_number() OVER (PARTITION BY factor ORDER BY agree DESC, level) AS k FROM a) WHERE k = 1""",
     ),
     "config_pairs": (
-        _results(lambda r: compare.config_pairs(r, CONFIG, "f1")),
-        sql(f"""WITH {RESULTS}, m AS (SELECT dataset, model, retriever, prompt, top_k, avg(f1) AS m FROM results GROUP BY ALL) SELECT x.dataset AS a, y.dataset AS b, model, retriever, prompt, top_k, x.m AS ma, y.m AS mb FROM m x JOIN m y USING (model, retriever, prompt, top_k) WHERE x.dataset < y.dataset""", "ma", "mb"),
+        _results(lambda r: compare.config_pairs(r, CONFIG, "f1"), FINE),
+        sql(f"""WITH {RESULTS}, m AS (SELECT dataset, model, retriever, prompt, top_k, avg(f1) AS m FROM results GROUP BY ALL) SELECT x.dataset AS a, y.dataset AS b, model, retriever, prompt, top_k, x.m AS ma, y.m AS mb FROM m x JOIN m y USING (model, retriever, prompt, top_k) WHERE x.dataset < y.dataset""", "ma", "mb", digits=FINE),
     ),
     "configs_in_all": (
-        _results(lambda r: compare.in_all_datasets(r, CONFIG, "f1")),
-        sql(f"""WITH {RESULTS}, m AS (SELECT dataset, model, retriever, prompt, top_k, avg(f1) AS m FROM results GROUP BY ALL) SELECT model, retriever, prompt, top_k, count(*) AS n, avg(m) AS mean, max(m) - min(m) AS spread FROM m GROUP BY ALL HAVING count(*) = (SELECT count(DISTINCT dataset) FROM results)""", "mean", "spread"),
+        _results(lambda r: compare.in_all_datasets(r, CONFIG, "f1"), FINE),
+        sql(f"""WITH {RESULTS}, m AS (SELECT dataset, model, retriever, prompt, top_k, avg(f1) AS m FROM results GROUP BY ALL) SELECT model, retriever, prompt, top_k, count(*) AS n, avg(m) AS mean, max(m) - min(m) AS spread FROM m GROUP BY ALL HAVING count(*) = (SELECT count(DISTINCT dataset) FROM results)""", "mean", "spread", digits=FINE),
     ),
     "interesting_questions": (
         _scores(lambda s: compare.interesting_questions(s, "f1")),
