@@ -1,4 +1,4 @@
-"""Text functions as Column expressions. Word, space and boundary classes are Unicode-aware, as the flag (?U) makes them."""
+"""Text functions as Column expressions. A word character is a letter or number of any script, or an underscore; white space is Unicode's, by the flag (?U)."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import string
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_WORD = r"\p{L}\p{N}_"
 # The words that the two overlap metrics ignore.
 FAITHFULNESS_STOP = tuple("the a an is was are were be been in on at to for of and or but".split())
 HALLUCINATION_STOP = (*FAITHFULNESS_STOP, *"this that these those it its they their".split())
@@ -25,18 +26,18 @@ def squeeze(text: Column) -> Column:
 def normalize_answer(text: Column) -> Column:
     """Lower case, no ASCII punctuation, no English articles, single blanks, trimmed."""
     bare = F.translate(F.lower(F.coalesce(text, F.lit(""))), string.punctuation, "")
-    return F.trim(squeeze(F.regexp_replace(bare, r"(?U)\b(a|an|the)\b", " ")))
+    return F.trim(squeeze(F.regexp_replace(bare, f"(?<![{_WORD}])(a|an|the)(?![{_WORD}])", " ")))
 
 
 def normalize_context(text: Column) -> Column:
     """Lower case, anything but word characters and white space to a blank, single blanks, trimmed."""
-    return F.trim(squeeze(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[^\w\s]", " ")))
+    return F.trim(squeeze(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), rf"(?U)[^{_WORD}\s]", " ")))
 
 
 def normalize_fuzzy(text: Column) -> Column:
     """As normalize_context, but trimmed before punctuation goes, so a blank may stay at either end."""
     trimmed = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)^\s+|\s+$", "")
-    return squeeze(F.regexp_replace(trimmed, r"(?U)[^\w\s]", " "))
+    return squeeze(F.regexp_replace(trimmed, rf"(?U)[^{_WORD}\s]", " "))
 
 
 def sentences(text: Column) -> Column:
@@ -47,7 +48,7 @@ def sentences(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-case tokens of two word characters at least, repeats included."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b(\w\w+)\b"), F.lit(1))
+    return F.regexp_extract_all(F.lower(text), F.lit(f"([{_WORD}]{{2,}})"), F.lit(1))
 
 
 def token_f1(prediction: Column, reference: Column) -> Column:

@@ -45,7 +45,8 @@ def expand(rows: DataFrame) -> DataFrame:
 
 def aggregate(scored: DataFrame, key: str = "pred_id") -> DataFrame:
     """(key, score): the best of a prediction's scores, 0 without any."""
-    return scored.groupBy(key).agg(F.coalesce(F.max("score"), F.lit(0.0)).alias("score"))
+    score = F.when(F.col("reference").isNotNull(), F.col("score")) if "reference" in scored.columns else F.col("score")
+    return scored.groupBy(key).agg(F.coalesce(F.max(score), F.lit(0.0)).alias("score"))
 
 
 @metric("exact_match")

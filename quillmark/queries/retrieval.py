@@ -22,7 +22,7 @@ def _dense(spark: SparkSession, d: str, k: int = K) -> DataFrame:
 
 
 # DuckDB: tokens of two word characters at least, in Unicode classes.
-_TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}]{{2,}}')"
+_TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]{{2,}}')"
 _INDEX = rf"""d AS (SELECT doc_id, {_TOKENS.format("text")} AS t FROM documents), size AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d),
 p AS (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM d) GROUP BY doc_id, term),
 df AS (SELECT term, count(*) AS df FROM p GROUP BY term), q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({_TOKENS.format("text")}) AS term FROM benchmark) GROUP BY ALL)"""
@@ -37,9 +37,9 @@ def _ranked(hits: str, k: int, base: int = 0, doc: str = "doc_id") -> str:
 _UNIT = """u AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / greatest(sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 1e-12)) AS v FROM embeddings),
 dq AS (SELECT item_id AS query_id, v FROM benchmark JOIN u ON vec_id = item_id)"""
 _DENSE_HITS = "dh AS (SELECT query_id, vec_id AS doc_id, round(list_inner_product(dq.v, u.v), 9) AS score FROM dq, u)"
-_NORM = r"trim(regexp_replace(regexp_replace(lower({}), '[^\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+_NORM = r"trim(regexp_replace(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 _BARE = r"""translate(lower({}), '!"#$%&''()*+,-./:;<=>?@[\]^_`{{|}}~', '')"""
-_ARTICLE = r"""'(^|[^\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}])(a|an|the)($|[^\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}])', '\1 \3', 'g'"""
+_ARTICLE = r"""'(^|[^\p{{L}}\p{{N}}_])(a|an|the)($|[^\p{{L}}\p{{N}}_])', '\1 \3', 'g'"""
 # Twice, as a match takes the blank that the next article needs before it.
 _ANSWER = rf"""trim(regexp_replace(regexp_replace(regexp_replace({_BARE}, {_ARTICLE}), {_ARTICLE}), '\s+', ' ', 'g'))"""
 _WORDS = r"list_filter(string_split_regex({}, '\s+'), lambda w: w <> '')"
