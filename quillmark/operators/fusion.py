@@ -42,6 +42,13 @@ def sentence_expansions(queries: DataFrame, most: int = 3) -> DataFrame:
     return queries.select("query_id", F.posexplode(texts).alias("expansion", "text"))
 
 
+def model_expansions(queries: DataFrame, expand) -> DataFrame:
+    """(query_id, expansion, text): the original, numbered 0, and what a model makes of it: expand is a pandas UDF from a text to an array of texts (a
+    hypothetical document, variations). Repeats of the original are left out."""
+    new = F.filter(expand(F.col("text")), lambda t: F.lower(F.trim(t)) != F.lower(F.trim("text")))
+    return queries.select("query_id", F.posexplode(F.concat(F.array("text"), F.coalesce(new, F.array().cast("array<string>")))).alias("expansion", "text"))
+
+
 def overlap_score(query: Column, text: Column) -> Column:
     """Share of the query's distinct words in the text."""
     return overlap(words(normalize_context(query)), words(normalize_context(text)))

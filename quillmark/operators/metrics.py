@@ -130,3 +130,24 @@ def retrieval_quality(docs: Column, answers: Column) -> Column:
     total = F.aggregate(scores, F.lit(0.0), lambda acc, x: acc + x)
     found = F.exists(answers, lambda a: F.exists(docs, lambda d: F.contains(F.lower(d["content"]), F.lower(a))))
     return F.struct(F.try_divide(total, F.size(scores)).alias("avg_score"), F.array_max(scores).alias("max_score"), F.array_min(scores).alias("min_score"), F.size(scores).alias("n_docs"), F.coalesce(found, F.lit(False)).alias("has_answer"))
+
+
+def model_scores(rows: DataFrame, name: str, score: Callable[[Column, Column], Column], key: str = "pred_id") -> DataFrame:
+    """(key, name): a model's best score of each prediction over its references, each pair a row for the model."""
+    pairs = expand(rows.filter(~is_error(F.col("prediction"))).select(key, "prediction", "references"))
+    scored = pairs.withColumn("score", F.when(F.col("reference").isNotNull(), score(F.col("prediction"), F.coalesce("reference", F.lit("")))))
+    return aggregate(scored, key).withColumnRenamed("score", name)
+
+
+def judged(rows: DataFrame, response: str = "response", binary: bool = True) -> DataFrame:
+    """rows with the category and score that a judge's response tells."""
+    from quillmark.functions.parse import judgement, judgement_score
+
+    told = rows.withColumn("category", judgement(F.col(response), binary))
+    return told.withColumn("score", judgement_score(F.col("category")))
+
+
+def judge_shares(rows: DataFrame) -> DataFrame:
+    """One row: mean score and the share of each category."""
+    names = ("correct", "partially_correct", "incorrect")
+    return rows.agg(F.avg("score").alias("score"), *(F.avg((F.col("category") == n).cast("int")).alias(n) for n in names))

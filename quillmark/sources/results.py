@@ -108,6 +108,21 @@ def item_scores(spark: SparkSession, root: str, metric: str = "f1") -> DataFrame
     return rows.filter("score is not null").select("experiment", "idx", "question", "prediction", "score")
 
 
+def evaluate_predictions(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
+    """(experiment, idx, names): metrics of stored predictions. References are arrays throughout, so several answers to a question count by their best."""
+    from quillmark.operators.metrics import contexts_of, evaluate
+
+    rows = predictions(spark, root).withColumn("contexts", contexts_of(F.col("retrieved_docs")))
+    return evaluate(rows, names).select("experiment", "idx", *names)
+
+
+def metric_of(spark: SparkSession, root: str, metric: str = "f1") -> DataFrame:
+    """(name, value): of results, or else the mean over the predictions that have it."""
+    from_items = item_scores(spark, root, metric).groupBy(F.col("experiment").alias("name")).agg(F.avg("score").alias("mean"))
+    stored = _files(spark, root, "results.json", RESULTS).select(F.col("folder").alias("name"), F.try_element_at("metrics", F.lit(metric)).alias("stored"))
+    return stored.join(from_items, "name", "full").select("name", F.coalesce("stored", "mean").alias("value")).filter("value is not null")
+
+
 def write_experiments(rows: DataFrame, path: str) -> None:
     """One Parquet table, a folder for each experiment; a failed job leaves the old one."""
     rows.write.mode("overwrite").partitionBy("experiment").parquet(path)

@@ -135,3 +135,25 @@ def test_names(spark):
     assert (told["is_singleton"], told["model_short"], told["query_transform"], told["dataset"]) == (True, "Gemma2-9B", "iterative_2", "nq")
     tags = names.issues(F.lit("hybrid_x"), F.lit("iterative_rag"), F.lit("hyde"), F.lit("none"), F.lit(2))
     assert spark.range(1).select(tags.alias("t")).first()["t"] == ["HYBRID_RRF", "ITERATIVE_HYDE"]
+
+
+def test_model_slots(spark):
+    import pandas as pd
+
+    from quillmark.operators import fusion
+
+    @F.pandas_udf("double")
+    def same_length(p: pd.Series, r: pd.Series) -> pd.Series:
+        return (p.str.len() == r.str.len()).astype("float64")
+
+    @F.pandas_udf("array<string>")
+    def louder(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: [x.upper(), x + "!"])
+
+    got = {r["pred_id"]: r["length"] for r in metrics.model_scores(spark.createDataFrame(ROWS, SCHEMA), "length", same_length).collect()}
+    assert got == {1: 1.0, 3: 0.0, 4: 0.0, 5: 0.0, 6: 0.0}
+    asked = spark.createDataFrame([(1, "q")], "query_id long, text string")
+    assert [(r["expansion"], r["text"]) for r in fusion.model_expansions(asked, louder).collect()] == [(0, "q"), (1, "q!")]
+    said = spark.createDataFrame([("correct",), ("partial",), ("?",), ("incorrect",)], "response string")
+    assert metrics.judge_shares(metrics.judged(said)).first()["score"] == 0.25
+    assert metrics.judge_shares(metrics.judged(said, binary=False)).first()["partially_correct"] == 0.25
