@@ -7,6 +7,13 @@ it: every vector carries its rank in each pass, so whether an earlier pass saw a
 arithmetic, and pairs are never gathered to tell. A block of ranks adds up the counts of
 its vectors and passes on the links of a spanning forest; the forests of all passes
 are united by connected components. Equal vectors are one node with a multiplicity.
+
+Windows cannot hold a group of near copies that is longer than they are. So before the passes, stretches of one
+more order with ``DENSE`` vectors within half the threshold's angle of one of them name it a pivot; pivots that lie in
+each other's cores are thinned out. Two vectors within half the angle of a pivot are within the whole angle of
+each other, so a core's members are all linked, which needs a count and no comparison. Vectors within one and a half
+times the angle of a pivot that are not in its core are compared with its members, block by block. So links of members are
+complete however large a core is, and only the rest goes through the passes.
 """
 
 from __future__ import annotations
@@ -24,6 +31,10 @@ from quillmark.llm.components import components
 from quillmark.llm.vectors import dimension, matrix, unit, valid
 
 COSINE, REACH, BLOCK = 0.9, 1024, 4096
+#: Vectors of a stretch of BLOCK that make a core; pivots that one task thins out or is sent at once.
+DENSE, PIVOTS = 512, 4096
+#: Kept off the borders of angles, against rounding.
+SLACK = 1e-6
 #: Chance of missing a pair at the threshold that the number of passes is chosen for.
 MISS = 0.01
 
@@ -103,7 +114,129 @@ def _compare(dim: int, cosine: float, reach: int, block: int):
     return run
 
 
-def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, reach: int = REACH, block: int = BLOCK, passes: int | None = None, seed: int = 42) -> DataFrame:
+def _core_cosines(cosine: float) -> tuple[float, float]:
+    """Cosines of half the threshold's angle, and of one and a half times it."""
+    angle = float(np.arccos(cosine))
+    return float(np.cos(angle / 2)) + SLACK, float(np.cos(min(np.pi, 1.5 * angle))) - SLACK
+
+
+def _proposed(dim: int, core: float, dense: int):
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks().sort_by("rep")
+        x, reps = unit(matrix(group.column("v").combine_chunks(), dim)), group.column("rep").to_numpy()
+        near = np.concatenate([x[k : k + 512] @ x.T >= core for k in range(0, len(x), 512)])
+        picked, open_ = [], np.ones(len(x), bool)
+        while open_.sum() >= dense:
+            count = near[:, open_].sum(axis=1)
+            best = int(count.argmax())
+            if count[best] < dense:
+                break
+            picked.append(best)
+            open_ &= ~near[best]
+        return pa.table({"rep": pa.array(reps[picked], pa.int64()), "v": group.column("v").combine_chunks().take(pa.array(picked, pa.int64()))})
+
+    return run
+
+
+def _thinned(dim: int, core: float):
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks().sort_by("rep")
+        x, kept = unit(matrix(group.column("v").combine_chunks(), dim)), []
+        for k in range(len(x)):
+            if not kept or (x[kept] @ x[k]).max() < core:
+                kept.append(k)
+        return group.select(["rep", "v"]).take(pa.array(kept, pa.int64()))
+
+    return run
+
+
+def _near_pivots(sent, dim: int, near: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots, p = sent.value
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
+                s = unit(matrix(part.column(2), dim)) @ p.T
+                i, j = np.nonzero(s >= near)
+                yield pa.RecordBatch.from_arrays([c.take(pa.array(i)) for c in part.columns] + [pa.array(pivots[j]), pa.array(s[i, j])], names=["rep", "mult", "v", "pivot", "cos"])
+
+    return run
+
+
+def _across(dim: int, cosine: float):
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.combine_chunks().sort_by("rep")
+        member = group.column("member").to_numpy(zero_copy_only=False).astype(bool)
+        x = unit(matrix(group.column("v").combine_chunks(), dim))
+        reps, mult, free = group.column("rep").to_numpy(), group.column("mult").to_numpy(), group.column("free").to_numpy(zero_copy_only=False).astype(bool)
+        inner, outer = np.flatnonzero(member), np.flatnonzero(~member)
+        out: list[tuple[int, int, int]] = []
+        back = np.zeros(len(inner), np.int64)
+        for k in range(0, len(outer), 512):
+            o = outer[k : k + 512]
+            linked = x[o] @ x[inner].T >= cosine
+            n = linked @ mult[inner]
+            for i in np.flatnonzero(n):
+                out.append((int(reps[o[i]]), int(n[i]), int(reps[inner[int(linked[i].argmax())]])))
+            back += (linked[free[o]] * mult[o[free[o]]][:, None]).sum(axis=0)
+        out += [(int(reps[inner[i]]), int(back[i]), int(reps[inner[i]])) for i in np.flatnonzero(back)]
+        return pa.table({c: pa.array([r[k] for r in out], pa.int64()) for k, c in enumerate(("rep", "n", "other"))})
+
+    return run
+
+
+def _cores(classes: DataFrame, dim: int, n: int, cosine: float, block: int, dense: int, seed: int, scratch: Scratch) -> tuple[DataFrame, DataFrame] | None:
+    """Links (rep, n, other) of the members of cores, and of others with them; and the members (rep). None if no stretch is dense."""
+    core, near = _core_cosines(cosine)
+    keys = classes.select("rep", "v").mapInArrow(_keys(dim, 1, seed + 1), "pass int, key long, rep long")
+    order = _ranks(keys, 1, scratch)
+    stretches = classes.select("rep", "v").join(order, "rep").select("rep", "v", F.expr(f"ranks[0] div {block}").alias("stretch"))
+    pivots = scratch.put(stretches.groupBy("stretch").applyInArrow(_proposed(dim, core, dense), "rep long, v array<double>"), "pivots-0")
+    scratch.drop("order")
+    left, turn = pivots.count(), 0
+    if not left:
+        return None
+    while True:
+        turn += 1
+        groups = ceil(left / PIVOTS)
+        thin = pivots.withColumn("g", F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(groups))).groupBy("g").applyInArrow(_thinned(dim, core), "rep long, v array<double>")
+        pivots = scratch.put(thin, f"pivots-{turn}")
+        before, left = left, pivots.count()
+        if groups == 1 or left > 0.9 * before:
+            break
+    blocks = ceil(left / PIVOTS)
+    parts = []
+    for b in range(blocks):
+        own = sorted((r["rep"], r["v"]) for r in pivots.filter(F.pmod(F.xxhash64("rep"), F.lit(blocks)) == b).collect())
+        if own:
+            sent = classes.sparkSession.sparkContext.broadcast((np.array([x[0] for x in own], np.int64), unit(np.array([x[1] for x in own], np.float64))))
+            parts.append(scratch.put(classes.select("rep", "mult", "v").mapInArrow(_near_pivots(sent, dim, near), "rep long, mult long, v array<double>, pivot long, cos double"), f"near-{b}"))
+    close = parts[0]
+    for p in parts[1:]:
+        close = close.unionByName(p)
+    inside = close.filter(F.col("cos") >= core)
+    members = scratch.put(inside.groupBy("rep").agg(F.min_by("pivot", F.struct(-F.col("cos"), F.col("pivot"))).alias("core"), F.first("mult").alias("mult")), "members")
+    sizes = members.groupBy("core").agg(F.sum("mult").alias("size"), F.count("*").alias("many"), F.min("rep").alias("least"))
+    sizes = scratch.put(sizes, "sizes")
+    links = members.join(sizes, "core").select("rep", (F.col("size") - F.col("mult")).alias("n"), F.col("least").alias("other"))
+    # Members and what is near them, dealt so that each pair of blocks meets once.
+    named = close.join(members.select("rep", "core").hint("merge"), "rep", "left")
+    outer = named.filter(F.col("core").isNull() | (F.col("core") != F.col("pivot"))).select("pivot", "rep", "mult", "v", F.lit(False).alias("member"), F.col("core").isNull().alias("free"))
+    outer = scratch.put(outer, "outer")
+    chunks = scratch.put(outer.groupBy("pivot").agg(F.count("*").alias("others")), "chunks")
+    plan = sizes.select(F.col("core").alias("pivot"), F.ceil(F.col("many") / block).alias("m")).join(chunks.select("pivot", F.ceil(F.col("others") / block).alias("c")), "pivot")
+    plan = scratch.put(plan, "plan")
+    inner = named.filter(F.col("core") == F.col("pivot")).select("pivot", "rep", "mult", "v", F.lit(True).alias("member"), F.lit(False).alias("free"))
+    hashed = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("long")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
+    left_side = inner.join(plan, "pivot").withColumn("i", hashed("m")).withColumn("j", every("c"))
+    right_side = outer.join(plan, "pivot").withColumn("j", hashed("c")).withColumn("i", every("m"))
+    columns = ["pivot", "i", "j", "rep", "mult", "v", "member", "free"]
+    met = left_side.select(*columns).unionByName(right_side.select(*columns)).groupBy("pivot", "i", "j").applyInArrow(_across(dim, cosine), "rep long, n long, other long")
+    return scratch.put(links.unionByName(met), "core_links"), members.select("rep")
+
+
+def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, reach: int = REACH, block: int = BLOCK, passes: int | None = None, dense: int = DENSE, seed: int = 42) -> DataFrame:
     """(vid, n_links, component) for each row of (vec_id, embedding).
 
     n_links: the other rows linked directly; component: the smallest vid reachable, vid being vec_id with null as
@@ -112,6 +245,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, reach: int =
     gives an empty result."""
     spark = embeddings.sparkSession
     scratch = Scratch(spark, "embeddings")
+    reach = min(reach, block)  # a block sees the beginning of the next one only
     rows = embeddings.select(did("vec_id").alias("vid"), F.col("embedding").cast("array<double>").alias("v")).withColumn("ok", valid(F.col("v")))
     dim = dimension(rows)
     rows = rows.withColumn("ok", F.col("ok") & (F.size("v") == dim))
@@ -120,14 +254,21 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, reach: int =
     classes = rows.filter("ok").groupBy("h").agg(F.min("vid").alias("rep"), F.count("*").alias("mult"), F.any_value("v").alias("v"))
     classes = scratch.put(classes, "classes")
     n = classes.count()
+    cores = _cores(classes, dim, n, cosine, block, dense, seed, scratch) if n >= dense else None
+    rest = classes.select("rep", "mult", "v")
+    if cores is not None:
+        rest = scratch.put(rest.join(cores[1].hint("merge"), "rep", "left_anti"), "rest")
+        n = rest.count()
     passes = passes or passes_for(n, cosine, reach)
-    keys = classes.select("rep", "v").mapInArrow(_keys(dim, passes, seed), "pass int, key long, rep long")
+    keys = rest.select("rep", "v").mapInArrow(_keys(dim, passes, seed), "pass int, key long, rep long")
     ranks = scratch.put(_ranks(keys, passes, scratch), "ranks")
     scratch.drop("order")
-    ranked = classes.select("rep", "mult", "v").join(ranks, "rep").select("*", F.posexplode("ranks").alias("pass", "rank"))
+    ranked = rest.join(ranks, "rep").select("*", F.posexplode("ranks").alias("pass", "rank"))
     blocks = F.when((F.col("rank") % block < reach) & (F.col("rank") >= block), F.expr(f"array(rank div {block}, rank div {block} - 1)")).otherwise(F.expr(f"array(rank div {block})"))
     dealt = ranked.select("rep", "mult", "v", "ranks", "pass", F.explode(blocks).alias("block"))
     found = scratch.put(dealt.groupBy("pass", "block").applyInArrow(_compare(dim, cosine, reach, block), "rep long, n long, other long"), "found")
+    if cores is not None:
+        found = found.unionByName(cores[0])
     roots = components(found.select(F.col("rep").alias("a"), F.col("other").alias("b")), scratch)
     links = found.groupBy("rep").agg(F.sum("n").alias("n"))
     figures = classes.select("h", "rep", "mult").join(links, "rep", "left").join(roots.select(F.col("a").alias("rep"), "root"), "rep", "left")

@@ -196,6 +196,21 @@ def test_embedding_links(spark):
     assert whole.n_links.tolist() == near.sum(1).tolist() and whole.component.tolist() == union(len(x), np.argwhere(near).tolist())
 
 
+def test_dense_cores_lose_no_link(spark):
+    rng = np.random.default_rng(7)
+    u = rng.normal(size=(6, 24))
+    x = np.concatenate([u[0] + 0.15 * rng.normal(size=(300, 24)), u[0] + 0.35 * rng.normal(size=(60, 24)), u[1] + 0.1 * rng.normal(size=(150, 24)), 0.75 * u[0] + 0.4 * u[1] + 0.2 * rng.normal(size=(60, 24)), rng.normal(size=(80, 24))])
+    x[10] = x[11]
+    x = x[rng.permutation(len(x))]
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = (unit @ unit.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+    found = embedding_dedup.near_duplicates(rows, reach=len(x), block=len(x) + 1, dense=60).toPandas().sort_values("vid")
+    assert found.n_links.tolist() == near.sum(1).tolist() and found.component.tolist() == union(len(x), np.argwhere(near).tolist())
+    split = embedding_dedup.near_duplicates(rows, reach=len(x), block=150, dense=60).toPandas().sort_values("vid")
+    assert split.n_links.tolist() == near.sum(1).tolist() and split.component.tolist() == found.component.tolist()
+
+
 def test_nearest_recall(table):
     rows = table("embeddings")
     data = rows.toPandas()
