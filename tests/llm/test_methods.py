@@ -67,6 +67,38 @@ def test_simhash_links(spark, crowd):
     assert union(len(prints), [(place[a], place[b]) for a, b in found]) == union(len(prints), close)
 
 
+def test_similar_groups(spark):
+    rng = np.random.default_rng(9)
+    texts, pairs = [], []
+    for k in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 4000, 300)]
+        texts.append(" ".join(words))
+        for n in (1, 3) if k < 40 else ():
+            near = list(words)
+            for at in rng.integers(0, 300, n):
+                near[at] = "changed"
+            pairs.append((len(texts) - n // 2 - 1, len(texts)))
+            texts.append(" ".join(near))
+    far = " ".join(texts[0].split()[:150] + [f"z{k}" for k in range(150)])
+    texts += [far, texts[3].upper(), None, ""]
+    pairs += [(3, len(texts) - 3), (len(texts) - 2, len(texts) - 1)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = [r["component"] for r in simhash.similar_groups(rows).orderBy("did").collect()]
+    assert found == union(len(texts), pairs)
+
+
+def test_wide_fingerprint_tells_similarity():
+    rng = np.random.default_rng(10)
+    words = [f"w{x}" for x in rng.integers(0, 10**6, 1000)]
+    near = list(words)
+    for at in range(0, 1000, 40):
+        near[at] = "changed"
+    a, b = (simhash.shingle_set(" ".join(x), 5) for x in (words, near))
+    index = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    x, y = (int.from_bytes(simhash.wide_fingerprint(" ".join(w))) for w in (words, near))
+    assert abs((x ^ y).bit_count() - simhash.most_bits(index)) < 70
+
+
 def test_simhash_fingerprint():
     text = "The QUICK brown\tfox Jumps over É"
     words = re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), text))
