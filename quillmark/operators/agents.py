@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions.parse import confidence, passages, sufficient, verification
 from quillmark.operators.ranking import best
+from quillmark.session import ensure_checkpoints
 
 Model = Callable[[Column], Column]
 #: From (query_id, text) to hits (query_id, doc_id, text, score, rank).
@@ -109,6 +110,7 @@ def iterative(queries: DataFrame, search: Search, judge: Model, refine: Model, m
 
     Documents of all rounds are merged by text, the first occurrence counts. Sufficiency is judged on the 2k best by score; the final context is the first 2k in the
     order in which they came."""
+    ensure_checkpoints(queries.sparkSession)
     columns = ["query_id", "doc_id", "text", "score", "round", "rank"]
     open_ = queries.select("query_id", "text", F.col("text").alias("ask"))
     docs, settled = None, None
@@ -130,6 +132,7 @@ def iterative(queries: DataFrame, search: Search, judge: Model, refine: Model, m
 def self_reflective(queries: DataFrame, search: Search, assess: Model, model: Model, verify: Model | None = None, threshold: float = 0.7, style: str = "concise") -> DataFrame:
     """(query_id, confidence, route, docs, prediction): retrieve only where the model's confidence is up to the threshold; an answer that is not
     supported by its context gives way to the direct one, without documents."""
+    ensure_checkpoints(queries.sparkSession)
     assessed = queries.withColumn("confidence", confidence(assess(prompt(F.col("text"))))).checkpoint()
     sure = direct(assessed.filter(F.col("confidence") > threshold), model, style).withColumn("route", F.lit("direct")).withColumn("docs", F.lit(None))
     unsure = assessed.filter(F.col("confidence") <= threshold)

@@ -80,10 +80,6 @@ def _length_sure(prompts):
 
 
 def _agent(spark: SparkSession, d: str, kind: str) -> DataFrame:
-    from tempfile import mkdtemp
-
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir(mkdtemp())
     asked, search, model = queries(spark, d), _search(spark, d), agents.model_slot(_last_word)
     if kind == "direct":
         return agents.direct(asked, model)

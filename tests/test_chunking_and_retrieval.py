@@ -169,7 +169,6 @@ def test_index_stores(spark, tmp_path):
 def test_agents(spark):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     asked = spark.createDataFrame([(0, "chase cats"), (1, "moon"), (2, "zzz")], "query_id long, text string")
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/quillmark-tests")
     search = lambda q: sparse.bm25(docs, q.select("query_id", "text"), 2).join(docs, "doc_id").select("query_id", "doc_id", "text", "score", "rank")
     says = lambda text: agents.model_slot(lambda p: p.map(lambda _: text))
     got = agents.iterative(asked, search, says("INSUFFICIENT"), says("moon"), says("x"), k=2, rounds=2).collect()
