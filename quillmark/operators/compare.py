@@ -188,7 +188,7 @@ def deduplicate(rows: DataFrame, keys: list[str], metric: str) -> DataFrame:
 
 def health_counts(states: DataFrame) -> DataFrame:
     """One row over (phase): totals of complete, failed, in progress and without state; other phases count in the total alone."""
-    return states.agg(F.count("*").alias("total"), F.count_if("phase = 'complete'").alias("complete"), F.count_if("phase = 'failed'").alias("failed"), F.count_if("phase in ('generating', 'computing_metrics')").alias("in_progress"), F.count_if("phase is null").alias("no_state"))
+    return states.agg(F.count("*").alias("total"), F.count_if(F.expr("phase = 'complete'")).alias("complete"), F.count_if(F.expr("phase = 'failed'")).alias("failed"), F.count_if(F.expr("phase in ('generating', 'computing_metrics')")).alias("in_progress"), F.count_if(F.expr("phase is null")).alias("no_state"))
 
 
 def value_counts(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -174,7 +174,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     ),
     "flatten_text": (
         lambda s, d: documents(s, d).select("doc_id", F.md5(tx.squeeze(F.trim(F.col("text")))).alias("h"), F.size(tx.sentences(F.col("text"))).alias("sentences"), tx.shorten(F.col("text"), 20).alias("short")),
-        r"""SELECT doc_id, md5(regexp_replace(trim(text), '\s+', ' ', 'g')) AS h, CAST(len(list_filter(string_split_regex(text, '[.!?]+'), lambda s: trim(s, E' \t\n\r\f\v') <> '')) AS INTEGER) AS sentences, CASE WHEN length(text) > 20 THEN left(text, 20) || '...' ELSE text END AS short FROM documents""",
+        r"""SELECT doc_id, md5(regexp_replace(trim(text), '\s+', ' ', 'g')) AS h, CAST(len(list_filter(string_split_regex(text, '[.!?]+'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g') <> '')) AS INTEGER) AS sentences, CASE WHEN length(text) > 20 THEN left(text, 20) || '...' ELSE text END AS short FROM documents""",
     ),
     "agent_direct": (lambda s, d: _agent(s, d, "direct"), None),
     "agent_rag": (lambda s, d: _agent(s, d, "rag"), None),

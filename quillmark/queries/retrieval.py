@@ -141,7 +141,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     ),
     "multiquery_merge": (
         _multiquery,
-        rf"""WITH sents AS (SELECT item_id, text, list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda s: trim(s, E' \t\n\r\f\v')), lambda s: s <> '')[1:3] AS ss FROM benchmark),
+        rf"""WITH sents AS (SELECT item_id, text, list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')[1:3] AS ss FROM benchmark),
         ex AS (SELECT item_id, unnest(list_prepend(text, ss)) AS qtext, unnest(range(0, len(ss) + 1)) AS expansion FROM sents),
         {_INDEX.split(', q AS (')[0]}, q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id * 100 + expansion AS query_id, unnest({_TOKENS.format('qtext')}) AS term FROM ex) GROUP BY ALL), {_BM25_HITS}, hits AS ({_ranked('bm', 5)}),
         f AS (SELECT h.query_id // 100 AS query_id, doc_id, score, row_number() OVER (PARTITION BY h.query_id // 100, text ORDER BY h.query_id % 100, rank) AS rn FROM hits h JOIN documents USING (doc_id)), g AS (SELECT query_id, doc_id, score FROM f WHERE rn = 1) {_ranked('g', 5)}""",
