@@ -12,6 +12,7 @@ from quillmark.plans import grid, lifecycle
 from quillmark.queries.bindings import PREDICTIONS, RESULTS, Query, documents, predictions, queries, read, results, rounded, sql
 from quillmark.queries.retrieval import _ANSWER, _BM25_HITS, _INDEX, _NORM, _WORDS, _bm25, _ranked
 from quillmark.sources import corpora
+from quillmark.sources import results as result_files
 
 _FUZZY = r"regexp_replace(regexp_replace(regexp_replace(lower({}), '^\s+|\s+$', '', 'g'), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g')"
 
@@ -194,6 +195,18 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         lambda s, d: agents.pending(queries(s, d), _bm25(s, d, 1).filter("score > 20").select("query_id")).select("query_id"),
         f"WITH {_INDEX}, {_BM25_HITS}, hits AS ({_ranked('bm', 1)}) SELECT item_id AS query_id FROM benchmark WHERE item_id NOT IN (SELECT query_id FROM hits WHERE score > 20)",
     ),
+    "name_filter": (
+        lambda s, d: result_files.matching(_parts(s, d).select(F.col("p_partkey").alias("id"), "p_name"), "*e? w*", "p_name").select("id"),
+        "SELECT p_partkey AS id FROM part WHERE p_name LIKE '%e_ w%'",
+    ),
+    "cache_keys": (
+        lambda s, d: _parts(s, d).select(F.col("p_partkey").alias("id"), fusion.cache_key(F.col("p_type"), F.when(F.col("p_size") % 2 == 0, F.col("p_size") / 50.0), F.lit(60)).alias("key")),
+        "SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN p_type || printf('_a%.2f_c60', p_size / 50.0::DOUBLE) ELSE p_type END AS key FROM part",
+    ),
+    "trial_density": (
+        lambda s, d: rounded(compare.stratified_mean(results(s, d), "prompt", "f1", ["top_k", "dataset"]).join(compare.crosstab(results(s, d), "prompt", "top_k").filter("top_k = 1").select("prompt", F.col("n").alias("tried")), "prompt")),
+        sql(f"WITH {RESULTS}, m AS (SELECT prompt, avg(m) AS mean, count(m) AS n_strata FROM (SELECT prompt, top_k, dataset, avg(f1) AS m FROM results GROUP BY ALL) GROUP BY prompt) SELECT m.*, t.tried FROM m JOIN (SELECT prompt, count(*) AS tried FROM results WHERE top_k = 1 GROUP BY prompt) t USING (prompt)", "mean"),
+    ),
     "error_filter": (
         lambda s, d: _parts(s, d).select(F.col("p_partkey").alias("id"), F.concat(F.when(F.col("p_size") % 3 == 0, "[ERROR: ").when(F.col("p_size") % 3 == 1, "[ABORTED: ").otherwise(""), F.col("p_name")).alias("prediction")).filter(~metrics.is_error(F.col("prediction"))).select("id"),
         "SELECT p_partkey AS id FROM part WHERE p_size % 3 <> 0",

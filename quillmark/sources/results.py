@@ -6,6 +6,8 @@ on its folder. A missing metric is 0.0 but for the judge's, which stays null.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,6 +125,14 @@ def metric_of(spark: SparkSession, root: str, metric: str = "f1") -> DataFrame:
     return stored.join(from_items, "name", "full").select("name", F.coalesce("stored", "mean").alias("value")).filter("value is not null")
 
 
+def matching(rows: DataFrame, pattern: str, name: str = "name") -> DataFrame:
+    """Rows whose name fits a glob of * and ?, or contains the pattern if it has neither."""
+    if not set(pattern) & set("*?"):
+        return rows.filter(F.contains(F.col(name), F.lit(pattern)))
+    regex = "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in pattern)
+    return rows.filter(F.rlike(name, F.lit(f"^{regex}$")))
+
+
 def write_experiments(rows: DataFrame, path: str) -> None:
     """One Parquet table, a folder for each experiment; a failed job leaves the old one."""
     rows.write.mode("overwrite").partitionBy("experiment").parquet(path)
