@@ -138,7 +138,10 @@ def _windows(window: int, gram: int):
                 if len(words := _words(text.as_py())) < window:
                     continue
                 at = np.flatnonzero(np.isin(_window_prints(words, window, gram), np.array(found, np.int64)))
-                whole = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join(words[k : k + window])) for k in at), ">i8").reshape(-1, 2)
+                line = memoryview(b" ".join(words))
+                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1  # of words in the line
+                spans = zip((np.concatenate([[-1], ends])[at] + 1).tolist(), ends[at + window - 1].tolist(), strict=True)
+                whole = np.frombuffer(b"".join(xxhash.xxh3_128_digest(line[a:b]) for a, b in spans), ">i8").reshape(-1, 2)
                 for column, values in zip(out, (whole[:, 0].astype(np.int64), whole[:, 1].astype(np.int64).astype(np.int32), np.full(len(at), i), np.full(len(at), tag, np.int32), at.astype(np.int32)), strict=True):
                     column.append(values)
             if out[0]:
