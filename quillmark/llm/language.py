@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillmark.llm.common import others
+
 LENGTH, EMBEDDED, WIDTHS, FILTERS = 256, 6, (2, 3, 4), 12
 UNKNOWN = "und"
 MOST_LANGUAGES = 400
@@ -177,13 +179,14 @@ def judge(net: ByteNet | None, texts: list[str | None]) -> tuple[list[str], list
     return langs, scores
 
 
-def _judged(net: ByteNet | None):
+def _judged(net: ByteNet | None, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 part = batch.slice(k, 1000)
                 langs, scores = judge(net, part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["row", "lang_pred", "score"])
+                columns = {"row": part.column(0), **({"text": part.column(1)} if keep_text else {}), "lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())}
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return run
 
@@ -192,18 +195,18 @@ def _key():
     return F.col("doc_id").cast("string")
 
 
-def identify(docs: DataFrame) -> DataFrame:
-    """(row, lang_pred, score): each row of docs as a struct, the language of its whole text and the
-    network's mean probability for it.
+def identify(docs: DataFrame, keep_text: bool = False) -> DataFrame:
+    """(row, lang_pred, score): the other columns of each row of docs as a struct, the language of its whole text and the
+    network's mean probability for it; and text, if it is to be kept.
 
     Learns from text and non-null lang of the rows whose crc32(doc_id as text) mod 3 is not 1; rows of a null id are
     neither learned from nor held out. A null text, one without letters, and every text if
     there is nothing to learn from, get `und` and 0. An empty table gives an empty result."""
     learn = docs.filter(F.crc32(_key()) % 3 != 1).select(_key().alias("key"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     net = train(learn)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
-    schema = T.StructType([T.StructField("row", rows.schema[0].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(_judged(net), schema)
+    rows = docs.select(others(docs).alias("row"), F.col("text").cast("string").alias("text"))
+    fields = [T.StructField("row", rows.schema["row"].dataType), *([T.StructField("text", T.StringType())] if keep_text else []), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    return rows.mapInArrow(_judged(net, keep_text), T.StructType(fields))
 
 
 def op3(docs: DataFrame) -> DataFrame:
@@ -215,5 +218,5 @@ def op3(docs: DataFrame) -> DataFrame:
 
 def documents_with_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of docs whose language was told with a score of at least ``least``."""
-    kept = identify(docs).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return kept.select("row.*")
+    kept = identify(docs, keep_text=True).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return kept.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
