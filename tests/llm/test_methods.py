@@ -308,3 +308,8 @@ def test_pipeline_keeps_and_catches(spark, table):
     kept = {r["doc_id"] for r in simhash.deduplicate(docs.unionByName(copies)).select("doc_id").collect()}
     assert not any(k >= 10_000 for k in kept)
     assert language.documents_with_language(docs).count() >= 0.95 * docs.count()
+
+
+def test_url_filter_is_native(spark, table):
+    done = urls.op5(table("pages"))
+    assert not re.search("Python|Pandas|Arrow", done._jdf.queryExecution().executedPlan().toString())
