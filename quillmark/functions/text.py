@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +14,12 @@ FAITHFULNESS_STOP = tuple("the a an is was are were be been in on at to for of a
 HALLUCINATION_STOP = (*FAITHFULNESS_STOP, *"this that these those it its they their".split())
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once. Inside a function over array elements an outer expression is computed anew for
+    each element; a bound variable is not."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """Split at white space; no empty words."""
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
@@ -51,13 +58,19 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"([{_WORD}]{{2,}})"), F.lit(1))
 
 
+def numbered(bag: Column) -> Column:
+    """The words of a bag, each with the number of its occurrence, so that bags can be intersected as sets."""
+    return let(F.sort_array(bag), lambda ordered: F.transform(ordered, lambda w, i: F.concat_ws(" ", w, (i - F.array_position(ordered, w)).cast("string"))))
+
+
 def token_f1(prediction: Column, reference: Column) -> Column:
     """F1 of the bags of words of two normalised texts: 1 if both are empty, 0 if one is or they share none."""
-    p, r = words(normalize_answer(prediction)), words(normalize_answer(reference))
-    times = lambda bag, w: F.size(F.filter(bag, lambda x: x == w))
-    shared = F.aggregate(F.array_intersect(p, r), F.lit(0), lambda acc, w: acc + F.least(times(p, w), times(r, w)))
-    f1 = 2.0 * shared / (F.size(p) + F.size(r))
-    return F.when((F.size(p) == 0) & (F.size(r) == 0), 1.0).when(shared == 0, 0.0).otherwise(f1)
+
+    def of(p: Column, r: Column) -> Column:
+        shared = F.size(F.array_intersect(p, r))
+        return F.when((F.size(p) == 0) & (F.size(r) == 0), 1.0).when(shared == 0, 0.0).otherwise(2.0 * shared / (F.size(p) + F.size(r)))
+
+    return let(numbered(words(normalize_answer(prediction))), lambda p: let(numbered(words(normalize_answer(reference))), lambda r: of(p, r)))
 
 
 def exact_match(prediction: Column, reference: Column) -> Column:
@@ -80,20 +93,22 @@ def title_key(title: Column) -> Column:
 
 def answer_in_prompt(answers: Column, prompt: Column) -> Column:
     """Whether a normalised answer of two characters at least is contained in the normalised prompt."""
-    where = normalize_fuzzy(prompt)
-    return F.coalesce(F.exists(answers, lambda a: (F.length(normalize_fuzzy(a)) >= 2) & F.contains(where, normalize_fuzzy(a))), F.lit(False))
+
+    def fits(where: Column, answer: Column) -> Column:
+        return let(normalize_fuzzy(answer), lambda a: (F.length(a) >= 2) & F.contains(where, a))
+
+    return let(normalize_fuzzy(prompt), lambda where: F.coalesce(F.exists(answers, lambda a: fits(where, a)), F.lit(False)))
 
 
 def is_correct(prediction: Column, answers: Column, threshold: float = 0.5) -> Column:
     """Whether prediction and an answer contain one another, or share enough of the answer's words."""
-    p = normalize_fuzzy(prediction)
 
-    def fits(answer: Column) -> Column:
-        a = normalize_fuzzy(answer)
-        shared = (F.size(F.array_distinct(words(p))) > 0) & (F.size(words(a)) > 0) & (overlap(words(a), words(p)) >= threshold)
+    def fits(p: Column, a: Column) -> Column:
+        shared = (F.size(words(p)) > 0) & (F.size(words(a)) > 0) & (overlap(words(a), words(p)) >= threshold)
         return (a != "") & (F.contains(p, a) | F.contains(a, p) | shared)
 
-    return F.coalesce((prediction != "") & F.exists(answers, fits), F.lit(False))
+    told = let(normalize_fuzzy(prediction), lambda p: F.exists(answers, lambda answer: let(normalize_fuzzy(answer), lambda a: fits(p, a))))
+    return F.coalesce((prediction != "") & told, F.lit(False))
 
 
 def shorten(text: Column, most: int, mark: str = "...") -> Column:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.functions.text import FAITHFULNESS_STOP, HALLUCINATION_STOP, exact_match, normalize_context, overlap, sentences, token_f1, words
+from quillmark.functions.text import FAITHFULNESS_STOP, HALLUCINATION_STOP, exact_match, let, normalize_context, overlap, sentences, token_f1, words
 
 ERROR_PREFIX = "[ERROR:"
 #: Metric name to a function of the columns prediction, references, contexts.
@@ -66,27 +66,30 @@ def joined(contexts: Column) -> Column:
 @metric("answer_in_context")
 def _answer(prediction: Column, references: Column, contexts: Column) -> Column:
     """Whether a normalised reference of two characters at least is contained in the normalised context."""
-    where = normalize_context(joined(contexts))
-    return F.coalesce(F.exists(references, lambda r: (F.length(normalize_context(r)) >= 2) & F.contains(where, normalize_context(r))), F.lit(False)).cast("double")
+
+
+    def fits(where: Column, reference: Column) -> Column:
+        return let(normalize_context(reference), lambda r: (F.length(r) >= 2) & F.contains(where, r))
+
+    return let(normalize_context(joined(contexts)), lambda where: F.coalesce(F.exists(references, lambda r: fits(where, r)), F.lit(False)).cast("double"))
 
 
 @metric("context_recall")
 def _recall(prediction: Column, references: Column, contexts: Column) -> Column:
     """Share of a reference's sentences of three words at least that the context contains, or shares four fifths of the words of; without
     such sentences the reference as a whole."""
-    where = normalize_context(joined(contexts))
-    seen = words(where)
 
-    def told(s: Column) -> Column:
-        n = normalize_context(s)
+    def told(where: Column, seen: Column, n: Column) -> Column:
         return (n != "") & (F.contains(where, n) | (overlap(words(n), seen) >= 0.8))
 
-    def of(reference: Column) -> Column:
-        long = F.filter(sentences(reference), lambda s: F.size(words(normalize_context(s))) >= 3)
-        share = F.size(F.filter(long, told)) / F.size(long).cast("double")
-        return F.when(F.size(long) > 0, share).otherwise(told(reference).cast("double"))
+    def of(where: Column, seen: Column, reference: Column) -> Column:
+        normalised = F.transform(sentences(reference), normalize_context)
+        share = lambda long: F.size(F.filter(long, lambda n: told(where, seen, n))) / F.size(long).cast("double")
+        whole = let(normalize_context(reference), lambda n: told(where, seen, n).cast("double"))
+        return let(F.filter(normalised, lambda n: F.size(words(n)) >= 3), lambda long: F.when(F.size(long) > 0, share(long)).otherwise(whole))
 
-    return F.when(F.size(contexts) > 0, best_of(references, of)).otherwise(0.0)
+    best = let(normalize_context(joined(contexts)), lambda where: let(F.array_distinct(words(where)), lambda seen: best_of(references, lambda r: of(where, seen, r))))
+    return F.when(F.size(contexts) > 0, best).otherwise(0.0)
 
 
 def _content(text: Column, stop: tuple[str, ...]) -> Column:
