@@ -1,14 +1,18 @@
-"""Near-duplicate vectors by sorted projection passes.
+"""Near-duplicate vectors by projection passes.
 
-Each pass gives a vector 64 random one-bit hashes, signs of its projections, orders the vectors
-lexicographically by them, and compares each with the next ``reach`` in the order: cosine
-in double precision, so no false link. A pair is counted in the first pass whose window holds
-it: every vector carries its rank in each pass, so whether an earlier pass saw a pair is
-arithmetic, and pairs are never gathered to tell. A block of ranks adds up the counts of
+Each pass gives a vector random one-bit hashes, signs of its projections. Vectors with equal hashes share a bucket
+of the pass, and every pair of a bucket is compared, in tiles if the bucket is longer than a block: cosine
+in double precision, so no false link. A pair is counted in the first pass whose bucket holds
+it: every vector carries its buckets of all passes, so whether an earlier pass saw a pair is
+arithmetic, and pairs are never gathered to tell. A tile adds up the counts of
 its vectors and passes on the links of a spanning forest; the forests of all passes
 are united by connected components. Equal vectors are one node with a multiplicity.
 
-Windows cannot hold a group of near copies that is longer than they are. So before the passes, stretches of one
+A pair is found if its hashes are equal in a pass, however many vectors share them, so the chance depends on the pair's
+angle and the number of bits alone. The number of bits is the one whose passes cost least, by how full the buckets of the
+first passes are found to be.
+
+Large groups of near copies fill buckets that only comparison empties. So before the passes, stretches of one
 more order with ``DENSE`` vectors within half the threshold's angle of one of them name it a pivot; pivots that lie in
 each other's cores are thinned out. Two vectors within half the angle of a pivot are within the whole angle of
 each other, so a core's members are all linked, which needs a count and no comparison. Vectors within one and a half
@@ -33,17 +37,17 @@ from quillmark.llm.vectors import dimension, matrix, unit, valid
 COSINE, REACH, BLOCK = 0.9, 1024, 4096
 #: Vectors of a stretch of BLOCK that make a core; pivots that one task thins out or is sent at once.
 DENSE, PIVOTS = 512, 4096
+#: Passes whose buckets are measured to choose the number of bits.
+MEASURED = 4
 #: Kept off the borders of angles, against rounding.
 SLACK = 1e-6
 #: Chance of missing a pair at the threshold that the number of passes is chosen for.
 MISS = 0.01
 
 
-def passes_for(n: int, cosine: float = COSINE, reach: int = REACH) -> int:
-    """Passes after which a pair at the threshold is missed with a chance of MISS at most: a pass finds it if the
-    bits that tell n vectors apart down to the reach are equal."""
-    same = 1 - np.arccos(cosine) / np.pi
-    found = same ** max(0.0, log2(max(n, 1) / reach))
+def passes_for(bits: int, cosine: float = COSINE) -> int:
+    """Passes after which a pair at the threshold is missed with a chance of MISS at most: a pass finds it if all its bits are equal."""
+    found = float(1 - np.arccos(cosine) / np.pi) ** bits
     return 1 if found >= 1 - MISS else ceil(log(MISS) / log(1 - found))
 
 
@@ -73,43 +77,56 @@ def _ranks(keys: DataFrame, passes: int, scratch: Scratch) -> DataFrame:
     return ranked.groupBy("rep").agg(F.transform(F.sort_array(F.collect_list(F.struct("pass", "rank"))), lambda s: s["rank"]).alias("ranks"))
 
 
-def _compare(dim: int, cosine: float, reach: int, block: int):
+def _buckets(dim: int, passes: int, bits: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes = np.random.default_rng(seed).normal(size=(passes, dim, 64))[:, :, :bits]
+        powers = 1 << np.arange(bits - 1, -1, -1, dtype=np.int64)
+        for batch in batches:
+            x, n = unit(matrix(batch.column(2), dim)), batch.num_rows
+            keys = np.stack([(x @ planes[p] > 0) @ powers for p in range(passes)], axis=1).astype(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * passes), pa.array(keys.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["rep", "mult", "v", "keys"])
+
+    return run
+
+
+def _bits_for(rest: DataFrame, dim: int, n: int, cosine: float, reach: int, seed: int) -> int:
+    """The number of bits whose passes cost least; to deal a vector out costs as much as ``reach`` comparisons."""
+    most = ceil(log2(max(n, 2)))
+    keys = rest.mapInArrow(_buckets(dim, MEASURED, most, seed), "rep long, mult long, v array<double>, keys array<long>").select(F.posexplode("keys").alias("pass", "key"))
+    prefixes = keys.select("pass", "key", F.explode(F.sequence(F.lit(0), F.lit(most))).alias("bits")).select("pass", "bits", F.expr(f"shiftright(key, {most} - bits)").alias("key"))
+    sizes = prefixes.groupBy("pass", "bits", "key").agg(F.count("*").cast("double").alias("m"))
+    pairs = {r["bits"]: r["pairs"] / MEASURED for r in sizes.groupBy("bits").agg(F.sum(F.col("m") * F.col("m")).alias("pairs")).collect()}
+    return min(pairs, key=lambda b: (passes_for(b, cosine) * (n * reach + pairs[b]), b), default=0)
+
+
+def _compare(dim: int, cosine: float):
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        p, b = key[0].as_py(), key[1].as_py()
-        group = group.combine_chunks()
-        ranks = np.array(group.column("ranks").to_pylist(), np.int64).reshape(group.num_rows, -1)
-        order = np.argsort(ranks[:, p], kind="stable")
-        ranks = ranks[order]
-        reps, mult = group.column("rep").to_numpy()[order], group.column("mult").to_numpy()[order]
-        x = unit(matrix(group.column("v").combine_chunks(), dim))[order]
-        own = int((ranks[:, p] < (b + 1) * block).sum())
-        links, root = np.zeros(len(x), np.int64), list(range(len(x)))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for k in range(0, own, 512):
-            end = min(k + 512, own)
-            near = x[k:end] @ x[k : end + reach].T >= cosine
-            i, j = np.nonzero(near)
-            i, j = i + k, j + k
-            fit = (ranks[j, p] > ranks[i, p]) & (ranks[j, p] - ranks[i, p] <= reach)
-            i, j = i[fit], j[fit]
-            if p:
-                new = (np.abs(ranks[i, :p] - ranks[j, :p]) > reach).all(axis=1)
+        p, one = key[0].as_py(), key[2] == key[3]
+        group = group.combine_chunks().sort_by([("chunk", "ascending"), ("rep", "ascending")])
+        x = unit(matrix(group.column("v").combine_chunks(), dim))
+        reps, mult, keys = group.column("rep").to_numpy(), group.column("mult").to_numpy(), group.column("keys").combine_chunks().flatten().to_numpy().reshape(len(x), -1)
+        own = int((group.column("chunk").to_numpy() == key[2].as_py()).sum())
+        links, root = np.zeros(len(x), np.int64), np.arange(len(x))
+        for k in range(0, own, 256):
+            end, start = min(k + 256, own), k if one else own
+            near = x[k:end] @ x[start:].T >= cosine
+            i, j = np.nonzero(np.triu(near, 1) if one else near)
+            i, j = i + k, j + start
+            for q in range(p):
+                new = keys[i, q] != keys[j, q]
                 i, j = i[new], j[new]
             np.add.at(links, i, mult[j])
             np.add.at(links, j, mult[i])
-            for a, c in zip(i.tolist(), j.tolist(), strict=True):
-                a, c = find(a), find(c)
-                if a != c:
-                    root[c] = a
+            bounds = np.append(np.unique(i, return_index=True)[1], len(i))
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                to, roots = root[i[a]], root[j[a:b]]
+                if (roots != to).any():
+                    joined = np.zeros(len(x), bool)
+                    joined[roots] = True
+                    root[joined[root]] = to
         hit = np.flatnonzero(links)
-        other = reps[[find(i) for i in hit.tolist()]] if len(hit) else reps[:0]
-        return pa.table({"rep": pa.array(reps[hit], pa.int64()), "n": pa.array(links[hit], pa.int64()), "other": pa.array(other, pa.int64())})
+        return pa.table({"rep": pa.array(reps[hit], pa.int64()), "n": pa.array(links[hit], pa.int64()), "other": pa.array(reps[root[hit]], pa.int64())})
 
     return run
 
@@ -245,7 +262,6 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, reach: int =
     gives an empty result."""
     spark = embeddings.sparkSession
     scratch = Scratch(spark, "embeddings")
-    reach = min(reach, block)  # a block sees the beginning of the next one only
     rows = embeddings.select(did("vec_id").alias("vid"), F.col("embedding").cast("array<double>").alias("v")).withColumn("ok", valid(F.col("v")))
     dim = dimension(rows)
     rows = rows.withColumn("ok", F.col("ok") & (F.size("v") == dim))
@@ -259,14 +275,16 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, reach: int =
     if cores is not None:
         rest = scratch.put(rest.join(cores[1].hint("merge"), "rep", "left_anti"), "rest")
         n = rest.count()
-    passes = passes or passes_for(n, cosine, reach)
-    keys = rest.select("rep", "v").mapInArrow(_keys(dim, passes, seed), "pass int, key long, rep long")
-    ranks = scratch.put(_ranks(keys, passes, scratch), "ranks")
-    scratch.drop("order")
-    ranked = rest.join(ranks, "rep").select("*", F.posexplode("ranks").alias("pass", "rank"))
-    blocks = F.when((F.col("rank") % block < reach) & (F.col("rank") >= block), F.expr(f"array(rank div {block}, rank div {block} - 1)")).otherwise(F.expr(f"array(rank div {block})"))
-    dealt = ranked.select("rep", "mult", "v", "ranks", "pass", F.explode(blocks).alias("block"))
-    found = scratch.put(dealt.groupBy("pass", "block").applyInArrow(_compare(dim, cosine, reach, block), "rep long, n long, other long"), "found")
+    bits = _bits_for(rest, dim, n, cosine, reach, seed)
+    passes = passes or passes_for(bits, cosine)
+    keyed = scratch.put(rest.mapInArrow(_buckets(dim, passes, bits, seed), "rep long, mult long, v array<double>, keys array<long>"), "keyed")
+    sizes = keyed.select(F.posexplode("keys").alias("pass", "key")).groupBy("pass", "key").agg(F.ceil(F.count("*") / block).alias("c"), F.count("*").alias("m"))
+    sizes = scratch.put(sizes.filter("m > 1").select("pass", "key", "c"), "buckets")
+    # Members of a bucket, dealt so that each pair of its chunks meets once.
+    shared = keyed.select("*", F.posexplode("keys").alias("pass", "key")).join(sizes, ["pass", "key"]).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("c")))
+    dealt = shared.withColumn("t", F.explode(F.expr("sequence(0L, c - 1)"))).withColumn("i", F.least("chunk", "t")).withColumn("j", F.greatest("chunk", "t"))
+    tiles = dealt.select("pass", "key", "i", "j", "rep", "mult", "v", "keys", "chunk").groupBy("pass", "key", "i", "j")
+    found = scratch.put(tiles.applyInArrow(_compare(dim, cosine), "rep long, n long, other long"), "found")
     if cores is not None:
         found = found.unionByName(cores[0])
     roots = components(found.select(F.col("rep").alias("a"), F.col("other").alias("b")), scratch)

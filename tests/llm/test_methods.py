@@ -243,6 +243,20 @@ def test_dense_cores_lose_no_link(spark):
     assert split.n_links.tolist() == near.sum(1).tolist() and split.component.tolist() == found.component.tolist()
 
 
+def test_loose_groups_keep_their_links(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(3, 64))
+    loose = centres[0] + 0.29 * rng.normal(size=(1500, 64))  # pairs at 0.92, so nothing within half the angle
+    topical = centres[1] + 0.65 * rng.normal(size=(800, 64))  # pairs at 0.7, no links
+    x = np.concatenate([loose, topical, rng.normal(size=(700, 64))])[rng.permutation(3000)]
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = (unit @ unit.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+    found = embedding_dedup.near_duplicates(rows, reach=8, block=200, dense=100).toPandas().sort_values("vid")
+    assert near.sum() > 10**6 and (found.n_links.to_numpy() <= near.sum(1)).all() and found.n_links.sum() >= 0.98 * near.sum()
+    assert found.component.tolist() == union(len(x), np.argwhere(near).tolist())
+
+
 def test_nearest_recall(table):
     rows = table("embeddings")
     data = rows.toPandas()
