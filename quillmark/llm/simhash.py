@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm.common import Scratch, did, undid
@@ -96,7 +96,7 @@ def most_bits(similarity: float, bits: int = TABLES * BLOCK_BITS) -> int:
 def _wide(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([wide_fingerprint(x.as_py(), shingle) for x in batch.column(1)], pa.binary())], names=["did", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([wide_fingerprint(x.as_py(), shingle) for x in batch.column(2)], pa.binary())], names=["did", "th", "fp"])
 
     return run
 
@@ -156,17 +156,22 @@ def _verified(most: int):
     return run
 
 
+def _text_hash() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(did, component) for each row of docs: the smallest did reachable over pairs whose sets of shingles are similar.
+    """(did, th, component, first) for each row of docs: component is the smallest did reachable over pairs whose sets of shingles
+    are similar; first is (did, th) of the row that stands for the group, the smallest, so it tells groups of one component apart.
 
     Of pairs at 0.8 nine in ten share a block, of pairs at 0.85 all but one in a hundred; groups need no
     more than a chain of such pairs. Among n texts n * n / 2 ** 18 pairs or so share a block by chance, so BLOCK_BITS is to grow by two for each four times 100 million texts, and TABLES by a third. A block value that over PART fingerprints share is compared in parts, told by bits of the next block.
     Null and empty texts are alike. A null id sorts last. An empty table gives an empty result."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "similar")
-    texts = docs.select(did().alias("did"), F.col("text").cast("string").alias("text"))
-    rows = scratch.put(texts.mapInArrow(_wide(shingle), "did long, fp binary").withColumn("node", F.xxhash64("fp")), "rows")
-    nodes = scratch.put(rows.groupBy("node").agg(F.min("did").alias("least"), F.any_value("fp").alias("fp")), "nodes")
+    texts = docs.select(did().alias("did"), _text_hash().alias("th"), F.col("text").cast("string").alias("text"))
+    rows = scratch.put(texts.mapInArrow(_wide(shingle), "did long, th long, fp binary").withColumn("node", F.xxhash64("fp")), "rows")
+    nodes = scratch.put(rows.groupBy("node").agg(F.min(F.struct("did", "th")).alias("least"), F.any_value("fp").alias("fp")), "nodes")
     blocks = nodes.select("node", "fp").mapInArrow(_blocks, "key long, node long, next int")
     shared = scratch.put(blocks.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
     part = F.pmod(F.col("next"), F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("n") / PART)))).cast("int"))
@@ -177,9 +182,9 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     scratch.drop("met", "shared")
     roots = components(close, scratch, "similar")
     found = nodes.select("node", "least").join(roots.select(F.col("a").alias("node"), "root"), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    least = scratch.put(found.groupBy("root").agg(F.min("least").alias("component")), "least")
-    classes = scratch.put(found.join(least, "root").select("node", "component"), "classes")
-    return rows.select("did", "node").join(classes, "node").select("did", "component")
+    least = scratch.put(found.groupBy("root").agg(F.min("least").alias("first")), "least")
+    classes = scratch.put(found.join(least, "root").select("node", "first"), "classes")
+    return rows.select("did", "th", "node").join(classes, "node").select("did", "th", F.col("first.did").alias("component"), "first")
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -227,10 +232,10 @@ def op8(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs whose did is the smallest of its group of similar texts; of rows that repeat an id, the
-    one of the smallest text hash. Columns as in docs."""
+    """One row of docs for each group of similar texts, that of the smallest did and then of the smallest text hash; rows are told
+    apart by both, so rows that share an id, or have none, stay if their texts are of different groups. Columns as in docs."""
     groups = similar_groups(docs, shingle, similarity)
-    keep = groups.filter(F.col("did") == F.col("component")).select("did").distinct()
+    keep = groups.filter((F.col("did") == F.col("first.did")) & (F.col("th") == F.col("first.th"))).select("did", "th").distinct()
     own = F.struct(*docs.columns)
-    rows = docs.select(did().alias("did"), F.xxhash64("text").alias("th"), own.alias("row")).join(keep.hint("merge"), "did")
-    return rows.groupBy("did").agg(F.min_by("row", "th").alias("row")).select("row.*")
+    rows = docs.select(did().alias("did"), _text_hash().alias("th"), own.alias("row")).join(keep.hint("merge"), ["did", "th"])
+    return rows.groupBy("did", "th").agg(F.any_value("row").alias("row")).select("row.*")

@@ -324,6 +324,14 @@ def test_pipeline_keeps_and_catches(spark, table):
     assert language.documents_with_language(docs).count() >= 0.95 * docs.count()
 
 
+def test_unlike_texts_under_one_id_stay(spark):
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 4000, 100)) for _ in range(7)]
+    rows = [(None, t) for t in texts[:4]] + [(3, texts[4]), (5, texts[5]), (5, texts[4] + " more"), (5, texts[5]), (None, texts[4]), (6, texts[6]), (6, None), (7, "")]
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted([*rows[:6], *rows[9:11]], key=str)
+
+
 def test_url_filter_is_native(spark, table):
     done = urls.op5(table("pages"))
     assert not re.search("Python|Pandas|Arrow", done._jdf.queryExecution().executedPlan().toString())
