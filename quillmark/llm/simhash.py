@@ -60,7 +60,7 @@ def _fingerprints(shingle: int, seed: int):
 
 #: Blocks of a wide fingerprint and their bits; together a multiple of 64.
 TABLES, BLOCK_BITS = 128, 24
-#: Fingerprints that share a block are compared in parts of about this many at most.
+#: Fingerprints that share a block are compared in chunks of about this many, each pair of chunks in one tile.
 PART = 4096
 
 
@@ -110,28 +110,24 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits = np.unpackbits(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(n, -1), axis=1).reshape(n, TABLES, BLOCK_BITS)
             values = bits @ powers
             keys = values + (np.arange(TABLES, dtype=np.int64) << BLOCK_BITS)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(part.column(0).to_numpy(), TABLES)), pa.array(np.roll(values, -1, axis=1).reshape(-1).astype(np.int32))], names=["key", "node", "next"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(part.column(0).to_numpy(), TABLES))], names=["key", "node"])
 
 
 def _verified(most: int):
-    """Links of a spanning forest of the close pairs of each (key, part), from rows in that order."""
+    """Links of a spanning forest of the close pairs of each (key, i, j), from rows in that order."""
 
     def of(nodes: list[int], prints: list[bytes]) -> list[tuple[int, int]]:
         x = np.frombuffer(b"".join(prints), np.uint64).reshape(len(nodes), -1)
-        root, out = list(range(len(nodes))), []
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for i in range(len(nodes) - 1):
-            for j in np.flatnonzero(np.bitwise_count(x[i + 1 :] ^ x[i]).sum(axis=1) <= most) + i + 1:
-                a, b = find(i), find(int(j))
-                if a != b:
-                    root[b] = a
-                    out.append((nodes[i], nodes[int(j)]))
+        # Each node is compared once with all that no group has taken yet, so close groups cost little.
+        left, out = np.arange(len(nodes)), []
+        while len(left):
+            queue, left = [int(left[0])], left[1:]
+            while queue and len(left):
+                at = queue.pop()
+                near = np.concatenate([np.bitwise_count(x[left[k : k + 1024]] ^ x[at]).sum(axis=1, dtype=np.int64) <= most for k in range(0, len(left), 1024)])
+                out += [(nodes[at], nodes[k]) for k in left[near].tolist()]
+                queue += left[near].tolist()
+                left = left[~near]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,11 +138,11 @@ def _verified(most: int):
 
         for batch in batches:
             out = []
-            for key, part, node, fp in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held[0] != (key, part):
+            for key, i, j, node, fp in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held[0] != (key, i, j):
                     if len(held[1]) > 1:
                         out += of(held[1], held[2])
-                    held = ((key, part), [], [])
+                    held = ((key, i, j), [], [])
                 held[1].append(node)
                 held[2].append(fp)
             yield batch_of(out)
@@ -165,19 +161,22 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     are similar; first is (did, th) of the row that stands for the group, the smallest, so it tells groups of one component apart.
 
     Of pairs at 0.8 nine in ten share a block, of pairs at 0.85 all but one in a hundred; groups need no
-    more than a chain of such pairs. Among n texts n * n / 2 ** 18 pairs or so share a block by chance, so BLOCK_BITS is to grow by two for each four times 100 million texts, and TABLES by a third. A block value that over PART fingerprints share is compared in parts, told by bits of the next block.
+    more than a chain of such pairs. Among n texts n * n / 2 ** 18 pairs or so share a block by chance, so BLOCK_BITS is to grow by two for each four times 100 million texts, and TABLES by a third. A block value that over PART fingerprints share is compared in chunks, each with each.
     Null and empty texts are alike. A null id sorts last. An empty table gives an empty result."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "similar")
     texts = docs.select(did().alias("did"), _text_hash().alias("th"), F.col("text").cast("string").alias("text"))
     rows = scratch.put(texts.mapInArrow(_wide(shingle), "did long, th long, fp binary").withColumn("node", F.xxhash64("fp")), "rows")
     nodes = scratch.put(rows.groupBy("node").agg(F.min(F.struct("did", "th")).alias("least"), F.any_value("fp").alias("fp")), "nodes")
-    blocks = nodes.select("node", "fp").mapInArrow(_blocks, "key long, node long, next int")
+    blocks = nodes.select("node", "fp").mapInArrow(_blocks, "key long, node long")
     shared = scratch.put(blocks.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
-    part = F.pmod(F.col("next"), F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("n") / PART)))).cast("int"))
-    met = scratch.put(blocks.join(shared.hint("merge"), "key").select("key", part.alias("part"), "node"), "met")
-    pairs = met.join(nodes.select("node", "fp").hint("merge"), "node").select("key", "part", "node", "fp")
-    dealt = pairs.repartition("key", "part").sortWithinPartitions("key", "part", "node")
+    chunks = blocks.join(shared.hint("merge"), "key").withColumn("c", F.ceil(F.col("n") / PART)).withColumn("own", F.pmod(F.xxhash64("node"), F.col("c")))
+    # A tile holds two chunks and tells their inner pairs, too; a single chunk is its own tile.
+    others = F.expr("CASE WHEN c = 1 THEN array(0L) ELSE filter(sequence(0L, c - 1), t -> t <> own) END")
+    tiles = chunks.withColumn("t", F.explode(others)).select("key", F.least("own", "t").cast("int").alias("i"), F.greatest("own", "t").cast("int").alias("j"), "node")
+    met = scratch.put(tiles, "met")
+    pairs = met.join(nodes.select("node", "fp").hint("merge"), "node").select("key", "i", "j", "node", "fp")
+    dealt = pairs.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
     close = scratch.put(dealt.mapInArrow(_verified(most_bits(similarity)), "a long, b long"), "close")
     scratch.drop("met", "shared")
     roots = components(close, scratch, "similar")

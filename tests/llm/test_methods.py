@@ -87,6 +87,18 @@ def test_similar_groups(spark):
     assert found == union(len(texts), pairs)
 
 
+def test_crowded_blocks_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PART", 1 / 64)  # a pair is as crowded as 128 chunks
+    rng = np.random.default_rng(12)
+    words, texts = [f"w{x}" for x in rng.integers(0, 4000, 300)], []
+    for k in range(40):
+        for at in range(4):  # 0.87 to the text before, and no link to the rest
+            words[(at * 70 + k * 7) % 300] = f"c{k}-{at}"
+        texts.append(" ".join(words))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["component"] for r in simhash.similar_groups(rows).collect()} == {0}
+
+
 def test_wide_fingerprint_tells_similarity():
     rng = np.random.default_rng(10)
     words = [f"w{x}" for x in rng.integers(0, 10**6, 1000)]
