@@ -39,15 +39,15 @@ def _byte_alphabet() -> dict[str, int]:
 @lru_cache(maxsize=2)
 def encoder(path: str) -> tiktoken.Encoding:
     """The byte-level vocabulary of a tokenizer file, for the fast encoder; ids are those of the file.
-    Strings of special tokens in a text are ordinary text."""
+    Strings of the file's added tokens are those tokens."""
     import public_tokenizers
 
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
-    special = {x["content"] for x in spec.get("added_tokens", [])}
+    special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
     alphabet = _byte_alphabet()
     ranks = {bytes(alphabet[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def default_tokenizer() -> str:
@@ -76,7 +76,7 @@ def _pieces(path: str | None, capacity: int, tolerance: int, with_ids: bool):
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
             for i, tag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                ids = np.append(tokens.encode_to_numpy(text.as_py() or "", allowed_special=set(), disallowed_special=()), END_ID).astype("<u4")
+                ids = np.append(tokens.encode_to_numpy(text.as_py() or "", allowed_special="all"), END_ID).astype("<u4")
                 start = 0
                 for length in cut(len(ids), capacity, tolerance):
                     piece = ids[start : start + length]

@@ -213,6 +213,15 @@ def test_tokenizer_agrees_on_odd_texts():
     agree()
 
 
+def test_tokenizer_agrees_on_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    texts = ["<|endoftext|>", "one <|endoftext|> two<|endoftext|><|endoftext|>\n three", " <|endoftext| > <|ENDOFTEXT|>", ""]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), with_ids=True).orderBy("did").collect()
+    assert [r["ids"] for r in rows] == [[*tokenizer.encode(t, add_special_tokens=False).ids, packing.END_ID] for t in texts]
+
+
 def test_cut_fills_slots():
     for n in range(0, 9000, 7):
         pieces = packing.cut(n)
