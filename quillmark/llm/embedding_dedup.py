@@ -258,8 +258,8 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, reach: int =
 
     n_links: the other rows linked directly; component: the smallest vid reachable, vid being vec_id with null as
     the largest long. Vectors that are null, zero, not finite or of another length than most link with
-    nothing. Rows with equal vectors are linked. Rows of one vec_id are one node. An empty table
-    gives an empty result."""
+    nothing. Rows with equal vectors are linked. Rows that share an id, or have none, and differ in vector are linked as
+    their vectors are, each for itself. An empty table gives an empty result."""
     spark = embeddings.sparkSession
     scratch = Scratch(spark, "embeddings")
     rows = embeddings.select(did("vec_id").alias("vid"), F.col("embedding").cast("array<double>").alias("v")).withColumn("ok", valid(F.col("v")))
@@ -267,8 +267,8 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, reach: int =
     rows = rows.withColumn("ok", F.col("ok") & (F.size("v") == dim))
     # Equal vectors have equal text forms; adding zero makes the two zeros one.
     rows = rows.withColumn("h", F.when(F.col("ok"), F.unhex(F.md5(F.array_join(F.transform("v", lambda x: F.hex((x + F.lit(0.0)).cast("string"))), ",")))))
-    classes = rows.filter("ok").groupBy("h").agg(F.min("vid").alias("rep"), F.count("*").alias("mult"), F.any_value("v").alias("v"))
-    classes = scratch.put(classes, "classes")
+    classes = rows.filter("ok").groupBy("h").agg(F.min("vid").alias("least"), F.count("*").alias("mult"), F.any_value("v").alias("v"))
+    classes = scratch.put(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")  # ids may repeat, so a number is the node
     n = classes.count()
     cores = _cores(classes, dim, n, cosine, block, dense, seed, scratch) if n >= dense else None
     rest = classes.select("rep", "mult", "v")
@@ -281,7 +281,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, reach: int =
     sizes = keyed.select(F.posexplode("keys").alias("pass", "key")).groupBy("pass", "key").agg(F.ceil(F.count("*") / block).alias("c"), F.count("*").alias("m"))
     sizes = scratch.put(sizes.filter("m > 1").select("pass", "key", "c"), "buckets")
     # Members of a bucket, dealt so that each pair of its chunks meets once.
-    shared = keyed.select("*", F.posexplode("keys").alias("pass", "key")).join(sizes, ["pass", "key"]).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("c")))
+    shared = keyed.select("*", F.posexplode("keys").alias("pass", "key")).join(sizes.hint("merge"), ["pass", "key"]).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("c")))
     dealt = shared.withColumn("t", F.explode(F.expr("sequence(0L, c - 1)"))).withColumn("i", F.least("chunk", "t")).withColumn("j", F.greatest("chunk", "t"))
     tiles = dealt.select("pass", "key", "i", "j", "rep", "mult", "v", "keys", "chunk").groupBy("pass", "key", "i", "j")
     found = scratch.put(tiles.applyInArrow(_compare(dim, cosine), "rep long, n long, other long"), "found")
@@ -289,9 +289,11 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, reach: int =
         found = found.unionByName(cores[0])
     roots = components(found.select(F.col("rep").alias("a"), F.col("other").alias("b")), scratch)
     links = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    figures = classes.select("h", "rep", "mult").join(links, "rep", "left").join(roots.select(F.col("a").alias("rep"), "root"), "rep", "left")
-    figures = scratch.put(figures.select("h", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component")), "figures")
-    done = rows.select("vid", "h").join(figures, "h", "left")
+    known = classes.select("h", "rep", "mult", "least").join(links.hint("merge"), "rep", "left").join(roots.select(F.col("a").alias("rep"), "root").hint("merge"), "rep", "left")
+    known = scratch.put(known.select("h", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), "least", F.coalesce("root", "rep").alias("root")), "known")
+    least = scratch.put(known.groupBy("root").agg(F.min("least").alias("component")), "least")
+    figures = scratch.put(known.join(least.hint("merge"), "root").select("h", "n_links", "component"), "figures")
+    done = rows.select("vid", "h").join(figures.hint("merge"), "h", "left")
     return done.select("vid", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "vid").alias("component"))
 
 
