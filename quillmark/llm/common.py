@@ -28,10 +28,12 @@ _own_dirs: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all machines of the cluster share (``spark.checkpoint.dir``).
 
-    Only where the session names none, as in local tests, a temporary folder is made."""
+    Where the session names none a local master, as in tests, gets a temporary folder; a cluster gets an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="quillmark-")
@@ -54,12 +56,12 @@ class Scratch:
         path = f"{self.root}/{name}"
         writer = df.write.mode("overwrite")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-        self.spark._jvm.System.gc()  # Spark's cleaner then frees the shuffle files of finished phases
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         for name in names:
             self._delete(f"{self.root}/{name}")
+        self.spark._jvm.System.gc()  # the end of a phase: Spark's cleaner then frees its shuffle files
 
     def _delete(self, path: str) -> None:
         jvm = self.spark._jvm
@@ -77,6 +79,11 @@ def did(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
 
 
+def text_hash() -> Column:
+    """64 bits of a row's text; tells rows of one id, or of none, apart."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def undid(column: str = "did") -> Column:
     return F.nullif(F.col(column), F.lit(NO_ID))
 

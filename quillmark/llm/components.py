@@ -43,14 +43,14 @@ def _large_star(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Links each larger neighbour of a node to the smallest of the node and its neighbours."""
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(scratch.put(least, name), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.join(scratch.put(least, name).hint("merge"), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Links a node and its smaller neighbours to the smallest of them. Needs a > b."""
     least = links.groupBy("a").agg(F.min("b").alias("m"))
     least = scratch.put(least, name)
-    rest = links.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    rest = links.join(least.hint("merge"), "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return least.select("a", F.col("m").alias("b")).unionByName(rest).distinct()
 
 

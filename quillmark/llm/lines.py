@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmark.llm.common import Scratch, did, others
+from quillmark.llm.common import Scratch, did, others, text_hash
 
 WINDOW = 3
 
@@ -67,7 +67,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Rows alike in id and text count as one place, so they do not remove each other. A null id
     sorts last. An empty table gives an empty result."""
     scratch = Scratch(docs.sparkSession, "lines")
-    rows = docs.select(others(docs).alias("row"), did().alias("did"), F.hash("text").alias("tag"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(others(docs).alias("row"), did().alias("did"), text_hash().alias("tag"), F.col("text").cast("string").alias("text"))
     starts = scratch.put(later_windows(rows.select("did", "tag", "text"), scratch, window), "starts")
     schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
     return rows.join(starts.hint("merge"), ["did", "tag"], "left").select("row", "text", "starts").mapInArrow(_kept(window), schema)

@@ -1,13 +1,14 @@
 """Mixing sources to target weights by blocks.
 
 The words of a source, document after document, are cut into blocks of fixed length. Each output
-shard draws multinomially how many of its slots each source gets, in proportion to what the source still
-owes; the last shard takes what is left, so totals come out. The t-th slot of a source is
+shard draws multinomially how many of its slots each source gets, in proportion to what the sources owe, from a seed
+of its own, so shards are drawn by tasks that know nothing of each other; a source's slots are numbered through over the
+shards, those beyond what it owes go, and the last shard takes what is left, so totals come out. The t-th slot of a source is
 mapped to a block by a pseudorandom permutation of the source's block numbers, a new one for
 each pass over them, so no block is taken twice more than another. Slots and blocks are joined
 by source and number.
 
-Only figures for each source, of which there are at most ``MOST_SOURCES``, and for each shard reach the driver.
+Only figures for each source, of which there are at most ``MOST_SOURCES``, reach the driver.
 Positions in a source come from sums over hash buckets, so a hot source has no single
 ordered pass.
 """
@@ -21,14 +22,14 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmark.llm.common import WORD, Scratch, did, n_words, others, undid
+from quillmark.llm.common import WORD, Scratch, did, n_words, others, text_hash, undid
 
 BLOCK, MOST_SOURCES, MOST_SHARDS, SHARD_SLOTS = 128, 100_000, 4096, 1024
-#: A source has this many blocks at least, if it has as many words; small sources get shorter blocks.
+#: A source's blocks are as long as a fiftieth of it, BLOCK words at most: one length for each source, by one rule at every size.
 LEAST_BLOCKS = 50
 CAP = 3.0
 CYCLE = (5.0, 2.0, 1.0)
@@ -50,15 +51,46 @@ def targets(sizes: list[float], weights: list[float], cap: float = CAP) -> list[
     return out
 
 
+def shard_draw(owed: np.ndarray, slots: int, seed: int, shard: int) -> np.ndarray:
+    """Slots of each source in one shard."""
+    return np.random.default_rng([seed, shard]).multinomial(slots, owed / owed.sum())
+
+
 def shard_draws(owed: list[int], slots: int, seed: int) -> np.ndarray:
-    """Slots of each source (columns) in each shard (rows); columns sum to owed."""
+    """Slots of each source (columns) in each shard (rows), all in one place; columns sum to owed."""
     owed_ = np.array(owed, np.int64)
-    rows = []
-    while owed_.sum() > slots:
-        draw = np.minimum(np.random.default_rng([seed, len(rows)]).multinomial(slots, owed_ / owed_.sum()), owed_)
-        rows.append(draw)
-        owed_ = owed_ - draw
-    return np.array([*rows, owed_])
+    shards = max(1, -(-int(owed_.sum()) // slots))
+    rows = np.array([shard_draw(owed_, slots, seed, k) for k in range(shards - 1)], np.int64).reshape(-1, len(owed_))
+    upto = np.minimum(np.cumsum(rows, axis=0), owed_)
+    return np.diff(np.vstack([np.zeros_like(owed_), upto, owed_]), axis=0)
+
+
+def _drawn(owed: np.ndarray, slots: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard in batch.column(0).to_pylist():
+                draw = shard_draw(owed, slots, seed, shard)
+                sid = np.flatnonzero(draw)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sid), shard)), pa.array(sid), pa.array(draw[sid])], names=["shard", "sid", "count"])
+
+    return run
+
+
+def planned_slots(spark: SparkSession, owed: list[int], slots: int, seed: int) -> DataFrame:
+    """(shard, sid, first, count): the slots of each source in each shard and the number of the first; ``shard_draws`` as a table.
+
+    There are MOST_SHARDS shards at most, so a source has no more rows than that."""
+    owed_ = np.array(owed, np.int64)
+    total = int(owed_.sum())
+    shards = max(1, ceil(total / slots))
+    due = spark.createDataFrame([(k, n) for k, n in enumerate(owed) if n], "sid long, owed long")
+    drawn = spark.range(0, shards - 1 if total else 0, numPartitions=max(1, min(shards // 16, 512))).mapInArrow(_drawn(owed_, slots, seed), "shard long, sid long, count long")
+    before = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    placed = drawn.withColumn("first", F.coalesce(F.sum("count").over(before), F.lit(0))).join(F.broadcast(due), "sid").filter("first < owed")
+    placed = placed.select("shard", "sid", "first", F.least("count", F.col("owed") - F.col("first")).alias("count"))
+    sums = placed.groupBy("sid").agg(F.sum("count").alias("given"))
+    rest = due.join(sums, "sid", "left").select(F.lit(shards - 1).cast("long").alias("shard"), "sid", F.coalesce("given", F.lit(0)).alias("first"), (F.col("owed") - F.coalesce("given", F.lit(0))).alias("count"))
+    return placed.unionByName(rest.filter("count > 0"))
 
 
 def permuted(t: np.ndarray, n: int, key: tuple[int, ...]) -> np.ndarray:
@@ -114,7 +146,7 @@ def mix(docs: DataFrame, weights: Callable[[list[str | None]], list[float]] = cy
     blocks all have the same length but for the last. distinct: rows alike in id, source and text count once. Reruns give the same mix."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
-    sized = docs.select(did().alias("did"), F.hash("text").alias("tag"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("n"))
+    sized = docs.select(did().alias("did"), text_hash().alias("tag"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("n"))
     sized = scratch.put(sized.distinct() if distinct else sized, "sized")
     sums = [(r["source"], int(r["size"]), r["rows"]) for r in sized.groupBy("source").agg(F.sum("n").alias("size"), F.count("*").alias("rows")).limit(MOST_SOURCES + 1).collect()]
     if len(sums) > MOST_SOURCES:
@@ -140,27 +172,27 @@ def mix(docs: DataFrame, weights: Callable[[list[str | None]], list[float]] = cy
     parts = blocks.select("sid", "block", "did", "tag", (begin - F.col("start")).alias("first"), (end - begin).alias("words"))
 
     slots = max(SHARD_SLOTS, ceil(sum(owed) / MOST_SHARDS))
-    draws = shard_draws(owed, slots, seed)
-    firsts = np.cumsum(draws, axis=0) - draws
-    plan = [(int(r), int(k), int(firsts[r, k]), int(draws[r, k]), counts[k]) for r, k in zip(*np.nonzero(draws), strict=True)]
-    planned = spark.createDataFrame(plan, "shard long, sid long, first long, count long, n long")
-    taken = planned.repartition(max(1, min(len(plan) // 64, 4096)), "shard", "sid").mapInArrow(_slots(seed), "shard long, sid long, t long, block long")
+    plan = planned_slots(spark, owed, slots, seed).join(F.broadcast(sources.select("sid", F.col("n_blocks").alias("n"))), "sid").select("shard", "sid", "first", "count", "n")
+    taken = scratch.put(plan, "plan").repartition("shard", "sid").mapInArrow(_slots(seed), "shard long, sid long, t long, block long")
     return Mix(sources, rows.select("did", "tag", "sid", "n"), taken, parts)
 
 
 def _times(mixed: Mix) -> DataFrame:
-    """(did, tag, first, words, times): parts and how often the mix takes each."""
+    """(did, tag, sid, first, words, times): parts and how often the mix takes each."""
     times = mixed.slots.groupBy("sid", "block").agg(F.count("*").alias("times"))
-    return mixed.parts.join(times, ["sid", "block"]).select("did", "tag", "first", "words", "times")
+    return mixed.parts.join(times, ["sid", "block"]).select("did", "tag", "sid", "first", "words", "times")
 
 
 def op1(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target (of its source) and taken (its words that the mix takes, repeats counted) of each row."""
+    """doc_id, size, source_size, target (of its source) and taken (its words that the mix takes, repeats counted) of each row.
+
+    A null text has size 0 and takes nothing; a null source is a source; rows of one id and text under two sources are two documents; rows
+    alike in id, source and text share what is taken of them evenly. An empty table gives an empty result."""
     mixed = mix(docs)
-    taken = _times(mixed).groupBy("did", "tag").agg(F.sum(F.col("words") * F.col("times")).alias("all"))
-    # Rows alike in id and text share their sum; each gets its part.
+    taken = _times(mixed).groupBy("did", "tag", "sid").agg(F.sum(F.col("words") * F.col("times")).alias("all"))
+    # Rows alike in id, text and source share their sum; each gets its part.
     rows = mixed.rows.groupBy("did", "tag", "sid", "n").agg(F.count("*").alias("copies"))
-    per = rows.join(taken, ["did", "tag"], "left").join(F.broadcast(mixed.sources), "sid")
+    per = rows.join(taken.hint("merge"), ["did", "tag", "sid"], "left").join(F.broadcast(mixed.sources), "sid")
     share = F.expr("coalesce(`all`, 0L) div copies") + F.when(F.col("copy") < F.expr("coalesce(`all`, 0L) % copies"), 1).otherwise(0)
     return per.withColumn("copy", F.explode(F.expr("sequence(0L, copies - 1)"))).select(undid().alias("doc_id"), F.col("n").alias("size"), F.col("size").alias("source_size"), "target", share.cast("long").alias("taken"))
 
@@ -189,9 +221,11 @@ def mixed_documents(docs: DataFrame, weights: Callable[[list[str | None]], list[
 
     Rows alike in id, source and text are mixed as one document and then stay as many."""
     mixed = mix(docs, weights, cap, seed, distinct=True)
-    takes = _times(mixed).groupBy("did", "tag").agg(F.collect_list(F.struct("first", "words", "times")).alias("parts"))
-    rows = docs.select(did().alias("did"), F.hash("text").alias("tag"), others(docs).alias("row"), F.col("text").cast("string").alias("text"))
+    takes = _times(mixed).groupBy("did", "tag", "sid").agg(F.collect_list(F.struct("first", "words", "times")).alias("parts"))
+    named = mixed.sources.select("sid", F.col("source").alias("source_"))
+    rows = docs.select(did().alias("did"), text_hash().alias("tag"), F.col("source").cast("string").alias("source_of"), others(docs).alias("row"), F.col("text").cast("string").alias("text"))
+    rows = rows.join(F.broadcast(named), F.col("source_of").eqNullSafe(F.col("source_"))).select("did", "tag", "sid", "row", "text")
     schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("text", T.StringType())])
-    made = rows.join(takes.hint("merge"), ["did", "tag"]).select("row", "text", "parts").mapInArrow(_copies, schema)
+    made = rows.join(takes.hint("merge"), ["did", "tag", "sid"]).select("row", "text", "parts").mapInArrow(_copies, schema)
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return made.select(*(new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

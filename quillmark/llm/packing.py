@@ -23,7 +23,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import Scratch, did, undid
+from quillmark.llm.common import Scratch, did, text_hash, undid
 
 CAPACITY, END_ID, TOLERANCE = 2048, 1, 16
 
@@ -83,7 +83,7 @@ def _pieces(path: str | None, capacity: int, tolerance: int, with_ids: bool):
                     for column, value in zip(out, (i, tag, start, length, zlib.crc32(piece.tobytes()), len(ids), piece.astype(np.int32) if with_ids else None), strict=True):
                         column.append(value)
                     start += length
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
             names = ("did", "tag", "start", "length", "ids_crc32", "doc_tokens", "ids")
             n = len(names) - (not with_ids)
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out[:n], kinds[:n], strict=True)], names=list(names[:n]))
@@ -121,9 +121,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     byte-level BPE file, on each machine; by default the installed public one. Each id lies in one piece; sequences hold
     capacity ids at most. Repeated rows are packed each. Reruns give the same result."""
     scratch = Scratch(docs.sparkSession, "packing")
-    rows = docs.select(did().alias("did"), F.hash("text").alias("tag"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(did().alias("did"), text_hash().alias("tag"), F.col("text").cast("string").alias("text"))
     ids = ", ids array<int>" if with_ids else ""
-    pieces = scratch.put(rows.mapInArrow(_pieces(tokenizer, capacity, tolerance, with_ids), f"did long, tag int, start long, length long, ids_crc32 long, doc_tokens long{ids}"), "pieces")
+    pieces = scratch.put(rows.mapInArrow(_pieces(tokenizer, capacity, tolerance, with_ids), f"did long, tag long, start long, length long, ids_crc32 long, doc_tokens long{ids}"), "pieces")
     buckets = max(1, ceil(pieces.count() / bucket_rows))
     light = pieces.select("did", "tag", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else []), F.pmod(F.xxhash64("did", "tag", "start"), F.lit(buckets)).alias("bucket"))
 

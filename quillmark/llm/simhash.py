@@ -22,10 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import Scratch, did, undid
+from quillmark.llm.common import Scratch, did, text_hash, undid
 from quillmark.llm.components import components
 
 #: (first bit, bits) of the pigeonhole blocks for pairs that differ in two bits at most.
@@ -152,10 +152,6 @@ def _verified(most: int):
     return run
 
 
-def _text_hash() -> Column:
-    return F.xxhash64(F.col("text").cast("string"))
-
-
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(did, th, component, first) for each row of docs: component is the smallest did reachable over pairs whose sets of shingles
     are similar; first is (did, th) of the row that stands for the group, the smallest, so it tells groups of one component apart.
@@ -165,7 +161,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     Null and empty texts are alike. A null id sorts last. An empty table gives an empty result."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "similar")
-    texts = docs.select(did().alias("did"), _text_hash().alias("th"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(did().alias("did"), text_hash().alias("th"), F.col("text").cast("string").alias("text"))
     rows = scratch.put(texts.mapInArrow(_wide(shingle), "did long, th long, fp binary").withColumn("node", F.xxhash64("fp")), "rows")
     nodes = scratch.put(rows.groupBy("node").agg(F.min(F.struct("did", "th")).alias("least"), F.any_value("fp").alias("fp")), "nodes")
     blocks = nodes.select("node", "fp").mapInArrow(_blocks, "key long, node long")
@@ -180,10 +176,10 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     close = scratch.put(dealt.mapInArrow(_verified(most_bits(similarity)), "a long, b long"), "close")
     scratch.drop("met", "shared")
     roots = components(close, scratch, "similar")
-    found = nodes.select("node", "least").join(roots.select(F.col("a").alias("node"), "root"), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    found = nodes.select("node", "least").join(roots.select(F.col("a").alias("node"), "root").hint("merge"), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = scratch.put(found.groupBy("root").agg(F.min("least").alias("first")), "least")
-    classes = scratch.put(found.join(least, "root").select("node", "first"), "classes")
-    return rows.select("did", "th", "node").join(classes, "node").select("did", "th", F.col("first.did").alias("component"), "first")
+    classes = scratch.put(found.join(least.hint("merge"), "root").select("node", "first"), "classes")
+    return rows.select("did", "th", "node").join(classes.hint("merge"), "node").select("did", "th", F.col("first.did").alias("component"), "first")
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -197,7 +193,7 @@ def links(prints: DataFrame, scratch: Scratch, crowd: int = 256) -> DataFrame:
     block = [F.struct(F.lit(k).alias("k"), (F.shiftrightunsigned("fp", at).bitwiseAND((1 << bits) - 1)).alias("v")) for k, (at, bits) in enumerate(BLOCKS)]
     blocks = prints.select("fp", F.explode(F.array(*block)).alias("x")).select("fp", (F.col("x.v") * len(BLOCKS) + F.col("x.k")).alias("key"), F.col("x.k").alias("k"))
     shared = blocks.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    blocks = scratch.put(blocks.join(scratch.put(shared, "shared"), "key"), "blocks")
+    blocks = scratch.put(blocks.join(scratch.put(shared, "shared").hint("merge"), "key"), "blocks")
     left = blocks.filter(F.col("n") <= crowd).select("key", F.col("fp").alias("a"))
     right = blocks.filter(F.col("n") <= crowd).select("key", F.col("fp").alias("b"))
     pairs = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)).select("a", "b")
@@ -219,10 +215,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, crowd: in
     rows = scratch.put(fingerprints(docs, shingle, seed), "rows")
     prints = scratch.put(rows.groupBy("fp").agg(F.min("did").alias("least")), "prints")
     roots = components(links(prints.select("fp"), scratch, crowd), scratch).select(F.col("a").alias("fp"), "root")
-    found = prints.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    found = prints.join(roots.hint("merge"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = found.groupBy("root").agg(F.min("least").alias("component"))
-    classes = scratch.put(found.join(scratch.put(least, "least"), "root").select("fp", "component"), "classes")
-    return rows.join(classes, "fp").select("did", "fp", "component")
+    classes = scratch.put(found.join(scratch.put(least, "least").hint("merge"), "root").select("fp", "component"), "classes")
+    return rows.join(classes.hint("merge"), "fp").select("did", "fp", "component")
 
 
 def op8(docs: DataFrame) -> DataFrame:
@@ -236,5 +232,5 @@ def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     groups = similar_groups(docs, shingle, similarity)
     keep = groups.filter((F.col("did") == F.col("first.did")) & (F.col("th") == F.col("first.th"))).select("did", "th").distinct()
     own = F.struct(*docs.columns)
-    rows = docs.select(did().alias("did"), _text_hash().alias("th"), own.alias("row")).join(keep.hint("merge"), ["did", "th"])
+    rows = docs.select(did().alias("did"), text_hash().alias("th"), own.alias("row")).join(keep.hint("merge"), ["did", "th"])
     return rows.groupBy("did", "th").agg(F.any_value("row").alias("row")).select("row.*")

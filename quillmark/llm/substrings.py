@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import Scratch, did, undid
+from quillmark.llm.common import Scratch, did, text_hash, undid
 
 WINDOW, GRAM = 13, 6
 #: In place of a start: every window of the row.
@@ -67,20 +67,21 @@ def _words(text: str | None) -> list[bytes]:
 def _prints(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, out = [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ids, tags, out = [], [], []
+            for i, tag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if len(words := _words(text.as_py())) >= window:
                     out.append(np.unique(_window_prints(words, window, gram)))
                     ids.append(np.full(len(out[-1]), i))
+                    tags.append(np.full(len(out[-1]), tag))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.concatenate(ids))], names=["g", "did"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out, ids, tags)], names=["g", "did", "tag"])
 
     return run
 
 
 def window_prints(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(g, did): the distinct window fingerprints of each document."""
-    return docs.select("did", "text").mapInArrow(_prints(window, gram), "g long, did long")
+    """(g, did, tag): the distinct window fingerprints of each row."""
+    return docs.select("did", "tag", "text").mapInArrow(_prints(window, gram), "g long, did long, tag long")
 
 
 class FingerprintLog:
@@ -100,7 +101,7 @@ class FingerprintLog:
         self.runs.append((name, self.scratch.put(run.sortWithinPartitions("g"), name)))
 
     def add(self, prints: DataFrame) -> DataFrame:
-        """Adds a batch of (g, did) as a run. Returns (g): fingerprints of the batch that lie in two of
+        """Adds a batch of (g, did, ...) as a run. Returns (g): fingerprints of the batch that lie in two of
         its documents, or in it and in an earlier run under another did."""
         earlier = [run for _, run in self.runs]
         self._write(prints.groupBy("g").agg(F.min("did").alias("lo"), F.max("did").alias("hi")))
@@ -142,7 +143,7 @@ def _windows(window: int, gram: int):
                 ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1  # of words in the line
                 spans = zip((np.concatenate([[-1], ends])[at] + 1).tolist(), ends[at + window - 1].tolist(), strict=True)
                 whole = np.frombuffer(b"".join(xxhash.xxh3_128_digest(line[a:b]) for a, b in spans), ">i8").reshape(-1, 2)
-                for column, values in zip(out, (whole[:, 0].astype(np.int64), whole[:, 1].astype(np.int64).astype(np.int32), np.full(len(at), i), np.full(len(at), tag, np.int32), at.astype(np.int32)), strict=True):
+                for column, values in zip(out, (whole[:, 0].astype(np.int64), whole[:, 1].astype(np.int64).astype(np.int32), np.full(len(at), i), np.full(len(at), tag), at.astype(np.int32)), strict=True):
                     column.append(values)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=names)
@@ -199,14 +200,12 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, batches: int = 2, slices
     all_prints, all_found = prints[0], found[0]
     for p, f in zip(prints[1:], found[1:], strict=True):
         all_prints, all_found = all_prints.unionByName(p), all_found.unionByName(f)
-    marked = all_prints.join(all_found.distinct(), "g").groupBy("did").agg(F.collect_set("g").alias("found"))
-    copied = _copies(docs, scratch)
-    copies = scratch.put(copied.filter("copy").select("did", "tag").distinct(), "copies")
-    whole = copied.groupBy("did").agg(F.bool_and("copy").alias("all")).filter("all")
-    marked = scratch.put(marked.join(whole, "did", "left_anti"), "marked")
+    marked = all_prints.join(all_found.distinct(), "g").groupBy("did", "tag").agg(F.collect_set("g").alias("found"))
+    copies = scratch.put(_copies(docs, scratch).filter("copy").select("did", "tag").distinct(), "copies")
+    marked = scratch.put(marked.join(copies.hint("merge"), ["did", "tag"], "left_anti"), "marked")
     log.drop()
     scratch.drop(*(f"prints-{k}" for k in range(len(prints))), *(f"found-{k + 1}" for k in range(len(found))))
-    windows = scratch.put(docs.join(marked.hint("merge"), "did").select("did", "tag", "text", "found").mapInArrow(_windows(window, gram), "w long, x int, did long, tag int, at int"), "windows")
+    windows = scratch.put(docs.join(marked.hint("merge"), ["did", "tag"]).select("did", "tag", "text", "found").mapInArrow(_windows(window, gram), "w long, x int, did long, tag long, at int"), "windows")
     scratch.drop("marked")
     later = copies.select("did", "tag", F.array(F.lit(ALL)).alias("starts"))
     for k in range(slices):
@@ -221,13 +220,13 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, batches: int = 2, slices
 
 def _copies(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(did, tag, copy): whether a row's whole text stands under a smaller did."""
-    rows = docs.select("did", "tag", F.xxhash64("text").alias("th"), F.length("text").alias("n"))
+    rows = docs.select("did", "tag", F.hash("text").alias("th"), F.length("text").alias("n"))
     first = rows.groupBy("th", "tag", "n").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).filter("lo < hi").select("th", "tag", "n", "lo")
     return rows.join(scratch.put(first, "whole"), ["th", "tag", "n"], "left").select("did", "tag", F.coalesce(F.col("did") > F.col("lo"), F.lit(False)).alias("copy"))
 
 
 def _tagged(docs: DataFrame) -> DataFrame:
-    return docs.select(did().alias("did"), F.hash("text").alias("tag"), F.col("text").cast("string").alias("text"))
+    return docs.select(did().alias("did"), text_hash().alias("tag"), F.col("text").cast("string").alias("text"))
 
 
 def remove_repeats(docs: DataFrame, batches: int = 2, slices: int = 4, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
