@@ -1,11 +1,17 @@
 """Main text of web pages by wrapper induction.
 
-Pages are dealt by host, a hot one over many tasks, and taken in groups of ``GROUP`` pages of one host. Each page
-is parsed into a tree without the regions whose element, class, id or role marks them as menus, headers, footers,
-sidebars, notices, adverts, forms or comments. The trees of a group are aligned with the
-first by simple tree matching; a text that stands in the same aligned place on ``SAME`` of the group's pages
-is part of the template, and the slots that vary are content; a block of which some text varies is content as a whole. Content is the article, where
-the page marks one, or else the whole body.
+Pages of one host are taken in groups, in the order of a hash, so a group depends on the host's pages alone. The pages of a group are parsed
+into trees; those whose sets of element paths are alike are one layout. The trees of a layout are aligned with its first by simple tree
+matching, which gives the wrapper: its slots are the places of texts, its elements those of the first tree. A slot with one text on
+``SAME`` of the pages that have it is template, the others vary. Varying text outside of links is evidence of content: each block gives its share of a page's varying
+characters to the element that holds it, half of that to the next one up, and so on; the element of the wrapper with the most
+evidence over all pages is the content region, with headings right before it and siblings of its kind that hold ``KIN`` of its evidence. The
+region's counterpart in each page, without template blocks and regions of links, is the main text.
+
+Words of classes, roles and element names that mark menus, notices or comments halve the evidence of what they mark, and marked regions within the
+content region go, as comparison alone cannot tell a comment or a form from an article. Pages with fewer than
+``LEAST_PAGES`` unlike pages of their layout in the group have nothing to be compared with; only there such marks decide: what they
+mark goes, and the article element, or main, or else the whole body is content.
 
 The weight of a match depends on the elements alone, so it is remembered by the two subtrees' forms and
 the alignment of two lists of children is one pass of vector operations a row.
@@ -15,8 +21,10 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +33,15 @@ from pyspark.sql import functions as F
 
 from quillmark.llm.urls import host_and_path
 
-GROUP, GROUP_CHARS, SAME, STRETCH = 32, 8_000_000, 0.8, 2000
+#: Pages of a group (the last of a host has up to twice as many) and characters after which a group ends, which bounds a task's memory; children of an element that are matched at a time.
+GROUP, GROUP_CHARS, STRETCH = 32, 8_000_000, 2000
+#: Share of pages on which a template text is the same; of paths that pages of a layout have in common; of the region's evidence that a sibling holds; of links in a menu's text.
+SAME, ALIKE, KIN, LINKS = 0.9, 0.5, 0.25, 0.5
+#: A host with more than one in SHARES of all pages is dealt over several tasks.
+SHARES = 256
 #: Elements nested deeper than this hold nothing; what they would hold follows them.
 DEEPEST = 200
-#: A template text must stand on this many pages at least.
+#: Unlike pages of one layout that a wrapper is induced from, at least.
 LEAST_PAGES = 3
 
 # Element names by what they do.
@@ -256,12 +269,13 @@ def _weight(a: int, b: int) -> int:
     return _weights[key]
 
 
-def aligned(a: Node, b: Node) -> list[tuple[tuple[int, int], str, tuple[int, int], str]]:
-    """Pairs of texts in matched places of two trees: (parent, position) and text of each. Lists of children
+def aligned(a: Node, b: Node) -> tuple[list[tuple[tuple[int, int], str, tuple[int, int], str]], list[tuple[Node, Node]]]:
+    """Pairs of texts in matched places of two trees, (parent, position) and text of each; and pairs of matched elements. Lists of children
     longer than STRETCH are matched in consecutive stretches of it."""
-    out, todo = [], [(a, b)]
+    out, todo, nodes = [], [(a, b)], []
     while todo:
         x, y = todo.pop()
+        nodes.append((x, y))
         for s in range(0, max(len(x.children), len(y.children)), STRETCH):
             p, q = x.children[s : s + STRETCH], y.children[s : s + STRETCH]
             if not p or not q:
@@ -285,11 +299,11 @@ def aligned(a: Node, b: Node) -> list[tuple[tuple[int, int], str, tuple[int, int
                     todo.append((p[i], q[j]))
                 else:
                     out.append(((id(x), s + i), p[i], (id(y), s + j), q[j]))
-    return out
+    return out, nodes
 
 
-def texts(root: Node, template: frozenset | set = frozenset()) -> list[str]:
-    """The blocks of a tree in page order, without those of which every text stands at a template place."""
+def texts(root: Node, template: frozenset | set = frozenset(), left_out: Callable[[Node], bool] = lambda x: False) -> list[str]:
+    """The blocks of a tree in page order, without those of which every text stands at a template place, and without what is left out."""
     blocks, run, varies = [], [], False
 
     def flush() -> None:
@@ -308,7 +322,7 @@ def texts(root: Node, template: frozenset | set = frozenset()) -> list[str]:
             varies = varies or not constant and not x.isspace()
         elif x.tag == "br":
             run.append(" ")
-        else:
+        elif x is root or not left_out(x):
             if x.tag in BLOCKS:
                 flush()
                 varies = False
@@ -319,73 +333,216 @@ def texts(root: Node, template: frozenset | set = frozenset()) -> list[str]:
     return blocks
 
 
+def _walk(root: Node) -> Iterator[tuple[Node, tuple[Node, ...], bool]]:
+    """Elements of a tree with what holds them, outermost first, and whether they lie in a link."""
+    todo: list[tuple[Node, tuple[Node, ...], bool]] = [(root, (), False)]
+    while todo:
+        x, above, link = todo.pop()
+        link = link or x.tag == "a"
+        yield x, above, link
+        within = (*above[-(DEEP - 1) :], x) if x.tag in BLOCKS or x.tag == "#root" else above
+        todo += [(c, within, link) for c in reversed(x.children) if type(c) is Node]
+
+
+#: Holders of a block that get evidence of it.
+DEEP = 6
+
+
+def _paths(root: Node) -> frozenset:
+    """The paths of element names in a tree."""
+    found: set[tuple] = set()
+    todo: list[tuple[Node, tuple]] = [(root, ())]
+    while todo:
+        x, path = todo.pop()
+        found.add(path)
+        todo += [(c, hash((path, c.tag))) for c in x.children if type(c) is Node]
+    return frozenset(found)
+
+
+def layouts(trees: list[Node]) -> list[list[int]]:
+    """The trees' numbers by layout: each joins the first layout whose first tree shares ALIKE of their paths."""
+    leaders: list[tuple[frozenset, list[int]]] = []
+    for k, tree in enumerate(trees):
+        paths = _paths(tree)
+        for other, members in leaders:
+            if len(paths & other) >= ALIKE * len(paths | other):
+                members.append(k)
+                break
+        else:
+            leaders.append((paths, [k]))
+    return [members for _, members in leaders]
+
+
+def evidence(tree: Node, template: set) -> tuple[Counter, Counter, Counter]:
+    """By id of element: its evidence of content, as a share of the page's; and characters of varying text in it, and of those in links."""
+    score, chars, links = Counter(), Counter(), Counter()
+    marked = {id(tree): 1.0}
+    for x, above, link in _walk(tree):
+        holder = above[-1] if above else tree
+        weight = marked[id(x)] = marked[id(holder)] * (0.5 if x is not tree and (x.marked in (1, 3) or x.tag in DROPPED) else 1.0)
+        own = sum(len("".join(t.split())) for k, t in enumerate(x.children) if type(t) is str and (id(x), k) not in template)
+        if not own:
+            continue
+        block, above = (x, above) if x.tag in BLOCKS else (holder, above[:-1])
+        for y in (block, *above):
+            chars[id(y)] += own
+            links[id(y)] += own * link
+        if not link:
+            for k, y in enumerate(reversed(above)):
+                score[id(y)] += own * weight / 2**k
+    total = sum(score.values()) or 1.0
+    return Counter({k: v / total for k, v in score.items()}), chars, links
+
+
+class Wrapper:
+    """What the pages of one layout have in common. slots: template places by page; names: the wrapper's element of each page's elements."""
+
+    def __init__(self, trees: list[Node]):
+        self.trees, self.first = trees, trees[0]
+        self.names: list[dict[int, int]] = []
+        places: dict[tuple[int, int], list[tuple[int, tuple[int, int], str]]] = {}
+        for k, tree in enumerate(trees):
+            pairs, nodes = aligned(self.first, tree)
+            self.names.append({id(y): id(x) for x, y in nodes})
+            for place, _, other, text in pairs:
+                places.setdefault(place, []).append((k, other, " ".join(text.split())))
+        self.slots: list[set] = [set() for _ in trees]
+        unlike: dict[tuple, int] = {}
+        for k, tree in enumerate(trees):  # equal pages are one witness
+            unlike.setdefault((tree.form, *(t for x, _, _ in _walk(tree) for t in x.children if type(t) is str)), k)
+        witnesses = set(unlike.values())
+        self.able = len(witnesses) >= LEAST_PAGES
+        if not self.able:
+            return
+        for found in places.values():
+            text, n = Counter(t for k, _, t in found if k in witnesses).most_common(1)[0] if any(k in witnesses for k, _, _ in found) else ("", 0)
+            seen = sum(k in witnesses for k, _, _ in found)
+            if n >= LEAST_PAGES and n >= SAME * seen and 2 * seen >= len(witnesses):
+                for k, place, own in found:
+                    if own == text:
+                        self.slots[k].add(place)
+        score, self.chars, self.links = Counter(), Counter(), Counter()
+        for k, tree in enumerate(trees):
+            if k in witnesses:
+                for total, own in zip((score, self.chars, self.links), evidence(tree, self.slots[k]), strict=True):
+                    for node, value in own.items():
+                        if node in self.names[k]:
+                            total[self.names[k][node]] += value
+        self.score = score
+        order = {id(x): n for n, (x, _, _) in enumerate(_walk(self.first))}
+        self.region = max(score, key=lambda x: (score[x], -order[x]), default=None)
+
+    def _menu(self, x: Node, names: dict[int, int]) -> bool:
+        """Whether an element's text is links for the most part, over all pages."""
+        name = names.get(id(x))
+        return x.tag in BLOCKS and x.tag != "p" and x.tag not in HEADINGS and name is not None and self.links[name] > LINKS * self.chars[name]
+
+    def content(self, k: int) -> list[str] | None:
+        """The blocks of a page's content, or None if the page has no counterpart of the region."""
+        names, tree = self.names[k], self.trees[k]
+        if self.region is None:
+            return None
+        for x, _, _ in _walk(tree):
+            at = next((n for n, c in enumerate(x.children) if type(c) is Node and names.get(id(c)) == self.region), None)
+            if at is not None:
+                break
+        else:
+            if names.get(id(tree)) != self.region:
+                return None
+            x, at = Node("#root"), 0
+            x.children = [tree]
+        # Template places are told by parent and position, so what goes is left out of a copy, not cut from the tree.
+        region, kept = x.children[at], []
+        for n, c in enumerate(x.children):
+            if type(c) is str:
+                continue
+            if n == at or self._kin(c, region, names):
+                kept.append((c, False))
+            elif n < at and (c.tag in HEADINGS or c.tag == "header" and _has(c, HEADINGS)) and not c.marked == 3:
+                kept.append((c, True))
+        out, whole = [], []
+        for c, heading in kept:
+            out += self._blocks(c, heading, names, self.slots[k])
+            whole += self._blocks(c, heading, names, set())
+        return out or whole  # where all of it is template the page is a copy of most others
+
+    def _kin(self, c: Node, region: Node, names: dict[int, int]) -> bool:
+        return c.tag == region.tag and c.marked == 0 and self.score[names.get(id(c))] >= KIN * self.score[self.region] and not self._menu(c, names)
+
+    def _blocks(self, c: Node, heading: bool, names: dict[int, int], slots: set) -> list[str]:
+        if heading and c.tag == "header":
+            return [b for x, _, _ in _walk(c) if x.tag in HEADINGS for b in texts(x, slots)]
+        return texts(c, slots, lambda x: _aside(x, True) or self._menu(x, names))
+
+
+def plain(page: str | None) -> str:
+    """The main text of a page that has nothing to be compared with."""
+    tree = parse(page or "")
+    prune(tree)
+    return "\n\n".join(texts(content_root(tree)))
+
+
 def extract(pages: list[str | None]) -> list[str]:
     """The main texts of pages of one host."""
     if len(_shapes) > 200_000 or len(_weights) > 1_000_000:
         _forms.clear()
         _shapes.clear()
         _weights.clear()
-    trees = []
-    for page in pages:
-        tree = parse(page or "")
-        prune(tree)
-        tree = content_root(tree)
+    trees = [parse(page or "") for page in pages]
+    for tree in trees:
         _number(tree)
-        trees.append(tree)
-    template: list[set] = [set() for _ in trees]
-    filled = [k for k, t in enumerate(trees) if t.children]
-    if len(filled) >= LEAST_PAGES:
-        first = trees[filled[0]]
-        places: dict[tuple[int, int], list] = {}
-        for k in filled[1:]:
-            for place, text, other, same in aligned(first, trees[k]):
-                if text.strip() and text.split() == same.split():
-                    places.setdefault(place, [(filled[0], place)]).append((k, other))
-        for found in places.values():
-            if len(found) >= max(LEAST_PAGES, SAME * len(filled)):
-                for k, place in found:
-                    template[k].add(place)
-    out = []
-    for tree, places_ in zip(trees, template, strict=True):
-        whole = texts(tree)
-        kept = texts(tree, places_) if places_ else whole
-        # A template that is most of a page is no template: these pages are copies of each other.
-        out.append("\n\n".join(kept if 2 * sum(map(len, kept)) >= sum(map(len, whole)) else whole))
-    return out
+    out: list[str | None] = [None] * len(pages)
+    for members in layouts(trees):
+        if len(members) < LEAST_PAGES:
+            continue
+        wrapper = Wrapper([trees[k] for k in members])
+        for n, k in enumerate(members if wrapper.able else ()):
+            blocks = wrapper.content(n)
+            out[k] = None if blocks is None else "\n\n".join(blocks)
+    return [plain(page) if text is None else text for page, text in zip(pages, out, strict=True)]
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple] = []
-    size = 0
-
-    def done() -> pa.RecordBatch:
-        found = extract([x[3] for x in held])
-        ids, urls = ([x[k] for x in held] for k in (1, 2))
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(found, pa.string())], names=["page_id", "url", "text"])
-
-    for batch in batches:
-        for row in zip(*(c.to_pylist() if k < 3 else c for k, c in enumerate(batch.columns)), strict=True):
-            page = row[3].as_py()
-            if held and (held[0][0] != row[0] or len(held) == GROUP or size > GROUP_CHARS):
-                yield done()
-                size = 0
-            held.append((*row[:3], page))
-            size += len(page or "")
-    if held:
-        yield done()
+    """Main texts of rows (host, salt, page_id, url, html) in order of the first two; a group ends with its host, at GROUP pages if as many follow, or at GROUP_CHARS."""
+
+    def done(held: list[tuple]) -> pa.RecordBatch:
+        found = extract([x[2] for x in held])
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int64()), pa.array([x[1] for x in held], pa.string()), pa.array(found, pa.string())], names=["page_id", "url", "text"])
+
+    rows = (row for batch in batches for row in zip(*(c.to_pylist() if k < 4 else c for k, c in enumerate(batch.columns)), strict=True))
+    for _, own in groupby(rows, key=lambda row: row[:2]):
+        held: list[tuple] = []
+        size = 0
+        for _, _, page_id, url, page in own:
+            if size > GROUP_CHARS:
+                yield done(held)
+                held, size = [], 0
+            elif len(held) == 2 * GROUP:
+                yield done(held[:GROUP])
+                held = held[GROUP:]
+                size = sum(len(x[2] or "") for x in held)
+            text = page.as_py()
+            held.append((page_id, url, text))
+            size += len(text or "")
+        yield done(held)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) of each row of (page_id, url, html); text is empty if there is none.
 
     A null html is an empty page, a null url an empty host. Rows that repeat a page count as pages of their
-    own. An empty table gives an empty result."""
+    own, but not as witnesses of a template. The result depends on the rows, not on their partitions. An empty table gives an empty result."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     host, _ = host_and_path(F.col("url"))
-    rows = rows.select(host.alias("host"), F.xxhash64("page_id").alias("h"), "page_id", "url", "html")
-    dealt = rows.repartitionByRange("host", "h").sortWithinPartitions("host", "h", "page_id")
-    return dealt.select("host", "page_id", "url", "html").mapInArrow(_extracted, "page_id long, url string, text string")
+    rows = rows.select(host.alias("host"), "page_id", "url", "html")
+    counts = rows.groupBy("host").agg(F.count("*").alias("n"))
+    # Hosts with over one in SHARES of all pages: fewer than SHARES of them, so this may be broadcast.
+    parts = F.least(F.ceil(F.col("n") * SHARES / F.col("total")), F.floor(F.col("n") / (2 * GROUP)))
+    hot = counts.crossJoin(F.broadcast(rows.agg(F.count("*").alias("total")))).select("host", parts.alias("parts")).filter("parts > 1")
+    key = F.xxhash64("page_id", "url")
+    rows = rows.join(F.broadcast(hot), "host", "left").withColumn("salt", F.coalesce(F.pmod(key, F.col("parts")), F.lit(0)).cast("int"))
+    dealt = rows.repartition("host", "salt").sortWithinPartitions("host", "salt", key, "page_id", "url", F.xxhash64("html"))
+    return dealt.select("host", "salt", "page_id", "url", "html").mapInArrow(_extracted, "page_id long, url string, text string")
 
 
 def op9(pages: DataFrame) -> DataFrame:
