@@ -59,9 +59,11 @@ def _fingerprints(shingle: int, seed: int):
 
 
 #: Blocks of a wide fingerprint and their bits; together a multiple of 64.
-TABLES, BLOCK_BITS = 128, 24
-#: Fingerprints that share a block are compared in chunks of about this many, each pair of chunks in one tile.
+TABLES, BLOCK_BITS = 160, 24
+#: Fingerprints that share a block are compared in chunks of about this many.
 PART = 4096
+#: Standard deviations of the differing bits of a pair at the threshold that a pair may lie over their mean.
+SPREAD = 2.0
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -88,9 +90,9 @@ def wide_fingerprint(text: str | None, shingle: int = 5, bits: int = TABLES * BL
 
 
 def most_bits(similarity: float, bits: int = TABLES * BLOCK_BITS) -> int:
-    """Bits in which sets of equal size with a Jaccard index of similarity differ, on average and one standard deviation more."""
+    """Bits in which sets of equal size with a Jaccard index of similarity differ, on average and SPREAD standard deviations more."""
     share = float(np.arccos(2 * similarity / (1 + similarity))) / np.pi
-    return round(bits * share + (bits * share * (1 - share)) ** 0.5)
+    return round(bits * share + SPREAD * (bits * share * (1 - share)) ** 0.5)
 
 
 def _wide(shingle: int):
@@ -152,30 +154,58 @@ def _verified(most: int):
     return run
 
 
+def _chunk_rows(chunks: DataFrame, shared: DataFrame) -> DataFrame:
+    """(key, i, j, node): each node in its own chunk, i = j, and the first node of a block in all of its chunks."""
+    own = chunks.select("key", F.col("own").alias("i"), "node")
+    first = shared.filter("c > 1").select("key", F.explode(F.expr("filter(sequence(0L, c - 1), t -> t <> pmod(xxhash64(first), c))")).alias("i"), F.col("first").alias("node"))
+    return own.unionByName(first).select("key", "i", F.col("i").alias("j"), "node")
+
+
+def _rest_rows(chunks: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, i, j, node): what is left to compare in blocks of several chunks. The nodes of a block that are connected already, most of
+    them as a rule, need not meet; the others, dealt to chunks of their own, meet each of their chunks and each of each other's."""
+    crowd = chunks.filter("c > 1").join(roots.select(F.col("a").alias("node"), "root").hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    crowd = scratch.put(crowd.select("key", "node", "n", "c", "own", "root"), "crowd")
+    largest = crowd.groupBy("key", "root").agg(F.count("*").alias("many"), F.max("n").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("many", "root")).alias("big"), (F.max("n") - F.max("many")).alias("rest"))
+    largest = scratch.put(largest.filter("rest > 0").select("key", "big", F.ceil(F.col("rest") / PART).alias("g")), "largest")
+    dealt = crowd.join(largest.hint("merge"), "key")
+    guests = dealt.filter("root <> big").withColumn("at", F.pmod(F.xxhash64("node", F.lit(1)), F.col("g")))
+    among = "CASE WHEN g = 1 THEN array(struct(0L AS i, 0L AS j)) ELSE transform(filter(sequence(0L, g - 1), t -> t <> at), t -> struct(least(at, t) AS i, greatest(at, t) AS j)) END"
+    guests = guests.withColumn("tile", F.explode(F.expr(f"concat({among}, transform(sequence(0L, c - 1), t -> struct(at AS i, g + t AS j)))")))
+    members = dealt.filter("root = big").withColumn("tile", F.explode(F.expr("transform(sequence(0L, g - 1), t -> struct(t AS i, g + own AS j))")))
+    return guests.select("key", "tile.i", "tile.j", "node").unionByName(members.select("key", "tile.i", "tile.j", "node"))
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(did, th, component, first) for each row of docs: component is the smallest did reachable over pairs whose sets of shingles
     are similar; first is (did, th) of the row that stands for the group, the smallest, so it tells groups of one component apart.
 
-    Of pairs at 0.8 nine in ten share a block, of pairs at 0.85 all but one in a hundred; groups need no
-    more than a chain of such pairs. Among n texts n * n / 2 ** 18 pairs or so share a block by chance, so BLOCK_BITS is to grow by two for each four times 100 million texts, and TABLES by a third. A block value that over PART fingerprints share is compared in chunks, each with each.
-    Null and empty texts are alike. A null id sorts last. An empty table gives an empty result."""
+    Of pairs at 0.8 all but one in twenty share a block and all but one in forty of these are told; of pairs at 0.85 less than one in a hundred is missed; groups need no
+    more than a chain of such pairs. Among n texts n * n / 2 ** 18 pairs or so share a block by chance, so BLOCK_BITS is to grow by two for each four times 100 million texts, and TABLES by a third.
+    A block value that over PART fingerprints share is compared in chunks, and then what no chunk connected is compared with all of it, so no pair is lost and
+    a large group of similar texts costs a row for each text. Null and empty texts are alike. A null id sorts last. An empty table gives an empty result."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "similar")
     texts = docs.select(did().alias("did"), text_hash().alias("th"), F.col("text").cast("string").alias("text"))
     rows = scratch.put(texts.mapInArrow(_wide(shingle), "did long, th long, fp binary").withColumn("node", F.xxhash64("fp")), "rows")
     nodes = scratch.put(rows.groupBy("node").agg(F.min(F.struct("did", "th")).alias("least"), F.any_value("fp").alias("fp")), "nodes")
     blocks = nodes.select("node", "fp").mapInArrow(_blocks, "key long, node long")
-    shared = scratch.put(blocks.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
-    chunks = blocks.join(shared.hint("merge"), "key").withColumn("c", F.ceil(F.col("n") / PART)).withColumn("own", F.pmod(F.xxhash64("node"), F.col("c")))
-    # A tile holds two chunks and tells their inner pairs, too; a single chunk is its own tile.
-    others = F.expr("CASE WHEN c = 1 THEN array(0L) ELSE filter(sequence(0L, c - 1), t -> t <> own) END")
-    tiles = chunks.withColumn("t", F.explode(others)).select("key", F.least("own", "t").cast("int").alias("i"), F.greatest("own", "t").cast("int").alias("j"), "node")
-    met = scratch.put(tiles, "met")
-    pairs = met.join(nodes.select("node", "fp").hint("merge"), "node").select("key", "i", "j", "node", "fp")
-    dealt = pairs.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
-    close = scratch.put(dealt.mapInArrow(_verified(most_bits(similarity)), "a long, b long"), "close")
-    scratch.drop("met", "shared")
-    roots = components(close, scratch, "similar")
+    shared = blocks.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first")).filter("n > 1")
+    shared = scratch.put(shared.withColumn("c", F.ceil(F.col("n") / PART)), "shared")
+    chunks = blocks.join(shared.hint("merge"), "key").select("key", "node", "n", "c", F.pmod(F.xxhash64("node"), F.col("c")).alias("own"))
+    chunks = scratch.put(chunks, "chunks")
+
+    def close(met: DataFrame, name: str) -> DataFrame:
+        pairs = met.join(nodes.select("node", "fp").hint("merge"), "node").select("key", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "node", "fp")
+        dealt = pairs.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+        return scratch.put(dealt.mapInArrow(_verified(most_bits(similarity)), "a long, b long"), name)
+
+    links = close(_chunk_rows(chunks, shared), "close-0")
+    roots = components(links, scratch, "similar-0")
+    if not chunks.filter("c > 1").isEmpty():
+        links = links.unionByName(close(_rest_rows(chunks, roots, scratch), "close-1"))
+        roots = components(links, scratch, "similar-1")
+    scratch.drop("chunks", "shared")
     found = nodes.select("node", "least").join(roots.select(F.col("a").alias("node"), "root").hint("merge"), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = scratch.put(found.groupBy("root").agg(F.min("least").alias("first")), "least")
     classes = scratch.put(found.join(least.hint("merge"), "root").select("node", "first"), "classes")

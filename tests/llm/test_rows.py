@@ -222,3 +222,22 @@ def test_nearest_of_large_vectors(spark):
     d = np.sqrt((((x - x[0]) / 1e200) ** 2).sum(axis=1)) * 1e200
     d[0] = np.inf
     assert [r["vec_id"] for r in done] == np.argsort(d)[:10].tolist() and [r["score"] for r in done] == pytest.approx(np.sort(d)[:10].tolist())
+
+
+def test_recall_of_similar_texts(spark):
+    """Pairs of texts of 60 to 400 words around the threshold, against their exact index."""
+    rng = np.random.default_rng(24)
+    texts, index = [], []
+    for k in range(300):
+        words = [f"u{k}x{n}" for n in range(int(rng.integers(60, 400)))]
+        other = list(words)
+        for at in rng.choice(len(words), max(1, round(len(words) * float(rng.uniform(0.008, 0.03)))), replace=False):
+            other[at] = "changed"
+        a, b = (set(zip(*(w[i:] for i in range(5)), strict=False)) for w in (words, other))
+        index.append(len(a & b) / len(a | b))
+        texts += [" ".join(words), " ".join(other)]
+    groups = {r["did"]: r["component"] for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    told = np.array([groups[2 * k] == groups[2 * k + 1] for k in range(300)])
+    index = np.array(index)
+    assert (index >= 0.8).sum() > 100 and told[index >= 0.8].mean() >= 0.97 and told[(index >= 0.8) & (index < 0.85)].mean() >= 0.9
+    assert told[index < 0.72].mean() <= 0.02
