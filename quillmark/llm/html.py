@@ -38,7 +38,7 @@ GROUP, GROUP_CHARS, STRETCH = 32, 8_000_000, 2000
 #: Share of pages on which a template text is the same; of paths that pages of a layout have in common; of the region's evidence that a sibling holds; of links in a menu's text.
 SAME, ALIKE, KIN, LINKS = 0.9, 0.5, 0.25, 0.5
 #: A host with more than one in SHARES of all pages is dealt over several tasks.
-SHARES = 256
+SHARES = 1 << 16
 #: Elements nested deeper than this hold nothing; what they would hold follows them.
 DEEPEST = 200
 #: Unlike pages of one layout that a wrapper is induced from, at least.
