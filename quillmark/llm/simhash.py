@@ -62,6 +62,8 @@ def _fingerprints(shingle: int, seed: int):
 TABLES, BLOCK_BITS = 160, 24
 #: Fingerprints that share a block are compared in chunks of about this many.
 PART = 4096
+#: The blocks are compared in rounds that end at these and at the last, so that a round need not compare what is connected already.
+ROUNDS = (16, 48)
 #: Standard deviations of the differing bits of a pair at the threshold that a pair may lie over their mean.
 SPREAD = 2.0
 
@@ -103,16 +105,22 @@ def _wide(shingle: int):
     return run
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    powers = 1 << np.arange(BLOCK_BITS - 1, -1, -1, dtype=np.int64)
-    for batch in batches:
-        for k in range(0, batch.num_rows, 500):
-            part = batch.slice(k, 500)
-            n = part.num_rows
-            bits = np.unpackbits(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(n, -1), axis=1).reshape(n, TABLES, BLOCK_BITS)
-            values = bits @ powers
-            keys = values + (np.arange(TABLES, dtype=np.int64) << BLOCK_BITS)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(part.column(0).to_numpy(), TABLES))], names=["key", "node"])
+def _blocks(begin: int, end: int):
+    """(key, node, root) for the blocks from begin to end of (node, root, fp)."""
+    tables = end - begin
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = 1 << np.arange(BLOCK_BITS - 1, -1, -1, dtype=np.int64)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                n = part.num_rows
+                prints = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(n, -1)[:, begin * BLOCK_BITS // 8 : end * BLOCK_BITS // 8]
+                values = np.unpackbits(prints, axis=1).reshape(n, tables, BLOCK_BITS) @ powers
+                keys = values + (np.arange(begin, end, dtype=np.int64) << BLOCK_BITS)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), *(pa.array(np.repeat(part.column(c).to_numpy(), tables)) for c in (0, 1))], names=["key", "node", "root"])
+
+    return run
 
 
 def _verified(most: int):
@@ -154,6 +162,15 @@ def _verified(most: int):
     return run
 
 
+def _chunked(nodes: DataFrame, begin: int, end: int, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """(key, n, c, first) of the blocks that nodes of unlike roots share, and (key, node, root, c, own) of their nodes, own being one of c chunks."""
+    blocks = nodes.mapInArrow(_blocks(begin, end), "key long, node long, root long")
+    shared = blocks.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("first")).filter("lo < hi")
+    shared = scratch.put(shared.select("key", "n", F.ceil(F.col("n") / PART).alias("c"), "first"), f"shared-{name}")
+    chunks = blocks.join(shared.select("key", "c").hint("merge"), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("c")))
+    return shared, scratch.put(chunks, f"chunks-{name}")
+
+
 def _chunk_rows(chunks: DataFrame, shared: DataFrame) -> DataFrame:
     """(key, i, j, node): each node in its own chunk, i = j, and the first node of a block in all of its chunks."""
     own = chunks.select("key", F.col("own").alias("i"), "node")
@@ -161,19 +178,19 @@ def _chunk_rows(chunks: DataFrame, shared: DataFrame) -> DataFrame:
     return own.unionByName(first).select("key", "i", F.col("i").alias("j"), "node")
 
 
-def _rest_rows(chunks: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, i, j, node): what is left to compare in blocks of several chunks. The nodes of a block that are connected already, most of
-    them as a rule, need not meet; the others, dealt to chunks of their own, meet each of their chunks and each of each other's."""
-    crowd = chunks.filter("c > 1").join(roots.select(F.col("a").alias("node"), "root").hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    crowd = scratch.put(crowd.select("key", "node", "n", "c", "own", "root"), "crowd")
-    largest = crowd.groupBy("key", "root").agg(F.count("*").alias("many"), F.max("n").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("many", "root")).alias("big"), (F.max("n") - F.max("many")).alias("rest"))
-    largest = scratch.put(largest.filter("rest > 0").select("key", "big", F.ceil(F.col("rest") / PART).alias("g")), "largest")
+def _rest_rows(chunks: DataFrame, shared: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, i, j, node): what is left to compare where nodes have roots. A block of one chunk is one tile. In others the nodes of the largest
+    root, most of them as a rule, need not meet; the rest, dealt to chunks of its own, meets each of their chunks and each of its own."""
+    crowd = chunks.filter("c > 1")
+    largest = crowd.groupBy("key", "root").agg(F.count("*").alias("many")).groupBy("key").agg(F.max_by("root", F.struct("many", "root")).alias("big"), F.max("many").alias("many"))
+    largest = scratch.put(largest.join(shared.select("key", "n").hint("merge"), "key").select("key", "big", F.ceil((F.col("n") - F.col("many")) / PART).alias("g")), "largest")
     dealt = crowd.join(largest.hint("merge"), "key")
     guests = dealt.filter("root <> big").withColumn("at", F.pmod(F.xxhash64("node", F.lit(1)), F.col("g")))
-    among = "CASE WHEN g = 1 THEN array(struct(0L AS i, 0L AS j)) ELSE transform(filter(sequence(0L, g - 1), t -> t <> at), t -> struct(least(at, t) AS i, greatest(at, t) AS j)) END"
+    among = "transform(filter(sequence(0L, g - 1), t -> t <> at), t -> struct(least(at, t) AS i, greatest(at, t) AS j))"
     guests = guests.withColumn("tile", F.explode(F.expr(f"concat({among}, transform(sequence(0L, c - 1), t -> struct(at AS i, g + t AS j)))")))
     members = dealt.filter("root = big").withColumn("tile", F.explode(F.expr("transform(sequence(0L, g - 1), t -> struct(t AS i, g + own AS j))")))
-    return guests.select("key", "tile.i", "tile.j", "node").unionByName(members.select("key", "tile.i", "tile.j", "node"))
+    single = chunks.filter("c = 1").select("key", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), "node")
+    return single.unionByName(guests.select("key", "tile.i", "tile.j", "node")).unionByName(members.select("key", "tile.i", "tile.j", "node"))
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -182,30 +199,30 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
 
     Of pairs at 0.8 all but one in twenty share a block and all but one in forty of these are told; of pairs at 0.85 less than one in a hundred is missed; groups need no
     more than a chain of such pairs. Among n texts n * n / 2 ** 18 pairs or so share a block by chance, so BLOCK_BITS is to grow by two for each four times 100 million texts, and TABLES by a third.
-    A block value that over PART fingerprints share is compared in chunks, and then what no chunk connected is compared with all of it, so no pair is lost and
-    a large group of similar texts costs a row for each text. Null and empty texts are alike. A null id sorts last. An empty table gives an empty result."""
+    The first blocks are compared in chunks of PART and their links connected; after that only blocks with texts that are not connected yet are compared, what is not
+    connected with all of a block, so no pair is lost and a large group of similar texts costs few rows for each text. Null and empty texts are alike. A null id sorts last. An empty table gives an empty result."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "similar")
     texts = docs.select(did().alias("did"), text_hash().alias("th"), F.col("text").cast("string").alias("text"))
     rows = scratch.put(texts.mapInArrow(_wide(shingle), "did long, th long, fp binary").withColumn("node", F.xxhash64("fp")), "rows")
     nodes = scratch.put(rows.groupBy("node").agg(F.min(F.struct("did", "th")).alias("least"), F.any_value("fp").alias("fp")), "nodes")
-    blocks = nodes.select("node", "fp").mapInArrow(_blocks, "key long, node long")
-    shared = blocks.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first")).filter("n > 1")
-    shared = scratch.put(shared.withColumn("c", F.ceil(F.col("n") / PART)), "shared")
-    chunks = blocks.join(shared.hint("merge"), "key").select("key", "node", "n", "c", F.pmod(F.xxhash64("node"), F.col("c")).alias("own"))
-    chunks = scratch.put(chunks, "chunks")
 
     def close(met: DataFrame, name: str) -> DataFrame:
         pairs = met.join(nodes.select("node", "fp").hint("merge"), "node").select("key", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "node", "fp")
         dealt = pairs.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
         return scratch.put(dealt.mapInArrow(_verified(most_bits(similarity)), "a long, b long"), name)
 
-    links = close(_chunk_rows(chunks, shared), "close-0")
-    roots = components(links, scratch, "similar-0")
-    if not chunks.filter("c > 1").isEmpty():
-        links = links.unionByName(close(_rest_rows(chunks, roots, scratch), "close-1"))
-        roots = components(links, scratch, "similar-1")
-    scratch.drop("chunks", "shared")
+    rooted, links, begin = nodes.select("node", F.col("node").alias("root"), "fp"), None, 0
+    for turn, end in enumerate((*ROUNDS, TABLES)):
+        last = end == TABLES
+        shared, chunks = _chunked(rooted, 0 if last else begin, end, scratch, f"{turn}")
+        if last:  # of the blocks before, only those of several chunks have something left
+            chunks = chunks.filter((F.col("c") > 1) | (F.col("key") >= begin << BLOCK_BITS))
+        found = close(_rest_rows(chunks, shared, scratch) if last else _chunk_rows(chunks, shared), f"close-{turn}")
+        links, begin = found if links is None else links.unionByName(found), end
+        roots = components(links, scratch, f"similar-{turn}")
+        rooted = nodes.select("node", "fp").join(roots.select(F.col("a").alias("node"), "root").hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "fp")
+        scratch.drop(f"shared-{turn}", f"chunks-{turn}")
     found = nodes.select("node", "least").join(roots.select(F.col("a").alias("node"), "root").hint("merge"), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = scratch.put(found.groupBy("root").agg(F.min("least").alias("first")), "least")
     classes = scratch.put(found.join(least.hint("merge"), "root").select("node", "first"), "classes")
