@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 _WORD = r"\p{L}\p{N}_"
 # The words that the two overlap metrics ignore.
-FAITHFULNESS_STOP = tuple("the a an is was are were be been in on at to for of and or but".split())
-HALLUCINATION_STOP = (*FAITHFULNESS_STOP, *"this that these those it its they their".split())
+FAITHFULNESS_STOP = ("the", "a", "an", "is", "was", "are", "were", "be", "been", "in", "on", "at", "to", "for", "of", "and", "or", "but")
+HALLUCINATION_STOP = (*FAITHFULNESS_STOP, "this", "that", "these", "those", "it", "its", "they", "their")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
