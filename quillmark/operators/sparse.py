@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions.text import tokens
@@ -17,6 +17,13 @@ from quillmark.operators.ranking import best, top
 #: BM25 in its Lucene form.
 K1, B = 1.5, 0.75
 MOST_FEATURES = 50_000
+#: Terms that are broadcast at most; 200,000 of some ten bytes.
+MOST_SENT = 200_000
+
+
+def _sent(terms: DataFrame) -> DataFrame:
+    """terms, to be broadcast if they are few enough."""
+    return F.broadcast(terms) if terms.limit(MOST_SENT + 1).count() <= MOST_SENT else terms
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -34,14 +41,20 @@ class Postings:
 
 
 def postings(docs: DataFrame, only: DataFrame | None = None) -> Postings:
-    """Index of documents (doc_id, text); of the terms in ``only`` (term), if it is given. Documents without tokens count in n and avgdl."""
+    """Index of documents (doc_id, text); of the terms in ``only`` (term), if it is given. Documents without tokens count in n and avgdl.
+
+    Each document also gives one row of no term, which carries its length, so that all three parts are read off one
+    aggregate, whose exchange Spark makes once; each part uses all of its columns for that reason."""
     tokened = docs.select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("tokens")).withColumn("dl", F.size("tokens"))
-    size = tokened.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    exploded = tokened.select("doc_id", "dl", F.explode("tokens").alias("term"))
+    exploded = tokened.select("doc_id", "dl", F.explode(F.concat("tokens", F.array(F.lit("")))).alias("term"))
     if only is not None:
-        exploded = exploded.join(only.select("term").distinct(), "term", "left_semi")
-    counted = exploded.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    return Postings(counted, counted.groupBy("term").agg(F.count("*").alias("df")), size)
+        wanted = only.select("term").unionByName(docs.sparkSession.createDataFrame([("",)], "term string")).distinct()
+        exploded = exploded.join(_sent(wanted), "term", "left_semi")
+    counted = exploded.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.max(F.col("term") == "").alias("whole"))
+    of_term = ~F.col("whole") & (F.col("tf") > 0) & (F.col("dl") > 0)
+    size = counted.filter(F.col("whole") & (F.col("tf") > 0) & (F.col("dl") >= 0)).agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
+    counted = counted.filter(of_term).select("doc_id", "term", "tf", "dl")
+    return Postings(counted, counted.groupBy("term").agg(F.count_if((F.col("tf") > 0) & (F.col("dl") > 0)).alias("df")), size)
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -56,23 +69,26 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     return top(hits.filter("score > 0"), k)
 
 
-def tfidf(docs: DataFrame, queries: DataFrame, k: int = 10, features: int = MOST_FEATURES) -> DataFrame:
+def tfidf(docs: DataFrame, queries: DataFrame, k: int = 10, features: int = MOST_FEATURES, stop_words: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, doc_id, score, rank): cosine of tf-idf vectors over the ``features`` most frequent terms (ties by
-    code point), smoothed idf, no stop words; positive scores only."""
-    index = postings(docs)
-    totals = index.postings.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
+    code point) that are no stop words, smoothed idf; positive scores only.
+
+    The vocabulary has ``features`` rows at most and is broadcast up to MOST_FEATURES, so postings are shuffled once; lengths are sums for each document."""
+    counted = postings(docs).postings
+    if stop_words:
+        counted = counted.filter(~F.col("term").isin(*stop_words))
+    size = docs.agg(F.count("*").alias("n"))
+    totals = counted.groupBy("term").agg(F.sum("tf").alias("total"), F.count_if((F.col("tf") > 0) & (F.col("dl") > 0)).alias("df"))
     vocabulary = totals.orderBy(F.desc("total"), "term").limit(features)
     idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
-    weighted = vocabulary.crossJoin(F.broadcast(index.size)).select("term", idf.alias("idf"))  # size is one row
-
-    def vectors(counts: DataFrame, key: str, tf: str, out: str) -> DataFrame:
-        raw = counts.join(weighted, "term").select(key, "term", (F.col(tf) * F.col("idf")).alias("w"))
-        length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-        return raw.select(key, "term", (F.col("w") / length).alias(out))
-
-    asked = query_terms(queries)
-    hits = vectors(index.postings, "doc_id", "tf", "d").join(vectors(asked, "query_id", "qtf", "q"), "term")
-    scores = hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("d") * F.col("q")).alias("score"))
+    weighted = vocabulary.crossJoin(F.broadcast(size)).select("term", idf.alias("idf"))  # size is one row
+    weighted = F.broadcast(weighted) if features <= MOST_FEATURES else weighted
+    raw = counted.filter("dl > 0").join(weighted, "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    lengths = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    asked = query_terms(queries).join(weighted, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("q"))
+    own = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("own"))
+    dots = raw.join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("q")).alias("dot"))
+    scores = dots.join(lengths, "doc_id").join(own, "query_id").select("query_id", "doc_id", (F.col("dot") / F.col("length") / F.col("own")).alias("score"))
     return top(scores.filter("score > 0"), k)
 
 
