@@ -6,8 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-from quillmark.llm import embedding_dedup, html, language, lines, mixing, nearest, packing, simhash, substrings, urls
+from quillmark.llm import embedding_dedup, html, language, lines, mixing, nearest, packing, pipeline, simhash, substrings, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,7 +26,7 @@ def queries() -> dict[str, Query]:
         "op7_packing": _over("documents", packing.op7),
         "op8_simhash_near_dedup": _over("documents", simhash.op8),
         "op9_html_extraction": _over("pages", html.op9),
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
         "op10_line_dedup": _over("documents", lines.op10),
     }
 
