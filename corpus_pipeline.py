@@ -1,60 +1,5 @@
-"""A corpus pipeline of five stages, each an operator of the training-data subpackage.
+"""The corpus pipeline; its stages are in the training-data subpackage, whose operators they call."""
 
-Every stage reads what the one before it wrote, all of it, and hands documents on; the last
-gives packed pieces instead.
+from quillmark.llm.pipeline import ORACLE_SQL, STAGES, run
 
-1. language: documents go that have no letter, or whose language is told with a score under one half.
-2. lines: later occurrences of three-line windows are cut out of the texts.
-3. near_duplicates: of each group of texts whose five-word shingles have a similarity of 0.8, as SimHash
-   tells it, the document with the smallest id stays.
-4. mix: documents as the mix takes them, sources weighing 5, 2, 1, repeating.
-5. pack: pieces of token sequences of 2048.
-"""
-
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-
-from quillmark.llm import language, lines, mixing, packing, simhash
-from quillmark.llm.common import Scratch
-
-
-def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return language.documents_with_language(docs)
-
-
-def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return lines.documents_without_repeats(docs)
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.deduplicate(docs)
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed_documents(docs)
-
-
-def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.op7(docs)
-
-
-STAGES = [
-    ("language", keep_languages),
-    ("lines", cut_repeated_lines),
-    ("near_duplicates", drop_near_duplicates),
-    ("mix", mix_sources),
-    ("pack", pack_sequences),
-]
-
-#: SQL expresses neither the network, the fingerprints, the draws nor the tokenizer.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage, over the whole documents table of sf_dir."""
-    scratch = Scratch(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = scratch.put(stage(spark, docs, sf_dir), name)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]

@@ -16,6 +16,9 @@ from quillmark.operators.ranking import average_rank, best
 
 DEAD_BAND = 0.01
 
+#: Columns of a pivot at most.
+MOST_COLUMNS = 10_000
+
 
 def known(rows: DataFrame, *keys: str) -> DataFrame:
     """Rows of which no key is null."""
@@ -37,8 +40,11 @@ def compare(rows: DataFrame, by: str, metric: str) -> DataFrame:
 
 
 def pivot(rows: DataFrame, row: str, column: str, metric: str, agg: str = "mean") -> DataFrame:
-    """A column for each value of ``column``, numbers in order before texts. Any agg but mean, max, min takes a group's first value by metric."""
-    values = [r[0] for r in rows.select(F.col(column).cast("string")).distinct().filter(F.col(column).isNotNull()).limit(10_000).collect()]
+    """A column for each value of ``column``, numbers in order before texts. Any agg but mean, max, min takes a group's first value by metric.
+    More than MOST_COLUMNS values are an error."""
+    values = [r[0] for r in rows.select(F.col(column).cast("string")).distinct().filter(F.col(column).isNotNull()).limit(MOST_COLUMNS + 1).collect()]
+    if len(values) > MOST_COLUMNS:
+        raise ValueError(f"{column} has more than {MOST_COLUMNS} values")
     values.sort(key=lambda v: (not v.replace(".", "", 1).isdigit(), float(v) if v.replace(".", "", 1).isdigit() else 0.0, v))
     f = {"mean": F.avg, "max": F.max, "min": F.min}.get(agg, F.min)
     return rows.withColumn(column, F.col(column).cast("string")).groupBy(row).pivot(column, values).agg(f(metric))

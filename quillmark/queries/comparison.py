@@ -219,8 +219,8 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         ),
     ),
     "grid_coverage_missing": (
-        _results(lambda r: compare.coverage(r.filter("id % 50 = 0"), ["model", "retriever", "prompt"], 20)[1]),
-        f"""WITH {RESULTS}, r AS (SELECT * FROM results WHERE id % 50 = 0) SELECT model, retriever, prompt FROM (SELECT DISTINCT model FROM r), (SELECT DISTINCT retriever FROM r), (SELECT DISTINCT prompt FROM r) EXCEPT SELECT model, retriever, prompt FROM r ORDER BY ALL LIMIT 20""",
+        _results(lambda r: compare.coverage(r.withColumn("day", (F.col("id") % 997).cast("string")), ["model", "retriever", "prompt", "day"], 20)[1]),
+        f"""WITH {RESULTS}, r AS (SELECT *, CAST(id % 997 AS VARCHAR) AS "day" FROM results) SELECT model, retriever, prompt, "day" FROM (SELECT DISTINCT model FROM r), (SELECT DISTINCT retriever FROM r), (SELECT DISTINCT prompt FROM r), (SELECT DISTINCT "day" FROM r) EXCEPT SELECT model, retriever, prompt, "day" FROM r ORDER BY ALL LIMIT 20""",
     ),
     "space_cardinality": (
         _results(lambda r: compare.cardinality(r, FACTORS)),

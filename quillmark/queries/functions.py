@@ -26,8 +26,8 @@ def _normalised(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _correct(spark: SparkSession, d: str) -> DataFrame:
-    rows = predictions(spark, d).withColumn("short", F.transform("references", lambda r: F.left(r, F.lit(40))))
-    return rows.select("pred_id", tx.is_correct(F.col("prediction"), F.col("short")).alias("correct"), tx.answer_in_prompt(F.transform("references", lambda r: F.left(r, F.lit(6))), metrics.joined(F.col("contexts"))).alias("in_prompt"))
+    rows = predictions(spark, d)
+    return rows.select("pred_id", tx.is_correct(F.col("prediction"), F.col("references")).alias("correct"), tx.answer_in_prompt(F.col("references"), metrics.joined(F.col("contexts"))).alias("in_prompt"))
 
 
 def _retrievers(spark: SparkSession, d: str) -> DataFrame:
@@ -52,7 +52,7 @@ def _expanded(spark: SparkSession, d: str) -> DataFrame:
 
 def _quality(spark: SparkSession, d: str) -> DataFrame:
     hits = _bm25(spark, d, 5).join(documents(spark, d), "doc_id").groupBy("query_id").agg(F.collect_list(F.struct(F.col("text").alias("content"), "score")).alias("docs"))
-    rows = queries(spark, d).join(hits, "query_id").select("query_id", metrics.retrieval_quality(F.col("docs"), F.array(F.left("text", F.lit(25)))).alias("q"))
+    rows = queries(spark, d).join(hits, "query_id").select("query_id", metrics.retrieval_quality(F.col("docs"), F.array("text")).alias("q"))
     return rounded(rows.select("query_id", "q.*"), 6)
 
 
@@ -117,8 +117,8 @@ def _spec_union(spark: SparkSession, d: str) -> DataFrame:
 
 def _cache_put(spark: SparkSession, d: str) -> DataFrame:
     rows = documents(spark, d).select(F.col("doc_id") % 100, tx.text_hash(F.col("text"))).toDF("model", "text_hash")
-    cache = rows.filter("model < 40").distinct()
-    return fusion.cache_put(cache, rows.filter("model < 70"), ["model", "text_hash"]).groupBy("model").agg(F.count("*").alias("entries"))
+    cache = rows.filter("model < 40").distinct()  # what the cache holds before the put
+    return fusion.cache_put(cache, rows, ["model", "text_hash"]).groupBy("model").agg(F.count("*").alias("entries"))
 
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
@@ -128,9 +128,9 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     ),
     "fuzzy_correct": (
         _correct,
-        rf"""WITH {PREDICTIONS}, n AS (SELECT pred_id, prediction, {_FUZZY.format('prediction')} AS p, {_FUZZY.format("coalesce(array_to_string(contexts, ' '), '')")} AS ctx, list_transform(refs, lambda r: {_FUZZY.format('left(r, 40)')}) AS rs, list_transform(refs, lambda r: {_FUZZY.format('left(r, 6)')}) AS ss FROM predictions)
+        rf"""WITH {PREDICTIONS}, n AS (SELECT pred_id, prediction, {_FUZZY.format('prediction')} AS p, {_FUZZY.format("coalesce(array_to_string(contexts, ' '), '')")} AS ctx, list_transform(refs, lambda r: {_FUZZY.format('r')}) AS rs FROM predictions)
         SELECT pred_id, prediction <> '' AND len(list_filter(rs, lambda a: a <> '' AND (contains(p, a) OR contains(a, p) OR (len({_WORDS.format('p')}) > 0 AND len(list_intersect(list_distinct({_WORDS.format('a')}), {_WORDS.format('p')}))::DOUBLE / greatest(len(list_distinct({_WORDS.format('a')})), 1) >= 0.5)))) > 0 AS correct,
-          len(list_filter(ss, lambda a: length(a) >= 2 AND contains(ctx, a))) > 0 AS in_prompt FROM n""",
+          len(list_filter(rs, lambda a: length(a) >= 2 AND contains(ctx, a))) > 0 AS in_prompt FROM n""",
     ),
     "retriever_parts": (
         _retrievers,
@@ -151,7 +151,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     ),
     "retrieval_quality": (
         _quality,
-        sql(f"""WITH {_INDEX}, {_BM25_HITS}, hits AS ({_ranked('bm', 5)}) SELECT query_id, avg(score) AS avg_score, max(score) AS max_score, min(score) AS min_score, CAST(count(*) AS INTEGER) AS n_docs, bool_or(contains(lower(d.text), lower(left(b.text, 25)))) AS has_answer FROM hits JOIN documents d USING (doc_id) JOIN benchmark b ON item_id = query_id GROUP BY query_id""", "avg_score", "max_score", "min_score", digits=6),
+        sql(f"""WITH {_INDEX}, {_BM25_HITS}, hits AS ({_ranked('bm', 5)}) SELECT query_id, avg(score) AS avg_score, max(score) AS max_score, min(score) AS min_score, CAST(count(*) AS INTEGER) AS n_docs, bool_or(contains(lower(d.text), lower(b.text))) AS has_answer FROM hits JOIN documents d USING (doc_id) JOIN benchmark b ON item_id = query_id GROUP BY query_id""", "avg_score", "max_score", "min_score", digits=6),
     ),
     "missing_steps": (
         _steps,
@@ -186,7 +186,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         _spec_union,
         """SELECT r_name AS dataset, CAST(4 AS BIGINT) AS n, CAST(4 AS BIGINT) AS direct, CAST(0 AS BIGINT) AS defaults FROM region UNION ALL SELECT d, 2, 0, 1 FROM (SELECT unnest(['nq', 'hq']) AS d)""",
     ),
-    "cache_put": (_cache_put, """SELECT doc_id % 100 AS model, count(DISTINCT text) AS entries FROM documents WHERE doc_id % 100 < 70 GROUP BY 1"""),
+    "cache_put": (_cache_put, """SELECT doc_id % 100 AS model, count(DISTINCT text) AS entries FROM documents GROUP BY 1"""),
     "health_counts": (
         lambda s, d: compare.health_counts(results(s, d).select(F.when(F.col("top_k") == 0, "complete").when(F.col("top_k") == 1, F.when(F.col("exp_type") == "rag", "failed").otherwise("generating")).alias("phase"))),
         f"WITH {RESULTS} SELECT count(*) AS total, count(*) FILTER (top_k = 0) AS complete, count(*) FILTER (top_k = 1 AND exp_type = 'rag') AS failed, count(*) FILTER (top_k = 1 AND exp_type = 'direct') AS in_progress, count(*) FILTER (top_k = 2) AS no_state FROM results",

@@ -18,9 +18,9 @@ def _distinct(spark: SparkSession, d: str, table: str, column: str, name: str) -
 
 
 def _grid(spark: SparkSession, d: str) -> DataFrame:
-    nations = read(spark, d, "nation").filter("n_nationkey < 4").select(F.concat(F.lit("hf:org/"), F.col("n_name"), F.lit("-it")).alias("model"))
+    nations = read(spark, d, "nation").select(F.concat(F.lit("hf:org/"), F.col("n_name"), F.lit("-it")).alias("model"))
     datasets = _distinct(spark, d, "region", "r_name", "dataset")
-    types = _distinct(spark, d, "part", "p_type", "kind").select(F.concat(F.when(F.col("kind") < "M", "hybrid_").otherwise("dense_"), F.col("kind")).alias("retriever"))
+    types = _distinct(spark, d, "part", "p_brand", "kind").select(F.concat(F.when(F.col("kind") < "Brand#3", "hybrid_").otherwise("dense_"), F.col("kind")).alias("retriever"))
     options = grid.product(spark, {"prompt": ["concise", "cot"], "top_k": [3, 5], "query_transform": ["none", "hyde"], "reranker": ["none", "bge"]})
     return grid.products([nations, datasets, types, options])
 
@@ -29,8 +29,8 @@ def _specs(spark: SparkSession, d: str) -> DataFrame:
     return grid.rag_specs(_grid(spark, d), [10, 60], [0.3, 0.7]).select("name", "model", "dataset", "retriever", "top_k", F.coalesce("rrf_k", F.lit(0)).alias("rrf_k"), F.coalesce("alpha", F.lit(0.0)).alias("alpha"))
 
 
-_SPECS = """grid AS (SELECT 'hf:org/' || n_name || '-it' AS model, r_name AS dataset, CASE WHEN kind < 'M' THEN 'hybrid_' ELSE 'dense_' END || kind AS retriever, prompt, CAST(top_k AS INTEGER) AS top_k, query_transform, reranker
-  FROM (SELECT * FROM nation WHERE n_nationkey < 4), (SELECT DISTINCT r_name FROM region), (SELECT DISTINCT p_type AS kind FROM part), (SELECT unnest(['concise', 'cot']) AS prompt), (SELECT unnest([3, 5]) AS top_k), (SELECT unnest(['none', 'hyde']) AS query_transform), (SELECT unnest(['none', 'bge']) AS reranker)),
+_SPECS = """grid AS (SELECT 'hf:org/' || n_name || '-it' AS model, r_name AS dataset, CASE WHEN kind < 'Brand#3' THEN 'hybrid_' ELSE 'dense_' END || kind AS retriever, prompt, CAST(top_k AS INTEGER) AS top_k, query_transform, reranker
+  FROM nation, (SELECT DISTINCT r_name FROM region), (SELECT DISTINCT p_brand AS kind FROM part), (SELECT unnest(['concise', 'cot']) AS prompt), (SELECT unnest([3, 5]) AS top_k), (SELECT unnest(['none', 'hyde']) AS query_transform), (SELECT unnest(['none', 'bge']) AS reranker)),
 opts AS (SELECT *, unnest(CASE WHEN contains(retriever, 'hybrid') THEN [10, 60] ELSE [NULL] END) AS rrf_k FROM grid), both_ AS (SELECT *, unnest(CASE WHEN contains(retriever, 'hybrid') THEN [0.3::DOUBLE, 0.7::DOUBLE] ELSE [NULL::DOUBLE] END) AS alpha FROM opts),
 specs AS (SELECT 'rag_' || left(replace(replace(replace(split_part(model, '/', 2), '-it', 'I'), '.', ''), '-', ''), 12) || '_' || dataset || '_' || left(sha256('agent_params=None|agent_type=None|alpha=' || coalesce(CAST(alpha AS VARCHAR), 'None') || '|model=' || model || '|prompt=' || prompt || '|qt=' || query_transform || '|retriever=' || retriever || '|rr=' || reranker || '|rrf_k=' || coalesce(CAST(rrf_k AS VARCHAR), 'None') || '|top_k=' || top_k), 8) AS name, * FROM both_)"""
 _KEY = "sha256({} || '#42')"

@@ -25,12 +25,21 @@ DOC = "struct<rank:int,doc_id:string,content:string,score:double>"
 PREDICTION = f"idx bigint, question string, prediction string, expected array<string>, references array<string>, metrics map<string,double>, prompt string, retrieved_docs array<{DOC}>, doc_scores array<double>"
 
 
+def _depth(spark: SparkSession, root: str) -> int:
+    """How many folders deep root lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).depth()
+
+
 def _files(spark: SparkSession, root: str, pattern: str, schema: str) -> DataFrame:
-    """JSON files of a name anywhere under root, with the folder of each."""
+    """JSON files of a name anywhere under root but in skipped folders and what they hold, with the folder of each and its level under root."""
     rows = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("mode", "PERMISSIVE").json(root)
-    parts = F.split(F.col("_metadata.file_path"), "/")
-    rows = rows.select("*", F.element_at(parts, -2).alias("folder"), F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/").alias("path"))
-    return rows.filter(~F.rlike("folder", F.lit(r"^[_.]")) & ~F.col("folder").isin(*SKIPPED))
+    parts = F.split(F.regexp_replace("_metadata.file_path", "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), "/")
+    above = F.slice(parts, _depth(spark, root) + 2, F.greatest(F.lit(0), F.size(parts) - F.lit(_depth(spark, root) + 2)))
+    rows = rows.select("*", F.element_at(parts, -2).alias("folder"), F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/").alias("path"), above.alias("above"))
+    # Spark lists no folder that begins with _ or . itself; the rule is stated all the same.
+    kept = rows.filter(~F.exists("above", lambda p: F.rlike(p, F.lit(r"^[_.]")) | p.isin(*SKIPPED)))
+    return kept.withColumn("level", F.size("above")).drop("above")
 
 
 def metric_value(metrics: Column, name: str) -> Column:
@@ -47,11 +56,22 @@ def _flat(rows: DataFrame, metrics: Column) -> DataFrame:
     return rows.withColumns(columns).withColumn("parts", parts).select("name", *fields, "retriever", "top_k", *METRICS, "llm_judge", F.coalesce("duration", F.lit(0.0)).alias("duration"), "parts.corpus", "parts.embedding_model", "parts.chunk_strategy", "parts.chunk_size")
 
 
+def _judged(spark: SparkSession, root: str) -> DataFrame:
+    """(folder, judge): the judge's metric of the experiments that lie right under root and have a summary file; of several the first by name."""
+    summary = _files(spark, root, "*_summary.json", "overall_metrics map<string,double>, llm_judge_qa double, llm_judge double").withColumn("file", F.col("_metadata.file_name")).filter("level = 1")
+    of = lambda name: F.when(F.col("overall_metrics").isNotNull(), F.try_element_at("overall_metrics", F.lit(name))).otherwise(F.col(name))
+    return summary.groupBy("folder").agg(F.min_by(F.coalesce(F.nullif(of("llm_judge_qa"), F.lit(0.0)), of("llm_judge")), "file").alias("judge"))
+
+
 def from_comparison(spark: SparkSession, path: str) -> DataFrame:
-    """Experiments of a comparison file: a list under ``experiments``; metrics under ``results`` or ``metrics``."""
+    """Experiments of a comparison file: a list under ``experiments``; metrics under ``results`` or ``metrics``. Where an experiment has a folder with a
+    summary file beside the comparison, the judge's metric is the summary's."""
     rows = spark.read.schema(f"experiments array<struct<{RESULTS}>>").option("multiLine", True).json(path).select(F.explode("experiments").alias("e")).select("e.*")
+    rows = rows.join(_judged(spark, path.rpartition("/")[0]), F.col("name") == F.col("folder"), "left")
     chosen = F.when(F.size("results") > 0, F.col("results")).otherwise(F.col("metrics"))
-    return _flat(rows.withColumn("name", F.coalesce("name", F.lit("unknown"))), chosen)
+    others = F.map_filter(F.coalesce(chosen, F.create_map().cast("map<string,double>")), lambda k, _: k != "llm_judge_qa")
+    judged = F.when(F.col("judge").isNotNull(), F.map_concat(others, F.create_map(F.lit("llm_judge_qa"), "judge"))).otherwise(chosen)
+    return _flat(rows.withColumn("name", F.coalesce("name", F.lit("unknown"))), judged)
 
 
 def from_directories(spark: SparkSession, root: str, also_skip: tuple[str, ...] = ()) -> DataFrame:

@@ -80,6 +80,20 @@ def retrieval_cache(spark: SparkSession, path: str) -> Cache:
     return Cache(spark, path, ["retriever", "query_hash", "top_k"], "query_hash string, top_k int, results array<struct<doc_id:string,text:string,score:double,rank:int>>, retriever string")
 
 
+#: A cached result in JSON.
+RESULT = "array<struct<document:struct<id:string,text:string,metadata:map<string,string>,score:double>,score:double,rank:int>>"
+
+
+def encoded(results: Column) -> Column:
+    """Results of a query as JSON text, with fields that are null as such."""
+    return F.to_json(results, {"ignoreNullFields": "false"})
+
+
+def decoded(text: Column) -> Column:
+    """The results of JSON text; null if it is none."""
+    return F.from_json(text, RESULT)
+
+
 def embed_missing(texts: DataFrame, cache: Cache, model: str, embed) -> DataFrame:
     """(text, embedding): from the cache, or by embed (a pandas UDF over text) for what it lacks, which is put there."""
     asked = texts.select("text").distinct().select(F.lit(model).alias("model"), text_hash(F.col("text")).alias("text_hash"), "text")
