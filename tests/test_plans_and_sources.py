@@ -177,3 +177,80 @@ def test_stored_predictions_evaluated(spark, study):
     got = {(r["experiment"], r["idx"]): r["f1"] for r in results.evaluate_predictions(spark, study, ["f1", "faithfulness"]).collect()}
     assert got == {("one", 4): 0.0, ("two", 0): 0.0}
     assert {r["name"]: r["value"] for r in results.metric_of(spark, study).collect()} == {"one": 0.5, "three": 1.0, "four": 1.0}
+
+
+def test_skipped_folders_at_any_depth(spark, study):
+    import pathlib
+
+    root = pathlib.Path(study.removeprefix("file://"))
+    for folder in ("analysis/deep/five", "group/six", "group/_collisions/seven"):
+        (root / folder).mkdir(parents=True)
+        (root / folder / "results.json").write_text(json.dumps({"metrics": {"f1": 0.7}}))
+    assert sorted(r["name"] for r in results.load_all(spark, study).collect()) == ["four", "one", "six", "two"]
+
+
+def test_comparison_takes_the_judge_of_summaries(spark, study):
+    import pathlib
+
+    root = pathlib.Path(study.removeprefix("file://"))
+    (root / "one" / "one_summary.json").write_text(json.dumps({"overall_metrics": {"llm_judge_qa": 0.0, "llm_judge": 0.6}}))
+    (root / "two" / "a_summary.json").write_text(json.dumps({"llm_judge_qa": 0.9}))
+    (root / "comparison.json").write_text(json.dumps({"experiments": [{"name": "one", "results": {"f1": 0.1, "llm_judge_qa": 0.2}}, {"name": "two", "metrics": {"f1": 0.3}}, {"name": "gone", "results": {"llm_judge": 0.5}}]}))
+    got = {r["name"]: (r["f1"], r["llm_judge"]) for r in results.load_all(spark, study).collect()}
+    assert got == {"one": (0.1, 0.6), "two": (0.3, 0.9), "gone": (0.0, 0.5)}
+
+
+def test_results_as_json_and_back(spark):
+    row = ([{"document": {"id": "d", "text": "a \"b\"\n", "metadata": {"k": "v"}, "score": 0.5}, "score": 0.25, "rank": 1}, {"document": None, "score": None, "rank": 2}],)
+    rows = spark.createDataFrame([row, ([],), (None,)], f"results {stores.RESULT}")
+    assert rows.select(stores.decoded(stores.encoded(F.col("results"))).alias("results")).collect() == rows.collect()
+    assert json.loads(rows.select(stores.encoded(F.col("results")).alias("j")).first()["j"])[0]["document"]["id"] == "d"
+
+
+def test_hierarchical_and_retrieval_caches(spark, tmp_path):
+    from quillmark.operators import chunking
+
+    docs = spark.createDataFrame([(str(k), "Some sentence of a text here. " * 60) for k in range(3)], "id string, text string")
+    families = chunking.hierarchical(docs)
+    vectors = spark.createDataFrame([(1, 10, [1.0, 0.0])], "doc_id long, parent_id long, v array<double>")
+    stores.save_hierarchical(families, vectors, f"{tmp_path}/h")
+    parents, children, back = stores.load_hierarchical(spark, f"{tmp_path}/h")
+    assert parents.count() == families.select("parent_id").distinct().count() and children.count() == families.count() and back.collect() == vectors.collect()
+    cache = stores.retrieval_cache(spark, f"{tmp_path}/r")
+    rows = spark.createDataFrame([("dense_a0.50", "q1", 5, [("d", "t", 0.5, 1)]), ("dense_a0.50", "q1", 5, [("x", "t", 0.1, 1)])], "retriever string, query_hash string, top_k int, results array<struct<doc_id:string,text:string,score:double,rank:int>>")
+    cache.put(rows.limit(1))
+    cache.put(rows)
+    asked = spark.createDataFrame([("dense_a0.50", "q1", 5), ("dense_a0.50", "q1", 3)], "retriever string, query_hash string, top_k int")
+    hits, misses = cache.get(asked)
+    assert hits.count() == 1 and misses.first()["top_k"] == 3
+
+
+def test_writers_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([("one", "m", 0.5), ("two", "m", 0.25)], "name string, model string, f1 double")
+    results.write_report(rows, f"{tmp_path}/report")
+    assert sorted(spark.read.option("header", True).csv(f"{tmp_path}/report").columns) == ["f1", "model", "name"]
+
+
+def test_pivot_of_too_many_columns(spark, monkeypatch):
+    from quillmark.operators import compare
+
+    monkeypatch.setattr(compare, "MOST_COLUMNS", 3)
+    rows = spark.range(5).select(F.lit("r").alias("row"), F.col("id").alias("c"), F.lit(1.0).alias("m"))
+    assert len(compare.pivot(rows.filter("c < 3"), "row", "c", "m").columns) == 4
+    with pytest.raises(ValueError):
+        compare.pivot(rows, "row", "c", "m")
+
+
+def test_recursive_chunks_without_a_limit():
+    from quillmark.operators import chunking
+
+    text = "a b " * 6000
+    assert len(chunking.recursive(text, 2)) == chunking.MOST_CHUNKS + 1
+    assert len(chunking.recursive(text, 2, most=None)) == 12_000 and "".join(chunking.recursive(text, 2, most=None)) == text.replace(" ", "")
+
+
+def test_dashes_of_transforms_count(spark):
+    from quillmark.functions import names
+
+    rows = spark.createDataFrame([("rag_m_dense_k5_hy-de_ms-marco_concise_nq",)], "n string")
+    assert rows.select(names.without_unwired(F.col("n"))).first()[0] == "rag_m_dense_k5_hy-de_concise_nq"
