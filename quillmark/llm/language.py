@@ -62,6 +62,24 @@ class ByteNet:
             out[k : k + step] = self._softmax(np.maximum(top, 0) @ self.p["out"] + self.p["out_bias"])
         return out
 
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Gradients of the mean cross entropy of windows x of languages y."""
+        patches = self._patches(x)
+        z = patches @ self.p["filters"]
+        at = z.argmax(axis=1)
+        top = np.take_along_axis(z, at[:, None, :], axis=1)[:, 0] + self.p["bias"]
+        hidden = np.maximum(top, 0)
+        d = self._softmax(hidden @ self.p["out"] + self.p["out_bias"])
+        d[np.arange(len(y)), y] -= 1
+        d /= len(y)
+        dh = (d @ self.p["out"].T) * (top > 0)
+        seen = patches[np.arange(len(x))[:, None], at]  # (n, f, widest * e): the patch that each filter chose
+        de = np.zeros_like(self.p["embedding"])
+        back = (dh[:, :, None] * self.p["filters"].T[None]).reshape(len(x), -1, max(WIDTHS), EMBEDDED)
+        under = x[np.arange(len(x))[:, None, None], at[:, :, None] + np.arange(max(WIDTHS))]
+        np.add.at(de, under.reshape(-1), back.reshape(-1, EMBEDDED))
+        return {"embedding": de, "filters": np.einsum("nfp,nf->pf", seen, dh) * self.mask, "bias": dh.sum(0), "out": hidden.T @ d, "out_bias": d.sum(0)}
+
     def fit(self, windows: np.ndarray, labels: np.ndarray, epochs: int = 12, least_steps: int = 400, size: int = 128, rate: float = 0.01, seed: int = 42) -> None:
         """Adam on the cross entropy. Half of the windows of an epoch are cut short, as short texts are."""
         rng = np.random.default_rng(seed)
@@ -75,21 +93,7 @@ class ByteNet:
                 x, y = windows[order[k : k + size]].copy(), labels[order[k : k + size]]
                 cut = np.where(rng.random(len(x)) < 0.5, rng.integers(8, LENGTH + 1, len(x)), LENGTH)
                 x[np.arange(LENGTH)[None, :] >= cut[:, None]] = 0
-                patches = self._patches(x)
-                z = patches @ self.p["filters"]
-                at = z.argmax(axis=1)
-                top = np.take_along_axis(z, at[:, None, :], axis=1)[:, 0] + self.p["bias"]
-                hidden = np.maximum(top, 0)
-                d = self._softmax(hidden @ self.p["out"] + self.p["out_bias"])
-                d[np.arange(len(y)), y] -= 1
-                d /= len(y)
-                dh = (d @ self.p["out"].T) * (top > 0)
-                seen = patches[np.arange(len(x))[:, None], at]  # (n, f, widest * e): the patch that each filter chose
-                de = np.zeros_like(self.p["embedding"])
-                back = (dh[:, :, None] * self.p["filters"].T[None]).reshape(len(x), -1, max(WIDTHS), EMBEDDED)
-                under = x[np.arange(len(x))[:, None, None], at[:, :, None] + np.arange(max(WIDTHS))]
-                np.add.at(de, under.reshape(-1), back.reshape(-1, EMBEDDED))
-                grads = {"embedding": de, "filters": np.einsum("nfp,nf->pf", seen, dh) * self.mask, "bias": dh.sum(0), "out": hidden.T @ d, "out_bias": d.sum(0)}
+                grads = self.gradients(x, y)
                 t += 1
                 for name, g in grads.items():
                     first[name] += 0.1 * (g - first[name])
@@ -129,18 +133,16 @@ def _spread(windows_a_doc: int):
 def train(labelled: DataFrame, sample_docs: int = 2400, windows_a_doc: int = 4, seed: int = 42) -> ByteNet | None:
     """A network fitted on (key, lang, text); None if no row has a language and a letter.
 
-    At most MOST_LANGUAGES languages; sample_docs bounds what reaches the driver."""
+    The MOST_LANGUAGES most frequent languages are learned, so a column with stray values stops nothing; sample_docs bounds what reaches the driver."""
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
     if not counts:
         return None
     quota = max(1, sample_docs // len(counts))
     # A cut at a hash first: about twice the quota is left of each language, however large the table.
     cuts = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, (2 * quota + 20) / n) * (1 << 30)))))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
-    few = rows.filter(F.pmod(F.xxhash64("key", F.lit("cut")), F.lit(1 << 30)) < F.element_at(cuts, F.col("lang")))
+    few = rows.filter(F.element_at(cuts, F.col("lang")).isNotNull() & (F.pmod(F.xxhash64("key", F.lit("cut")), F.lit(1 << 30)) < F.element_at(cuts, F.col("lang"))))
     chosen = few.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= quota)
     sample = chosen.select("lang", "text").mapInArrow(_spread(windows_a_doc), "lang string, window binary").collect()
     if not sample:
@@ -201,7 +203,7 @@ def identify(docs: DataFrame, keep_text: bool = False) -> DataFrame:
 
     Learns from text and non-null lang of the rows whose crc32(doc_id as text) mod 3 is not 1; rows of a null id are
     neither learned from nor held out. A null text, one without letters, and every text if
-    there is nothing to learn from, get `und` and 0. An empty table gives an empty result."""
+    there is nothing to learn from, get `und` and 0. Texts of any length are read whole, in windows. Repeated rows get equal results. An empty table gives an empty result."""
     learn = docs.filter(F.crc32(_key()) % 3 != 1).select(_key().alias("key"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     net = train(learn)
     rows = docs.select(others(docs).alias("row"), F.col("text").cast("string").alias("text"))

@@ -119,7 +119,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
 
     A document's ids are those of its text (null: none) and then END_ID. tokenizer: a
     byte-level BPE file, on each machine; by default the installed public one. Each id lies in one piece; sequences hold
-    capacity ids at most. Repeated rows are packed each. Reruns give the same result."""
+    capacity ids at most. Repeated rows are packed each, as are rows without an id; an empty text is its end id. An empty table gives an empty result. Reruns give the same result."""
     scratch = Scratch(docs.sparkSession, "packing")
     rows = docs.select(did().alias("did"), text_hash().alias("tag"), F.col("text").cast("string").alias("text"))
     ids = ", ids array<int>" if with_ids else ""

@@ -241,3 +241,70 @@ def test_recall_of_similar_texts(spark):
     index = np.array(index)
     assert (index >= 0.8).sum() > 100 and told[index >= 0.8].mean() >= 0.97 and told[(index >= 0.8) & (index < 0.85)].mean() >= 0.9
     assert told[index < 0.72].mean() <= 0.02
+
+
+def test_kept_index_takes_batch_after_batch(spark, tmp_path):
+    """Three calls with one folder, runs compacted between them, against one call over all."""
+    rng = np.random.default_rng(25)
+    texts = []
+    for k in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 200, 30)]
+        if k > 5 and rng.random() < 0.6:
+            words[10:10] = texts[int(rng.integers(k))].split()[:20]
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {r["did"]: r["starts"] for r in substrings.remove_repeats(docs).collect()}
+    folder, got = f"file://{tmp_path}/log", {}
+    for upto in (20, 45, 60):
+        done = substrings.remove_repeats(docs.filter(f"doc_id < {upto}"), folder=folder, fanout=3).collect()
+        assert {r["did"] for r in done} == set(range(len(got), upto))
+        got |= {r["did"]: r["starts"] for r in done}
+        from quillmark.llm.common import Scratch
+
+        log = substrings.FingerprintLog(spark, Scratch(spark, "test"), 3, folder)
+        assert len(log.runs) < 3 and log.upto == upto - 1 and len([x for x in log.kept.names() if x.startswith("state-")]) == 1
+    assert got == want
+    assert substrings.remove_repeats(docs, folder=folder).collect() == []
+
+
+def test_network_is_the_plain_one():
+    """Probabilities against a loop over positions and filters, gradients against differences."""
+    from quillmark.llm import language as lang
+
+    rng = np.random.default_rng(26)
+    net = lang.ByteNet(["a", "b", "c"], 5)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    x, y = rng.integers(0, 256, (4, lang.LENGTH)).astype(np.uint8), np.array([0, 2, 1, 2])
+
+    def plain():
+        out = []
+        for row in x:
+            hidden = []
+            for f in range(len(net.p["bias"])):
+                width = lang.WIDTHS[f // lang.FILTERS]
+                last = lang.LENGTH - max(lang.WIDTHS) + 1
+                sums = [sum(net.p["embedding"][row[at + k]] @ net.p["filters"][k * lang.EMBEDDED : (k + 1) * lang.EMBEDDED, f] for k in range(width)) for at in range(last)]
+                hidden.append(max(0.0, max(sums) + net.p["bias"][f]))
+            z = np.array(hidden) @ net.p["out"] + net.p["out_bias"]
+            out.append(np.exp(z - z.max()) / np.exp(z - z.max()).sum())
+        return np.array(out)
+
+    assert np.allclose(plain(), net.probabilities(x), atol=1e-5)
+    loss = lambda: float(-np.log(net._softmax(np.maximum((net._patches(x) @ net.p["filters"]).max(axis=1) + net.p["bias"], 0) @ net.p["out"] + net.p["out_bias"])[np.arange(4), y]).mean())
+    grads = net.gradients(x, y)
+    for name, at in (("out", (3, 1)), ("out_bias", (2,)), ("bias", (1,)), ("filters", (0, 2)), ("embedding", (int(x[0, 5]), 1))):
+        before = net.p[name][at]
+        ends = []
+        for step in (1e-5, -1e-5):
+            net.p[name][at] = before + step
+            ends.append(loss())
+        net.p[name][at] = before
+        assert grads[name][at] == pytest.approx((ends[0] - ends[1]) / 2e-5, rel=1e-3, abs=1e-7)
+
+
+def test_stray_languages_stop_nothing(spark):
+    from quillmark.llm import language
+
+    rows = [(k, f"word number {k} of a text", f"stray{k}" if k % 2 else "en") for k in range(1000)]
+    done = language.op3(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert done.count() == 1000
