@@ -45,12 +45,13 @@ class Scratch:
     """Intermediate tables, written as Parquet into the shared folder.
 
     Writing a table cuts the lineage and survives the loss of executors. ``drop`` deletes a
-    table that nothing lazy needs any more; the rest goes when the driver's Python ends."""
+    table that nothing lazy needs any more; the rest goes when the driver's Python ends, unless a folder to keep is given."""
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, folder: str | None = None):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        atexit.register(self._end)
+        self.root = folder or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        if not folder:
+            atexit.register(self._end)
 
     def put(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -63,6 +64,17 @@ class Scratch:
             self._delete(f"{self.root}/{name}")
         self.spark._jvm.System.gc()  # the end of a phase: Spark's cleaner then frees its shuffle files
 
+    def names(self) -> list[str]:
+        """The finished tables in the folder."""
+        jvm = self.spark._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.root)
+        system = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        done = lambda p: system.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
+        return sorted(s.getPath().getName() for s in system.listStatus(root) if s.isDirectory() and done(s.getPath())) if system.exists(root) else []
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{name}")
+
     def _delete(self, path: str) -> None:
         jvm = self.spark._jvm
         hadoop = jvm.org.apache.hadoop.fs.Path(path)

@@ -8,7 +8,8 @@ fingerprint and sorted by it, with the first and last document of each fingerpri
 is summarised the same way and merge-joined with every run; fingerprints that occur in more than
 one document are candidates. Candidates are verified on the text: the windows that carry one are
 hashed whole (96 bits), and a window is repeated if a document with a smaller id has the same hash.
-When ``fanout`` runs have gathered they are compacted into one.
+When ``fanout`` runs have gathered they are compacted into one. An index may be kept in a folder, with the fingerprints of its documents: a
+later call then takes only the documents after them as new batches and joins these with the runs that are there.
 
 A row whose whole text stands under a smaller id has all its windows there, so it needs no
 verification. Verified windows are matched in ``slices`` of the hash, one after another, which bounds the
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -88,17 +90,31 @@ class FingerprintLog:
     """The index: runs of (g, lo, hi), the first and last did of each fingerprint.
 
     Batches are to come in ascending order of did for ``add`` to name every fingerprint that
-    also lies in a smaller document; the order does not matter for which fingerprints are found."""
+    also lies in a smaller document; the order does not matter for which fingerprints are found.
+    folder: where the index is kept, with a table of (g, did, tag) for each batch; ``commit`` makes what was added part of it, and what a
+    call that failed has left is not read."""
 
-    def __init__(self, spark: SparkSession, scratch: Scratch, fanout: int = 4):
+    def __init__(self, spark: SparkSession, scratch: Scratch, fanout: int = 4, folder: str | None = None):
         self.spark, self.scratch, self.fanout = spark, scratch, fanout
+        self.kept = Scratch(spark, "log", folder) if folder else None
         self.runs: list[tuple[str, DataFrame]] = []
+        self.batches: list[str] = []
+        self.upto: int | None = None
         self._made = 0
+        states = [x for x in self.kept.names() if x.startswith("state-")] if self.kept else []
+        if states:
+            state = self.kept.read(states[-1]).first()
+            self.runs = [(x, self.kept.read(x)) for x in state["runs"]]
+            self.batches, self.upto, self._made = list(state["batches"]), state["upto"], state["made"]
 
     def _write(self, run: DataFrame) -> None:
-        name = f"run-{self._made}"
+        name = f"run-{self._made:06d}"
         self._made += 1
-        self.runs.append((name, self.scratch.put(run.sortWithinPartitions("g"), name)))
+        self.runs.append((name, (self.kept or self.scratch).put(run.sortWithinPartitions("g"), name)))
+
+    def prints(self) -> list[DataFrame]:
+        """(g, did, tag) of the batches that the index was opened with."""
+        return [self.kept.read(x) for x in self.batches] if self.kept else []
 
     def add(self, prints: DataFrame) -> DataFrame:
         """Adds a batch of (g, did, ...) as a run. Returns (g): fingerprints of the batch that lie in two of
@@ -115,9 +131,21 @@ class FingerprintLog:
             self.compact()
         return found
 
+    def commit(self, prints: list[DataFrame], upto: int | None) -> None:
+        """Keeps the runs, the prints of the new batches, and the last did of all as the folder's state; what it replaces goes after that."""
+        for p in prints:
+            self.batches.append(f"prints-{self._made:06d}")
+            self._made += 1
+            self.kept.put(p, self.batches[-1])
+        state = [([name for name, _ in self.runs], self.batches, max(x for x in (upto, self.upto, -(2**63)) if x is not None), self._made + 1)]
+        self.kept.put(self.spark.createDataFrame(state, "runs array<string>, batches array<string>, upto long, made long").coalesce(1), f"state-{self._made:06d}")
+        wanted = {*state[0][0], *self.batches, f"state-{self._made:06d}"}
+        self.kept.drop(*(x for x in self.kept.names() if x not in wanted))
+
     def drop(self) -> None:
-        """Deletes the index."""
-        self.scratch.drop(*(name for name, _ in self.runs))
+        """Deletes the runs, unless the index is kept."""
+        if not self.kept:
+            self.scratch.drop(*(name for name, _ in self.runs))
         self.runs = []
 
     def compact(self) -> None:
@@ -127,7 +155,8 @@ class FingerprintLog:
         for _, run in old[1:]:
             merged = merged.unionByName(run)
         self._write(merged.groupBy("g").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")))
-        self.scratch.drop(*(name for name, _ in old))
+        if not self.kept:
+            self.scratch.drop(*(name for name, _ in old))
 
 
 def _windows(window: int, gram: int):
@@ -179,32 +208,34 @@ def _digests(window: int):
     return run
 
 
-def repeated_windows(docs: DataFrame, scratch: Scratch, batches: int = 2, slices: int = 4, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def repeated_windows(docs: DataFrame, scratch: Scratch, batches: int = 2, slices: int = 4, window: int = WINDOW, gram: int = GRAM, log: FingerprintLog | None = None) -> DataFrame:
     """(did, tag, starts): the starts of a row's windows whose words also start a window in a document with a
     smaller did; ALL stands for each window. docs: (did, tag, text); tag tells rows of one id apart.
 
     Rows that share an id do not remove each other's windows. Documents go through the index
-    in ``batches`` batches of ascending did."""
-    log = FingerprintLog(docs.sparkSession, scratch)
-    cuts = docs.agg(F.percentile_approx("did", [k / batches for k in range(1, batches)], 1000).alias("c")).first()["c"] if batches > 1 else []
-    edges = [None, *sorted(set(cuts or [])), None]
-    prints, found = [], []
+    in ``batches`` batches of ascending did; those that a kept log holds already are not added again."""
+    log = log or FingerprintLog(docs.sparkSession, scratch)
+    prints, found, begun = log.prints(), [], log.upto
+    new = docs if begun is None else docs.filter(F.col("did") > begun)
+    cuts = new.agg(F.percentile_approx("did", [k / batches for k in range(1, batches)], 1000).alias("c")).first()["c"] if batches > 1 else []
+    edges = [begun, *sorted(set(cuts or [])), None]
+    known = len(prints)
     for k in range(len(edges) - 1):
-        batch = docs
+        batch = new
         if edges[k] is not None:
             batch = batch.filter(F.col("did") > edges[k])
         if edges[k + 1] is not None:
             batch = batch.filter(F.col("did") <= edges[k + 1])
         prints.append(scratch.put(window_prints(batch, window, gram), f"prints-{k}"))
         found.append(log.add(prints[-1]))
-    all_prints, all_found = prints[0], found[0]
-    for p, f in zip(prints[1:], found[1:], strict=True):
-        all_prints, all_found = all_prints.unionByName(p), all_found.unionByName(f)
+    if log.kept:
+        log.commit(prints[known:], new.agg(F.max("did").alias("m")).first()["m"])
+    all_prints, all_found = reduce(DataFrame.unionByName, prints), reduce(DataFrame.unionByName, found)
     marked = all_prints.join(all_found.distinct(), "g").groupBy("did", "tag").agg(F.collect_set("g").alias("found"))
     copies = scratch.put(_copies(docs, scratch).filter("copy").select("did", "tag").distinct(), "copies")
     marked = scratch.put(marked.join(copies.hint("merge"), ["did", "tag"], "left_anti"), "marked")
     log.drop()
-    scratch.drop(*(f"prints-{k}" for k in range(len(prints))), *(f"found-{k + 1}" for k in range(len(found))))
+    scratch.drop(*(x for x in scratch.names() if x.startswith(("prints-", "found-"))))
     windows = scratch.put(docs.join(marked.hint("merge"), ["did", "tag"]).select("did", "tag", "text", "found").mapInArrow(_windows(window, gram), "w long, x int, did long, tag long, at int"), "windows")
     scratch.drop("marked")
     later = copies.select("did", "tag", F.array(F.lit(ALL)).alias("starts"))
@@ -229,14 +260,20 @@ def _tagged(docs: DataFrame) -> DataFrame:
     return docs.select(did().alias("did"), text_hash().alias("tag"), F.col("text").cast("string").alias("text"))
 
 
-def remove_repeats(docs: DataFrame, batches: int = 2, slices: int = 4, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, batches: int = 2, slices: int = 4, window: int = WINDOW, gram: int = GRAM, folder: str | None = None, fanout: int = 4) -> DataFrame:
     """(did, text, starts) of each row: its text, and the starts of its repeated windows
     (null if it has none, ALL for each window). Null ids sort last and count as one id; a null text has no words; a row with fewer words
-    than a window has no window. An empty table gives an empty result."""
+    than a window has no window. An empty table gives an empty result.
+
+    folder: where an index is kept from call to call. docs then holds the documents of earlier calls, too, whose texts candidates are verified
+    on, and the new ones, whose ids are larger; only these go into the index, in ``batches`` batches, and only these are returned."""
     docs = _tagged(docs)
     scratch = Scratch(docs.sparkSession, "substrings")
-    starts = scratch.put(repeated_windows(docs, scratch, batches, slices, window, gram), "starts")
-    return docs.join(starts.hint("merge"), ["did", "tag"], "left").select("did", "text", "starts")
+    log = FingerprintLog(docs.sparkSession, scratch, fanout, folder)
+    begun = log.upto
+    starts = scratch.put(repeated_windows(docs, scratch, batches, slices, window, gram, log), "starts")
+    asked = docs if begun is None else docs.filter(F.col("did") > begun)
+    return asked.join(starts.hint("merge"), ["did", "tag"], "left").select("did", "text", "starts")
 
 
 def op6(docs: DataFrame, batches: int = 2) -> DataFrame:
