@@ -59,11 +59,11 @@ def _fingerprints(shingle: int, seed: int):
 
 
 #: Blocks of a wide fingerprint and their bits; together a multiple of 64.
-TABLES, BLOCK_BITS = 160, 24
+TABLES, BLOCK_BITS = 144, 24
 #: Fingerprints that share a block are compared in chunks of about this many.
 PART = 4096
 #: The blocks are compared in rounds that end at these and at the last, so that a round need not compare what is connected already.
-ROUNDS = (16, 48)
+ROUNDS = (16, 48, 96)
 #: Standard deviations of the differing bits of a pair at the threshold that a pair may lie over their mean.
 SPREAD = 2.0
 
@@ -163,9 +163,12 @@ def _verified(most: int):
 
 
 def _chunked(nodes: DataFrame, begin: int, end: int, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
-    """(key, n, c, first) of the blocks that nodes of unlike roots share, and (key, node, root, c, own) of their nodes, own being one of c chunks."""
-    blocks = nodes.mapInArrow(_blocks(begin, end), "key long, node long, root long")
-    shared = blocks.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("first")).filter("lo < hi")
+    """(key, n, c, first) of the blocks that nodes of unlike roots share, and (key, node, root, c, own) of their nodes, own being one of c chunks.
+
+    Of the blocks, those from begin to end; in the last round also those before begin that have several chunks, as only these have something left."""
+    last = end == TABLES
+    blocks = nodes.mapInArrow(_blocks(0 if last else begin, end), "key long, node long, root long")
+    shared = blocks.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("first")).filter("lo < hi").filter((F.col("key") >= begin << BLOCK_BITS) | (F.col("n") > PART))
     shared = scratch.put(shared.select("key", "n", F.ceil(F.col("n") / PART).alias("c"), "first"), f"shared-{name}")
     chunks = blocks.join(shared.select("key", "c").hint("merge"), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("c")))
     return shared, scratch.put(chunks, f"chunks-{name}")
@@ -197,7 +200,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     """(did, th, component, first) for each row of docs: component is the smallest did reachable over pairs whose sets of shingles
     are similar; first is (did, th) of the row that stands for the group, the smallest, so it tells groups of one component apart.
 
-    Of pairs at 0.8 all but one in twenty share a block and all but one in forty of these are told; of pairs at 0.85 less than one in a hundred is missed; groups need no
+    Of pairs at 0.8 all but six in a hundred share a block and all but one in forty of these are told; of pairs at 0.85 less than one in a hundred is missed; groups need no
     more than a chain of such pairs. Among n texts n * n / 2 ** 18 pairs or so share a block by chance, so BLOCK_BITS is to grow by two for each four times 100 million texts, and TABLES by a third.
     The first blocks are compared in chunks of PART and their links connected; after that only blocks with texts that are not connected yet are compared, what is not
     connected with all of a block, so no pair is lost and a large group of similar texts costs few rows for each text. Null and empty texts are alike. A null id sorts last. An empty table gives an empty result."""
@@ -215,9 +218,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     rooted, links, begin = nodes.select("node", F.col("node").alias("root"), "fp"), None, 0
     for turn, end in enumerate((*ROUNDS, TABLES)):
         last = end == TABLES
-        shared, chunks = _chunked(rooted, 0 if last else begin, end, scratch, f"{turn}")
-        if last:  # of the blocks before, only those of several chunks have something left
-            chunks = chunks.filter((F.col("c") > 1) | (F.col("key") >= begin << BLOCK_BITS))
+        shared, chunks = _chunked(rooted, begin, end, scratch, f"{turn}")
         found = close(_rest_rows(chunks, shared, scratch) if last else _chunk_rows(chunks, shared), f"close-{turn}")
         links, begin = found if links is None else links.unionByName(found), end
         roots = components(links, scratch, f"similar-{turn}")
