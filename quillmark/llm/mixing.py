@@ -166,7 +166,7 @@ def mix(docs: DataFrame, weights: Callable[[list[str | None]], list[float]] = cy
     before = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = rows.groupBy("sid", "bucket").agg(F.sum("n").alias("m")).select("sid", "bucket", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("base"))
     above = Window.partitionBy("sid", "bucket").orderBy("did", "tag").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.filter("n > 0").withColumn("own", F.coalesce(F.sum("n").over(above), F.lit(0))).join(bases, ["sid", "bucket"]).select("did", "tag", "sid", "n", "block_words", (F.col("base") + F.col("own")).alias("start"))
+    placed = rows.filter("n > 0").withColumn("own", F.coalesce(F.sum("n").over(above), F.lit(0))).join(bases.hint("merge"), ["sid", "bucket"]).select("did", "tag", "sid", "n", "block_words", (F.col("base") + F.col("own")).alias("start"))
     blocks = placed.select("*", F.explode(F.expr("sequence(start div block_words, (start + n - 1) div block_words)")).alias("block"))
     begin, end = F.greatest("start", F.col("block") * F.col("block_words")), F.least(F.col("start") + F.col("n"), (F.col("block") + 1) * F.col("block_words"))
     parts = blocks.select("sid", "block", "did", "tag", (begin - F.col("start")).alias("first"), (end - begin).alias("words"))
@@ -180,7 +180,7 @@ def mix(docs: DataFrame, weights: Callable[[list[str | None]], list[float]] = cy
 def _times(mixed: Mix) -> DataFrame:
     """(did, tag, sid, first, words, times): parts and how often the mix takes each."""
     times = mixed.slots.groupBy("sid", "block").agg(F.count("*").alias("times"))
-    return mixed.parts.join(times, ["sid", "block"]).select("did", "tag", "sid", "first", "words", "times")
+    return mixed.parts.join(times.hint("merge"), ["sid", "block"]).select("did", "tag", "sid", "first", "words", "times")
 
 
 def op1(docs: DataFrame) -> DataFrame:
