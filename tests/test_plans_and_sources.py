@@ -229,6 +229,17 @@ def test_writers_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([("one", "m", 0.5), ("two", "m", 0.25)], "name string, model string, f1 double")
     results.write_report(rows, f"{tmp_path}/report")
     assert sorted(spark.read.option("header", True).csv(f"{tmp_path}/report").columns) == ["f1", "model", "name"]
+    results.write_experiments(rows.withColumnRenamed("name", "experiment"), f"{tmp_path}/experiments")
+    assert sorted(r["experiment"] for r in spark.read.parquet(f"{tmp_path}/experiments").collect()) == ["one", "two"]
+    for _ in range(2):
+        results.write_traces(rows, f"{tmp_path}/traces")
+    assert spark.read.json(f"{tmp_path}/traces").groupBy("name").count().collect()[0]["count"] == 2
+
+
+def test_subset_of_questions(spark):
+    rows = spark.createDataFrame([(str(k), f"q{k}") for k in range(20)], "id string, question string")
+    few = corpora.subset(rows, 5)
+    assert few.count() == 5 and few.collect() == corpora.subset(rows.repartition(3), 5).collect()
 
 
 def test_pivot_of_too_many_columns(spark, monkeypatch):
