@@ -11,6 +11,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ def build(vectors: DataFrame) -> DataFrame:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
+    if pc.count_distinct(pc.list_value_length(column)).as_py() > 1:
+        raise ValueError("the index holds vectors of different lengths")
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
@@ -54,9 +57,10 @@ def _scored(sent, k: int):
 
 def search(index: DataFrame, queries: DataFrame, k: int = 10, base: int = 0) -> DataFrame:
     """(query_id, doc_id, score, rank): the k largest inner products of each query (query_id, embedding), scaled to length one, with
-    the index (doc_id, v)."""
+    the index (doc_id, v). Vectors that are null or hold a null take no part; vectors of different lengths are an error."""
     spark = index.sparkSession
-    asked = queries.select("query_id", unit(F.col("embedding")).alias("v"))
+    whole = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull())
+    asked, index = queries.select("query_id", unit(F.col("embedding")).alias("v")).filter(whole), index.filter(whole)
     blocks = max(1, ceil(asked.count() / QUERY_BLOCK))
     found = spark.createDataFrame([], _HIT)
     for b in range(blocks):

@@ -32,7 +32,8 @@ def fetch_k(explicit: Column, top_k: Column, reranker: Column) -> Column:
 def merge_expansions(hits: DataFrame, k: int) -> DataFrame:
     """(query_id, doc_id, score, rank) of hits (query_id, expansion, doc_id, text, score, rank): of each text the first
     occurrence, by expansion and rank, then the k best."""
-    first = best(hits.drop("seen"), ["query_id", "text"], [F.asc("expansion"), F.asc("rank")], 1, name="seen")
+    hashed = hits.select("query_id", "expansion", "doc_id", "score", "rank", F.sha2("text", 256).alias("of"))  # texts stay out of the shuffle
+    first = best(hashed, ["query_id", "of"], [F.asc("expansion"), F.asc("rank")], 1, name="seen")
     return top(first.select("query_id", "doc_id", "score"), k)
 
 

@@ -35,6 +35,18 @@ def best_by(rows: DataFrame, metric: str, n: int, where: Column | None = None, t
     return rows.orderBy(F.desc_nulls_last(metric), F.asc(tie)).limit(n)
 
 
+def ranked_values(rows: DataFrame, column: str, parts: int = 200) -> DataFrame:
+    """(column, rank): each value's average rank among all rows. Values are counted, then ordered in ranges between quantiles, so no task sees the
+    whole order; what lies before a range is a sum over at most ``parts`` + 1 rows."""
+    cuts = sorted(set(rows.approxQuantile(column, [(p + 1) / (parts + 1) for p in range(parts)], 0.1 / parts)))
+    below = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: cut <= F.col(column))) if cuts else F.lit(0)
+    counts = rows.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).withColumn("part", below)
+    sums = counts.groupBy("part").agg(F.sum("n").alias("all"))
+    before = sums.select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("before"))
+    upto = F.sum("n").over(Window.partitionBy("part").orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return counts.join(F.broadcast(before), "part").select(column, (F.col("before") + upto - (F.col("n") - 1) / 2.0).alias("rank"))  # parts + 1 rows
+
+
 def average_rank(value: Column, by: list[Column | str]) -> Column:
     """Ascending rank, from 1, ties sharing the mean of their ranks."""
     keys = list(by)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.operators.ranking import average_rank
+from quillmark.operators.ranking import average_rank, ranked_values
 
 MOST_VALUES = 5_000_000
 
@@ -159,9 +159,9 @@ def mann_whitney(rows: DataFrame, metric: str, by: list[str], kind: str = "exp_t
 
 
 def spearman_matrix(rows: DataFrame, metrics: list[str]) -> DataFrame:
-    """(a, b, rho) over rows complete in all metrics; a before b. Ranks need the whole order of a metric: results tables, not corpora."""
-    whole = reduce(lambda d, m: d.filter(F.col(m).isNotNull()), metrics, rows)
-    ranked = whole.select(*(average_rank(F.col(m), [F.lit(0)]).alias(m) for m in metrics))
+    """(a, b, rho) over rows complete in all metrics; a before b."""
+    whole = reduce(lambda d, m: d.filter(F.col(m).isNotNull()), metrics, rows).select(*metrics)
+    ranked = reduce(lambda d, m: d.join(ranked_values(whole, m).withColumnRenamed("rank", f"{m}|rank"), m), metrics, whole).select(*(F.col(f"{m}|rank").alias(m) for m in metrics))
     pairs = [(a, b) for i, a in enumerate(metrics) for b in metrics[i + 1 :]]
     one = ranked.agg(*(F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs))
     return one.unpivot([], one.columns, "pair", "rho").select(F.split("pair", r"\|")[0].alias("a"), F.split("pair", r"\|")[1].alias("b"), "rho")
@@ -239,9 +239,14 @@ def _seed(*parts: object) -> int:
     return zlib.crc32("|".join(map(str, parts)).encode())
 
 
-def _values(group: pd.DataFrame, column: str) -> np.ndarray:
-    if len(group) > MOST_VALUES:
+def _bounded(rows: DataFrame, by: str) -> DataFrame:
+    """The rows, if no group is too large to resample in one task; groups are counted before any is gathered."""
+    if rows.groupBy(by).count().filter(F.col("count") > MOST_VALUES).head(1):
         raise ValueError(f"a group has more than {MOST_VALUES} values to resample")
+    return rows
+
+
+def _values(group: pd.DataFrame, column: str) -> np.ndarray:
     return np.sort(group[column].dropna().to_numpy(np.float64))
 
 
@@ -267,7 +272,7 @@ def bootstrap_ci(rows: DataFrame, by: str, metric: str, stratum: str | None = No
         return pd.DataFrame([(key[0], mean, low, high, n)])
 
     kept = rows.select(F.col(by).cast("string").alias(by), F.col(metric).cast("double").alias(metric), *([stratum] if stratum else [])).filter(F.col(by).isNotNull())
-    return kept.groupBy(by).applyInPandas(interval, f"{by} string, mean double, low double, high double, n long")
+    return _bounded(kept, by).groupBy(by).applyInPandas(interval, f"{by} string, mean double, low double, high double, n long")
 
 
 def _p_value(observed: float, draws: np.ndarray) -> float:
@@ -287,7 +292,7 @@ def paired_bootstrap(pairs: DataFrame, by: str, a: str, b: str, times: int = 10_
         return pd.DataFrame([(key[0], d.mean(), low, high, _p_value(d.mean(), means), len(d), len(d))])
 
     kept = pairs.select(F.col(by).cast("string").alias(by), F.col(a).cast("double").alias(a), F.col(b).cast("double").alias(b)).dropna()
-    return kept.groupBy(by).applyInPandas(test, f"{by} string, {_TEST}")
+    return _bounded(kept, by).groupBy(by).applyInPandas(test, f"{by} string, {_TEST}")
 
 
 def unpaired_bootstrap(rows: DataFrame, by: str, metric: str, kind: str = "exp_type", first: str = "direct", times: int = 10_000, seed: int = 42) -> DataFrame:
@@ -304,7 +309,7 @@ def unpaired_bootstrap(rows: DataFrame, by: str, metric: str, kind: str = "exp_t
         return pd.DataFrame([(key[0], y.mean() - x.mean(), low, high, _p_value(y.mean() - x.mean(), draws), len(x), len(y))])
 
     kept = rows.select(F.col(by).cast("string").alias(by), kind, F.col(metric).cast("double").alias(metric)).filter(F.col(by).isNotNull())
-    return kept.groupBy(by).applyInPandas(test, f"{by} string, {_TEST}")
+    return _bounded(kept, by).groupBy(by).applyInPandas(test, f"{by} string, {_TEST}")
 
 
 def ranking_stability(rows: DataFrame, by: str, metric: str, times: int = 200, seed: int = 42) -> DataFrame:
@@ -315,7 +320,7 @@ def ranking_stability(rows: DataFrame, by: str, metric: str, times: int = 200, s
         return pd.DataFrame({"level": key[0], "draw": np.arange(times), "m": _resampled(values, times, np.random.default_rng(_seed(seed, *key)))})
 
     kept = rows.select(F.col(by).cast("string").alias("level"), F.col(metric).cast("double").alias(metric)).dropna()
-    drawn = kept.groupBy("level").applyInPandas(means, "level string, draw int, m double")
+    drawn = _bounded(kept, "level").groupBy("level").applyInPandas(means, "level string, draw int, m double")
     ranks = drawn.withColumn("r", F.row_number().over(Window.partitionBy("draw").orderBy(F.desc("m"), "level")))
     counts = ranks.groupBy("level", "r").agg(F.count("*").alias("n"))
     return counts.groupBy("level").agg(F.max_by("r", F.struct("n", -F.col("r"))).alias("usual_rank"), (F.max("n") / times).alias("share")).withColumnRenamed("level", by)

@@ -158,8 +158,8 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "anova_p": (_anova_p, None),
     "agreement_matrix": (_results(lambda r: st.agreement_matrix(r, ["f1", "em"])), None),
     "bootstrap_ci": (_scores(lambda s: st.bootstrap_ci(s, "model", "f1", "dataset")), None),
-    "paired_bootstrap": (_scores(lambda s: st.paired_bootstrap(s.groupBy("dataset", "idx").agg(F.avg(F.when(F.col("exp_type") == "direct", F.col("f1"))).alias("a"), F.avg(F.when(F.col("exp_type") == "rag", F.col("f1"))).alias("b")), "dataset", "a", "b", 2000)), None),
-    "unpaired_bootstrap": (_scores(lambda s: st.unpaired_bootstrap(s, "dataset", "f1", times=2000)), None),
+    "paired_bootstrap": (_scores(lambda s: st.paired_bootstrap(s.groupBy("dataset", "idx").agg(F.avg(F.when(F.col("exp_type") == "direct", F.col("f1"))).alias("a"), F.avg(F.when(F.col("exp_type") == "rag", F.col("f1"))).alias("b")), "dataset", "a", "b")), None),
+    "unpaired_bootstrap": (_scores(lambda s: st.unpaired_bootstrap(s, "dataset", "f1")), None),
     "ranking_stability": (_results(lambda r: st.ranking_stability(r, "model", "f1")), None),
-    "feature_importance": (_results(lambda r: st.feature_importance(r, ["model", "retriever", "prompt"], "f1", 10)), None),
+    "feature_importance": (_results(lambda r: st.feature_importance(r, ["model", "retriever", "prompt"], "f1")), None),
 }

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quillmark.operators import compare, diagnostics
+from quillmark.operators import compare, diagnostics, ranking
 from quillmark.operators import statistics as st
 
 RNG = np.random.default_rng(3)
@@ -104,6 +104,23 @@ def test_spearman(rows):
     assert got == {(a, b): pytest.approx(want.loc[a, b]) for a, b in got}
 
 
+def test_ranks_in_ranges(spark):
+    values = [None, -1.5, 0.0, 0.0, 0.0, 2.0, 2.0, 7.0] + [float(v % 13) for v in range(60)]
+    frame = spark.createDataFrame([(v,) for v in values], "m double")
+    want = pd.Series(values, dtype=float).rank().groupby(pd.Series(values, dtype=float)).first().to_dict()
+    for parts in (1, 3, 200):
+        assert {r["m"]: r["rank"] for r in ranking.ranked_values(frame, "m", parts).collect()} == want
+    assert ranking.ranked_values(frame.limit(0), "m").collect() == []
+
+
+def test_large_groups_are_told_before_they_are_gathered(spark, monkeypatch):
+    monkeypatch.setattr(st, "MOST_VALUES", 3)
+    rows = spark.createDataFrame([("a", 1.0)] * 4 + [("b", 1.0)], "k string, m double")
+    with pytest.raises(ValueError, match="more than 3 values"):
+        st.bootstrap_ci(rows, "k", "m")
+    assert st.bootstrap_ci(rows.filter("k = 'b'"), "k", "m").first()["n"] == 1
+
+
 def test_distributions():
     assert st.t_two_sided(2.0, 10) == pytest.approx(0.07338803, abs=1e-7)
     assert st.t_two_sided(0.0, 5) == pytest.approx(1.0)

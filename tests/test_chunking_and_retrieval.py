@@ -125,6 +125,15 @@ def test_hierarchical_search(spark):
     assert [(r["doc_id"], r["matched_child"], r["rank"]) for r in dense.search_hierarchical(kids, asked, 2).orderBy("rank").collect()] == [(10, 1, 0), (20, 3, 1)]
 
 
+def test_vectors_without_values_take_no_part(spark):
+    index = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [None, 1.0]), (4, [0.0, 1.0])], "doc_id long, v array<double>")
+    asked = spark.createDataFrame([(0, [1.0, 0.0]), (1, None), (2, [None, 1.0])], "query_id long, embedding array<double>")
+    assert [(r["query_id"], r["doc_id"], r["score"]) for r in dense.search(index, asked, 5).orderBy("rank").collect()] == [(0, 1, 1.0), (0, 4, 0.0)]
+    ragged = spark.createDataFrame([(1, [1.0]), (2, [1.0, 0.0, 0.0])], "doc_id long, v array<double>").coalesce(1)
+    with pytest.raises(Exception, match="different lengths"):
+        dense.search(ragged, asked, 5).collect()
+
+
 def test_expansions_keep_the_first(spark):
     rows = [(0, 0, 1, "same", 0.5, 0), (0, 1, 2, "same", 0.9, 0), (0, 1, 3, "other", 0.7, 1)]
     got = fusion.merge_expansions(spark.createDataFrame(rows, "query_id long, expansion int, doc_id long, text string, score double, rank int"), 5)
