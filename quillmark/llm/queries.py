@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.llm import embedding_dedup, html, language, lines, mixing, nearest, packing, pipeline, simhash, substrings, urls
+from quillmark.llm import divergence, embedding_dedup, html, language, lines, mixing, nearest, packing, pipeline, rules, simhash, substrings, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,8 +28,10 @@ def queries() -> dict[str, Query]:
         "op9_html_extraction": _over("pages", html.op9),
         "pipeline": pipeline.run,
         "op10_line_dedup": _over("documents", lines.op10),
+        "op11_source_divergence": _over("documents", divergence.op11),
+        "op12_quality_rules": _over("documents", rules.op12),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": urls.OP5_SQL, "op6_substring_dedup": substrings.OP6_SQL, "op10_line_dedup": lines.OP10_SQL}
+    return {"op5_url_filter": urls.OP5_SQL, "op6_substring_dedup": substrings.OP6_SQL, "op10_line_dedup": lines.OP10_SQL, "op11_source_divergence": divergence.OP11_SQL, "op12_quality_rules": rules.OP12_SQL}
