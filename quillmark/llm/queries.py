@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.llm import divergence, embedding_dedup, html, language, lines, mixing, nearest, packing, pipeline, rules, simhash, substrings, urls
+from quillmark.llm import divergence, embedding_dedup, html, language, lines, mixing, nearest, packing, pipeline, rules, simhash, substrings, tries, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,8 +30,9 @@ def queries() -> dict[str, Query]:
         "op10_line_dedup": _over("documents", lines.op10),
         "op11_source_divergence": _over("documents", divergence.op11),
         "op12_quality_rules": _over("documents", rules.op12),
+        "op13_prefix_trie": _over("conversations", tries.op13),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": urls.OP5_SQL, "op6_substring_dedup": substrings.OP6_SQL, "op10_line_dedup": lines.OP10_SQL, "op11_source_divergence": divergence.OP11_SQL, "op12_quality_rules": rules.OP12_SQL}
+    return {"op5_url_filter": urls.OP5_SQL, "op6_substring_dedup": substrings.OP6_SQL, "op10_line_dedup": lines.OP10_SQL, "op11_source_divergence": divergence.OP11_SQL, "op12_quality_rules": rules.OP12_SQL, "op13_prefix_trie": tries.OP13_SQL}
