@@ -126,5 +126,4 @@ def norm(v: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """v over its length, the length not under 1e-12."""
-    length = F.greatest(norm(v), F.lit(1e-12))
-    return F.transform(v, lambda x: x.cast("double") / length)
+    return let(F.greatest(norm(v), F.lit(1e-12)), lambda length: F.transform(v, lambda x: x.cast("double") / length))

@@ -33,11 +33,19 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def _whole(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The rows whose vector is there, without a null in it."""
+    column = batch.column(1)
+    if column.null_count or column.flatten().null_count:
+        return batch.filter(pa.array([v is not None and None not in v for v in column.to_pylist()]))
+    return batch
+
+
 def _scored(sent, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, queries = sent.value
         held = [np.zeros((0,), np.int64), np.zeros((0,), np.int64), np.zeros((0,))]
-        for batch in batches:
+        for batch in map(_whole, batches):
             if not batch.num_rows:
                 continue
             docs, scores = batch.column(0).to_numpy(), np.round(queries @ _matrix(batch.column(1)).T, DIGITS)
@@ -59,8 +67,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, base: int = 0) ->
     """(query_id, doc_id, score, rank): the k largest inner products of each query (query_id, embedding), scaled to length one, with
     the index (doc_id, v). Vectors that are null or hold a null take no part; vectors of different lengths are an error."""
     spark = index.sparkSession
-    whole = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull())
-    asked, index = queries.select("query_id", unit(F.col("embedding")).alias("v")).filter(whole), index.filter(whole)
+    asked = queries.filter(F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull())).select("query_id", unit(F.col("embedding")).alias("v"))
     blocks = max(1, ceil(asked.count() / QUERY_BLOCK))
     found = spark.createDataFrame([], _HIT)
     for b in range(blocks):
