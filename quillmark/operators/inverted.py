@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillmark.functions.text import dot, unit
 from quillmark.operators.ranking import DIGITS, top
@@ -184,16 +185,18 @@ def _assign(sent):
             if len(v):
                 at = (v @ centres.T).argmax(axis=1)
                 kept = batch.column(1) if books is None else pa.array([c.tobytes() for c in encode(v - centres[at], books)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at), kept], names=["doc_id", "list", "kept"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at), kept, *batch.columns[2:]], names=["doc_id", "list", "kept", *batch.schema.names[2:]])
 
     return run
 
 
 def assigned(rows: DataFrame, centres: np.ndarray, books: np.ndarray | None) -> DataFrame:
-    """(doc_id, list, v) of unit vectors (doc_id, v), or with codebooks (doc_id, list, code)."""
+    """(doc_id, list, v and other columns) of unit vectors (doc_id, v and others), or with codebooks (doc_id, list, code and others)."""
     name, kind = ("v", "array<double>") if books is None else ("code", "binary")
+    more = [c for c in rows.columns if c not in ("doc_id", "v")]
+    schema = T.StructType([*T._parse_datatype_string(f"doc_id long, list long, kept {kind}").fields, *(rows.schema[c] for c in more)])
     sent = rows.sparkSession.sparkContext.broadcast((centres, books))
-    return rows.select("doc_id", "v").mapInArrow(_assign(sent), f"doc_id long, list long, kept {kind}").withColumnRenamed("kept", name)
+    return rows.select("doc_id", "v", *more).mapInArrow(_assign(sent), schema).withColumnRenamed("kept", name)
 
 
 def _sample(rows: DataFrame, n: int, most: int) -> DataFrame:
@@ -216,11 +219,7 @@ def train(rows: DataFrame, path: str, lists: int | None = None, subs: int = 0, t
 
 def add_batch(index: Inverted, rows: DataFrame, batch: int) -> None:
     """Assigns unit vectors (doc_id, v and other columns) and writes them as the batch, in place of what an earlier try of it left."""
-    spark, extra = index.spark, [c for c in rows.columns if c not in ("doc_id", "v")]
-    out = assigned(rows, index.centres(), index.codebooks())
-    if extra:
-        out = out.join(rows.select("doc_id", *extra), "doc_id")
-    out = stored(out, new_folder(spark, "assigned"))
+    out = stored(assigned(rows, index.centres(), index.codebooks()), new_folder(index.spark, "assigned"))
     parts = out.groupBy("list").agg(F.ceil(F.count("*") / PART).alias("parts"))
     out = out.join(F.broadcast(parts), "list")  # a row for each list, 4,096 at most
     out = out.withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts")).drop("parts")
