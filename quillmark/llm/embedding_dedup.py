@@ -1,18 +1,18 @@
-"""Near-duplicate vectors by projection passes.
+"""Near-duplicate vectors by sorted projection passes.
 
-Each pass gives a vector random one-bit hashes, signs of its projections. Vectors with equal hashes share a bucket
-of the pass, and every pair of a bucket is compared, in tiles if the bucket is longer than a block: cosine
-in double precision, so no false link. A pair is counted in the first pass whose bucket holds
-it: every vector carries its buckets of all passes, so whether an earlier pass saw a pair is
-arithmetic, and pairs are never gathered to tell. A tile adds up the counts of
-its vectors and passes on the links of a spanning forest; the forests of all passes
-are united by connected components. Equal vectors are one node with a multiplicity.
+Each pass gives a vector a key of 64 random one-bit hashes, signs of its projections, and orders the vectors by it, lexicographically.
+Every vector is compared with its ``reach`` next ones in the order: cosine in double precision, so no false link. The order is dealt out in
+stretches, each with the ``reach`` vectors that follow it, so windows go over the borders of partitions. Vectors whose keys begin alike are a run of the order. A run longer
+than the reach is more than its windows show, so its pairs beyond the windows are compared too, in tiles of two chunks; a run that is shorter lies within its windows.
 
-A pair is found if its hashes are equal in a pass, however many vectors share them, so the chance depends on the pair's
-angle and the number of bits alone. The number of bits is the one whose passes cost least, by how full the buckets of the
-first passes are found to be.
+A pair is therefore found if the first ``bits`` hashes are equal in a pass, however many vectors share them, and often by windows without that. The number of bits is
+at least one, and the one whose passes cost least, by how long the runs of the first passes are found to be; the number of passes follows from it and the threshold's angle.
+A pair is counted in the first pass that compares it: every vector carries its places and runs of earlier passes, so whether one of them compared a pair is
+arithmetic, and pairs are never gathered to tell. A stretch or tile adds up the counts of its vectors and passes on the links of a spanning
+forest; the forests of all passes are united by connected components. Equal vectors are one node with a multiplicity. A few passes are dealt out at a time, so
+that their copies of the vectors are gone from disk before the next.
 
-Large groups of near copies fill buckets that only comparison empties. So before the passes, stretches of one
+Large groups of near copies make runs that only comparison empties. So before the passes, stretches of one
 more order with ``DENSE`` vectors within half the threshold's angle of one of them name it a pivot; pivots that lie in
 each other's cores are thinned out. Two vectors within half the angle of a pivot are within the whole angle of
 each other, so a core's members are all linked, which needs a count and no comparison. Vectors within one and a half
@@ -23,6 +23,7 @@ complete however large a core is, and only the rest goes through the passes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import ceil, log, log2
 
 import numpy as np
@@ -34,11 +35,11 @@ from quillmark.llm.common import Scratch, did, undid
 from quillmark.llm.components import components
 from quillmark.llm.vectors import dimension, matrix, unit, valid
 
-COSINE, REACH, BLOCK = 0.9, 1024, 4096
+COSINE, REACH, BLOCK = 0.9, 256, 4096
 #: Vectors of a stretch of BLOCK that make a core; pivots that one task thins out or is sent at once.
 DENSE, PIVOTS = 512, 4096
-#: Passes whose buckets are measured to choose the number of bits.
-MEASURED = 4
+#: Passes whose runs are measured to choose the number of bits; comparisons that dealing out a vector costs as much as; passes dealt out at a time.
+MEASURED, DEAL, AT_ONCE = 4, 256, 2
 #: Kept off the borders of angles, against rounding.
 SLACK = 1e-6
 #: Chance of missing a pair at the threshold that the number of passes is chosen for.
@@ -64,8 +65,8 @@ def _keys(dim: int, passes: int, seed: int):
     return run
 
 
-def _ranks(keys: DataFrame, passes: int, scratch: Scratch) -> DataFrame:
-    """(rep, ranks): the place of each vector in the order of each pass."""
+def _placed(keys: DataFrame, bits: int, scratch: Scratch) -> DataFrame:
+    """(rep, ranks, runs): the place of each vector in the order of each pass, and the number of its run, the first ``bits`` hashes."""
     # Dealt by ranges of the order, so a partition is a stretch of it; partition numbers ascend with it.
     dealt = keys.repartitionByRange("pass", "key", "rep").sortWithinPartitions("pass", "key", "rep")
     order = scratch.put(dealt.withColumn("id", F.monotonically_increasing_id()), "order")
@@ -73,54 +74,48 @@ def _ranks(keys: DataFrame, passes: int, scratch: Scratch) -> DataFrame:
     counts = order.groupBy("pass", pid.alias("pid")).agg(F.count("*").alias("m"), F.min("id").alias("least"))
     before = Window.partitionBy("pass").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("pass", "pid", "least", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("base"))
-    ranked = order.withColumn("pid", pid).join(bases, ["pass", "pid"]).select("rep", "pass", (F.col("id") - F.col("least") + F.col("base")).alias("rank"))
-    return ranked.groupBy("rep").agg(F.transform(F.sort_array(F.collect_list(F.struct("pass", "rank"))), lambda s: s["rank"]).alias("ranks"))
-
-
-def _buckets(dim: int, passes: int, bits: int, seed: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = np.random.default_rng(seed).normal(size=(passes, dim, 64))[:, :, :bits]
-        powers = 1 << np.arange(bits - 1, -1, -1, dtype=np.int64)
-        for batch in batches:
-            x, n = unit(matrix(batch.column(2), dim)), batch.num_rows
-            keys = np.stack([(x @ planes[p] > 0) @ powers for p in range(passes)], axis=1).astype(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * passes), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["rep", "mult", "v", "keys"])
-
-    return run
+    place = F.struct("pass", (F.col("id") - F.col("least") + F.col("base")).alias("rank"), F.shiftright("key", 64 - bits).alias("run"))
+    ranked = order.withColumn("pid", pid).join(bases, ["pass", "pid"]).select("rep", place.alias("place"))
+    return ranked.groupBy("rep").agg(F.sort_array(F.collect_list("place")).alias("places")).select("rep", F.col("places.rank").alias("ranks"), F.col("places.run").alias("runs"))
 
 
 def _bits_for(rest: DataFrame, dim: int, n: int, cosine: float, reach: int, seed: int) -> int:
-    """The number of bits whose passes cost least; to deal a vector out costs as much as ``reach`` comparisons."""
-    most = ceil(log2(max(n, 2)))
-    keys = rest.mapInArrow(_buckets(dim, MEASURED, most, seed), "rep long, mult long, v array<double>, keys array<long>").select(F.posexplode("keys").alias("pass", "key"))
-    prefixes = keys.select("pass", "key", F.explode(F.sequence(F.lit(0), F.lit(most))).alias("bits")).select("pass", "bits", F.expr(f"shiftright(key, {most} - bits)").alias("key"))
-    sizes = prefixes.groupBy("pass", "bits", "key").agg(F.count("*").cast("double").alias("m"))
+    """The number of bits, one at least, whose passes cost least."""
+    most = max(1, ceil(log2(max(n, 2))))
+    keys = rest.select("rep", "v").mapInArrow(_keys(dim, MEASURED, seed), "pass int, key long, rep long")
+    prefixes = keys.select("pass", "key", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("bits")).select("pass", "bits", F.expr("shiftright(key, 64 - bits)").alias("run"))
+    sizes = prefixes.groupBy("pass", "bits", "run").agg(F.count("*").cast("double").alias("m"))
     pairs = {r["bits"]: r["pairs"] / MEASURED for r in sizes.groupBy("bits").agg(F.sum(F.col("m") * F.col("m")).alias("pairs")).collect()}
-    return min(pairs, key=lambda b: (passes_for(b, cosine) * (n * reach + pairs[b]), b), default=0)
+    return min(pairs, key=lambda b: (passes_for(b, cosine) * (n * (reach + DEAL) + pairs[b]), b), default=1)
+
 
+def _compare(dim: int, cosine: float, reach: int, p: int, window: bool):
+    """Links of a stretch (window) or of a tile of a run, of the vectors of chunk ``i`` with those after them, or of chunk ``j``."""
 
-def _compare(dim: int, cosine: float):
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        p, one = key[0].as_py(), key[2] == key[3]
-        group = group.combine_chunks().sort_by([("chunk", "ascending"), ("rep", "ascending")])
+        i, j = key[-2].as_py(), key[-1].as_py()
+        group = group.combine_chunks().sort_by([("chunk", "ascending"), ("rank", "ascending")])
         x = unit(matrix(group.column("v").combine_chunks(), dim))
-        reps, mult, keys = group.column("rep").to_numpy(), group.column("mult").to_numpy(), group.column("keys").combine_chunks().flatten().to_numpy().reshape(len(x), -1)
-        own = int((group.column("chunk").to_numpy() == key[2].as_py()).sum())
+        reps, mult = group.column("rep").to_numpy(), group.column("mult").to_numpy()
+        ranks, runs = (group.column(c).combine_chunks().flatten().to_numpy().reshape(len(x), -1) for c in ("ranks", "runs"))
+        at, own = ranks[:, p], int((group.column("chunk").to_numpy() == i).sum())
         links, root = np.zeros(len(x), np.int64), np.arange(len(x))
         for k in range(0, own, 256):
-            end, start = min(k + 256, own), k if one else own
-            near = x[k:end] @ x[start:].T >= cosine
-            i, j = np.nonzero(np.triu(near, 1) if one else near)
-            i, j = i + k, j + start
+            end = min(k + 256, own)
+            start, stop = (k, int(np.searchsorted(at, at[end - 1] + reach, "right"))) if window else (k if i == j else own, len(x))
+            a, b = np.nonzero(x[k:end] @ x[start:stop].T >= cosine)
+            a, b = a + k, b + start
+            within = np.abs(at[a] - at[b]) <= reach
+            fits = ((b > a) & within) if window else ((b > a) & ~within)
+            a, b = a[fits], b[fits]
             for q in range(p):
-                new = keys[i, q] != keys[j, q]
-                i, j = i[new], j[new]
-            np.add.at(links, i, mult[j])
-            np.add.at(links, j, mult[i])
-            bounds = np.append(np.unique(i, return_index=True)[1], len(i))
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                to, roots = root[i[a]], root[j[a:b]]
+                new = (np.abs(ranks[a, q] - ranks[b, q]) > reach) & (runs[a, q] != runs[b, q])
+                a, b = a[new], b[new]
+            np.add.at(links, a, mult[b])
+            np.add.at(links, b, mult[a])
+            bounds = np.append(np.unique(a, return_index=True)[1], len(a))
+            for c, d in zip(bounds[:-1], bounds[1:], strict=True):
+                to, roots = root[a[c]], root[b[c:d]]
                 if (roots != to).any():
                     joined = np.zeros(len(x), bool)
                     joined[roots] = True
@@ -131,6 +126,23 @@ def _compare(dim: int, cosine: float):
     return run
 
 
+def _passed(placed: DataFrame, p: int, long_runs: DataFrame, dim: int, cosine: float, reach: int, block: int) -> DataFrame:
+    """Links (rep, n, other) that pass p is the first to compare."""
+    know = [F.slice(c, 1, p + 1).alias(c) for c in ("ranks", "runs")]
+    rows = placed.select("rep", "mult", "v", *know, F.get("ranks", F.lit(p)).alias("rank"), F.get("runs", F.lit(p)).alias("run"))
+    columns, hit = ["i", "j", "rep", "mult", "v", "ranks", "runs", "rank", "chunk"], "rep long, n long, other long"
+    own = F.floor(F.col("rank") / block)
+    # A stretch and what follows it within reach: the vectors of the next stretches, in whose own groups they are again.
+    ahead = F.greatest(F.floor((F.col("rank") - reach) / block), F.lit(0))
+    dealt = rows.withColumn("i", F.explode(F.sequence(F.least(ahead, own), own))).withColumn("j", F.col("i")).withColumn("chunk", own)
+    windows = dealt.select(*columns).groupBy("i", "j").applyInArrow(_compare(dim, cosine, reach, p, True), hit)
+    # Members of a long run, dealt so that each pair of its chunks meets once.
+    shared = rows.join(long_runs.filter(F.col("pass") == p).drop("pass"), "run").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("c")))
+    tiles = shared.withColumn("t", F.explode(F.expr("sequence(0L, c - 1)"))).withColumn("i", F.least("chunk", "t")).withColumn("j", F.greatest("chunk", "t"))
+    beyond = tiles.select("run", *columns).groupBy("run", "i", "j").applyInArrow(_compare(dim, cosine, reach, p, False), hit)
+    return windows.unionByName(beyond)
+
+
 def _core_cosines(cosine: float) -> tuple[float, float]:
     """Cosines of half the threshold's angle, and of one and a half times it."""
     angle = float(np.arccos(cosine))
@@ -206,7 +218,7 @@ def _cores(classes: DataFrame, dim: int, n: int, cosine: float, block: int, dens
     """Links (rep, n, other) of the members of cores, and of others with them; and the members (rep). None if no stretch is dense."""
     core, near = _core_cosines(cosine)
     keys = classes.select("rep", "v").mapInArrow(_keys(dim, 1, seed + 1), "pass int, key long, rep long")
-    order = _ranks(keys, 1, scratch)
+    order = _placed(keys, 1, scratch)
     stretches = classes.select("rep", "v").join(order, "rep").select("rep", "v", F.expr(f"ranks[0] div {block}").alias("stretch"))
     pivots = scratch.put(stretches.groupBy("stretch").applyInArrow(_proposed(dim, core, dense), "rep long, v array<double>"), "pivots-0")
     scratch.drop("order")
@@ -256,6 +268,7 @@ def _cores(classes: DataFrame, dim: int, n: int, cosine: float, block: int, dens
 def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, reach: int = REACH, block: int = BLOCK, passes: int | None = None, dense: int = DENSE, seed: int = 42) -> DataFrame:
     """(vid, n_links, component) for each row of (vec_id, embedding).
 
+    reach: vectors that each is compared with in a pass's order; block: vectors of a stretch or chunk; dense: of a core.
     n_links: the other rows linked directly; component: the smallest vid reachable, vid being vec_id with null as
     the largest long. Vectors that are null, zero, not finite or of another length than most link with
     nothing. Rows with equal vectors are linked. Rows that share an id, or have none, and differ in vector are linked as
@@ -277,14 +290,15 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, reach: int =
         n = rest.count()
     bits = _bits_for(rest, dim, n, cosine, reach, seed)
     passes = passes or passes_for(bits, cosine)
-    keyed = scratch.put(rest.mapInArrow(_buckets(dim, passes, bits, seed), "rep long, mult long, v array<double>, keys array<long>"), "keyed")
-    sizes = keyed.select(F.posexplode("keys").alias("pass", "key")).groupBy("pass", "key").agg(F.ceil(F.count("*") / block).alias("c"), F.count("*").alias("m"))
-    sizes = scratch.put(sizes.filter("m > 1").select("pass", "key", "c"), "buckets")
-    # Members of a bucket, dealt so that each pair of its chunks meets once.
-    shared = keyed.select("*", F.posexplode("keys").alias("pass", "key")).join(sizes.hint("merge"), ["pass", "key"]).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("c")))
-    dealt = shared.withColumn("t", F.explode(F.expr("sequence(0L, c - 1)"))).withColumn("i", F.least("chunk", "t")).withColumn("j", F.greatest("chunk", "t"))
-    tiles = dealt.select("pass", "key", "i", "j", "rep", "mult", "v", "keys", "chunk").groupBy("pass", "key", "i", "j")
-    found = scratch.put(tiles.applyInArrow(_compare(dim, cosine), "rep long, n long, other long"), "found")
+    places = _placed(rest.select("rep", "v").mapInArrow(_keys(dim, passes, seed), "pass int, key long, rep long"), bits, scratch)
+    placed = scratch.put(rest.join(places.hint("merge"), "rep"), "placed")
+    runs = placed.select(F.posexplode("runs").alias("pass", "run")).groupBy("pass", "run").agg(F.count("*").alias("m"))
+    long_runs = scratch.put(runs.filter(F.col("m") > reach).select("pass", "run", F.ceil(F.col("m") / block).alias("c")), "long_runs")
+    parts = []
+    for p in range(0, passes, AT_ONCE):
+        some = [_passed(placed, q, long_runs, dim, cosine, reach, block) for q in range(p, min(p + AT_ONCE, passes))]
+        parts.append(scratch.put(reduce(DataFrame.unionByName, some), f"found-{p}"))
+    found = reduce(DataFrame.unionByName, parts)
     if cores is not None:
         found = found.unionByName(cores[0])
     roots = components(found.select(F.col("rep").alias("a"), F.col("other").alias("b")), scratch)

@@ -249,6 +249,20 @@ def test_embedding_links(spark):
     assert whole.n_links.tolist() == near.sum(1).tolist() and whole.component.tolist() == union(len(x), np.argwhere(near).tolist())
 
 
+def test_passes_project_at_every_size(spark, table):
+    """Whole table of the smallest scale: at least one bit, several passes, and all but a few of the links that brute force finds."""
+    rows = table("embeddings")
+    data = rows.toPandas()
+    x = np.array(data.embedding.tolist(), np.float64)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = (u @ u.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+    classes = rows.selectExpr("vec_id as rep", "cast(embedding as array<double>) as v")
+    bits = embedding_dedup._bits_for(classes, x.shape[1], len(x), 0.9, embedding_dedup.REACH, 42)
+    assert bits >= 1 and embedding_dedup.passes_for(bits) >= 3
+    found = embedding_dedup.near_duplicates(rows.withColumnRenamed("vec_id", "vec_id"), reach=8).toPandas().set_index("vid").loc[data.vec_id]
+    assert (found.n_links.to_numpy() <= near.sum(1)).all() and found.n_links.sum() >= 0.95 * near.sum()
+
+
 def test_dense_cores_lose_no_link(spark):
     rng = np.random.default_rng(7)
     u = rng.normal(size=(6, 24))
