@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmark.session import new_folder, stored
+
 DIGITS = 9
 
 
@@ -35,16 +37,26 @@ def best_by(rows: DataFrame, metric: str, n: int, where: Column | None = None, t
     return rows.orderBy(F.desc_nulls_last(metric), F.asc(tie)).limit(n)
 
 
-def ranked_values(rows: DataFrame, column: str, parts: int = 200) -> DataFrame:
-    """(column, rank): each value's average rank among all rows. Values are counted, then ordered in ranges between quantiles, so no task sees the
-    whole order; what lies before a range is a sum over at most ``parts`` + 1 rows."""
-    cuts = sorted(set(rows.approxQuantile(column, [(p + 1) / (parts + 1) for p in range(parts)], 0.1 / parts)))
-    below = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: cut <= F.col(column))) if cuts else F.lit(0)
-    counts = rows.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).withColumn("part", below)
-    sums = counts.groupBy("part").agg(F.sum("n").alias("all"))
-    before = sums.select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("before"))
-    upto = F.sum("n").over(Window.partitionBy("part").orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return counts.join(F.broadcast(before), "part").select(column, (F.col("before") + upto - (F.col("n") - 1) / 2.0).alias("rank"))  # parts + 1 rows
+def ranked_columns(rows: DataFrame, columns: list[str], parts: int | None = None) -> DataFrame:
+    """(column, value, n, rank): each distinct value of the columns, how often it occurs, and its average rank among all rows. A null is no value.
+
+    Values are counted first, all columns in one pass, so a frequent one is a row. The counts are dealt out by ranges of their order and written; what lies before a range is a sum over one row a range."""
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("at"), F.col(c).cast("double").alias("value")) for i, c in enumerate(columns))))
+    counts = rows.select(each.alias("c")).select("c.*").filter("value is not null").groupBy("at", "value").agg(F.count("*").alias("n"))
+    dealt = counts.repartitionByRange(parts, "at", "value").sortWithinPartitions("at", "value").withColumn("range", F.spark_partition_id())
+    order = stored(dealt, new_folder(rows.sparkSession, "ranks"))
+    sums = order.groupBy("at", "range").agg(F.sum("n").alias("all"))
+    before = sums.select("at", "range", (F.sum("all").over(Window.partitionBy("at").orderBy("range")) - F.col("all")).alias("before"))
+    upto = F.sum("n").over(Window.partitionBy("at", "range").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    name = F.element_at(F.array(*map(F.lit, columns)), F.col("at") + 1)
+    ranked = order.withColumn("upto", upto).join(F.broadcast(before), ["at", "range"])  # a row for each range and column
+    return ranked.select(name.alias("column"), "value", "n", (F.col("before") + F.col("upto") - (F.col("n") - 1) / 2.0).alias("rank"))
+
+
+def ranked_values(rows: DataFrame, column: str, parts: int | None = None) -> DataFrame:
+    """(column, rank): each value's average rank among all rows."""
+    return ranked_columns(rows, [column], parts).select(F.col("value").alias(column), "rank")
 
 
 def average_rank(value: Column, by: list[Column | str]) -> Column:

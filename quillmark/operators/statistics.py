@@ -16,7 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.operators.ranking import average_rank, ranked_values
+from quillmark.operators.ranking import average_rank, ranked_columns
+from quillmark.session import new_folder, stored
 
 MOST_VALUES = 5_000_000
 
@@ -161,7 +162,11 @@ def mann_whitney(rows: DataFrame, metric: str, by: list[str], kind: str = "exp_t
 def spearman_matrix(rows: DataFrame, metrics: list[str]) -> DataFrame:
     """(a, b, rho) over rows complete in all metrics; a before b."""
     whole = reduce(lambda d, m: d.filter(F.col(m).isNotNull()), metrics, rows).select(*metrics)
-    ranked = reduce(lambda d, m: d.join(ranked_values(whole, m).withColumnRenamed("rank", f"{m}|rank"), m), metrics, whole).select(*(F.col(f"{m}|rank").alias(m) for m in metrics))
+    # Written with their ranks' order, so neither is made again; the joins are left to Spark's size check, as most values may be distinct.
+    whole = stored(whole.select(*(F.col(m).cast("double").alias(m) for m in metrics)), new_folder(rows.sparkSession, "metrics"))
+    ranks = ranked_columns(whole, metrics)
+    of = lambda m: ranks.filter(F.col("column") == m).select(F.col("value").alias(m), F.col("rank").alias(f"{m}|rank"))
+    ranked = reduce(lambda d, m: d.join(of(m), m), metrics, whole).select(*(F.col(f"{m}|rank").alias(m) for m in metrics))
     pairs = [(a, b) for i, a in enumerate(metrics) for b in metrics[i + 1 :]]
     one = ranked.agg(*(F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs))
     return one.unpivot([], one.columns, "pair", "rho").select(F.split("pair", r"\|")[0].alias("a"), F.split("pair", r"\|")[1].alias("b"), "rho")
