@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.queries import comparison, functions, planning, retrieval, tests_and_trials
+from quillmark.queries import comparison, functions, planning, retrieval, round_trips, tests_and_trials
 
-_ALL = retrieval.QUERIES | comparison.QUERIES | tests_and_trials.QUERIES | planning.QUERIES | functions.QUERIES
+_ALL = retrieval.QUERIES | comparison.QUERIES | tests_and_trials.QUERIES | planning.QUERIES | functions.QUERIES | round_trips.QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -180,7 +180,7 @@ def limited(one: Callable[..., Awaitable[float]], concurrent: int = 20, per_minu
     @F.pandas_udf("score double, failed boolean, attempts int")
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         for columns in batches:
-            rows = list(zip(*columns, strict=True))
+            rows = list(zip(*(columns if isinstance(columns, tuple) else (columns,)), strict=True))
             yield pd.DataFrame(asyncio.run(_called(one, rows, concurrent, per_minute, retries, delay)), columns=["score", "failed", "attempts"])
 
     return run

@@ -9,6 +9,7 @@ from quillmark.functions import names, parse
 from quillmark.functions import text as tx
 from quillmark.operators import agents, dense, fusion, sparse
 from quillmark.plans import grid, lifecycle
+from quillmark.queries.retrieval import _BM25_HITS, _INDEX, _ranked
 from quillmark.queries.bindings import RESULTS, Query, documents, queries, read, results, rounded, sql, vectors
 from quillmark.streaming import incremental
 
@@ -90,6 +91,10 @@ def _agent(spark: SparkSession, d: str, kind: str) -> DataFrame:
     return agents.self_reflective(asked, search, agents.model_slot(_length_sure), model).select("query_id", "confidence", "route", F.size("docs").alias("n_docs"))
 
 
+_ASKED = f"asked AS (SELECT item_id AS query_id, '{agents.STYLES['concise']}' || chr(10) || chr(10) || 'Question: ' || text || chr(10) || 'Answer:' AS prompt FROM benchmark)"
+_LAST = r"list_filter(string_split_regex(prompt, '\s+'), lambda w: w <> '')[-2]"
+
+
 def _events(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
@@ -176,10 +181,17 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         lambda s, d: documents(s, d).select("doc_id", F.md5(tx.squeeze(F.trim(F.col("text")))).alias("h"), F.size(tx.sentences(F.col("text"))).alias("sentences"), tx.shorten(F.col("text"), 20).alias("short")),
         r"""SELECT doc_id, md5(regexp_replace(trim(text), '\s+', ' ', 'g')) AS h, CAST(len(list_filter(string_split_regex(text, '[.!?]+'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g') <> '')) AS INTEGER) AS sentences, CASE WHEN length(text) > 20 THEN left(text, 20) || '...' ELSE text END AS short FROM documents""",
     ),
-    "agent_direct": (lambda s, d: _agent(s, d, "direct"), None),
-    "agent_rag": (lambda s, d: _agent(s, d, "rag"), None),
+    "agent_direct": (lambda s, d: _agent(s, d, "direct"), f"WITH {_ASKED} SELECT query_id, prompt, {_LAST} AS prediction FROM asked"),
+    "agent_rag": (
+        lambda s, d: _agent(s, d, "rag"),
+        f"WITH {_ASKED}, {_INDEX}, {_BM25_HITS}, hits AS ({_ranked('bm', 5)}), n AS (SELECT query_id, CAST(count(*) AS INTEGER) AS n_docs FROM hits GROUP BY query_id) SELECT query_id, n_docs, {_LAST} AS prediction FROM asked LEFT JOIN n USING (query_id)",
+    ),
     "agent_iterative": (lambda s, d: _agent(s, d, "iterative"), None),
-    "agent_self": (lambda s, d: _agent(s, d, "self"), None),
+    "agent_self": (
+        lambda s, d: _agent(s, d, "self"),
+        f"""WITH {_ASKED}, {_INDEX}, {_BM25_HITS}, hits AS ({_ranked('bm', 5)}), n AS (SELECT query_id, CAST(count(*) AS INTEGER) AS n FROM hits GROUP BY query_id), c AS (SELECT query_id, n, (length(prompt) % 10)::DOUBLE / 10 AS confidence FROM asked LEFT JOIN n USING (query_id))
+        SELECT query_id, confidence, CASE WHEN confidence > 0.7 THEN 'direct' ELSE 'rag' END AS route, CASE WHEN confidence <= 0.7 THEN n END AS n_docs FROM c""",
+    ),
     "event_tumbling": (
         lambda s, d: rounded(incremental.tumbling(_events(s, d), "ts", "event_type", "value").withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd")), 6),
         sql("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS window_start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL", "total", digits=6),

@@ -60,6 +60,12 @@ def _chunk_stats(name: str) -> Query:
     return run
 
 
+def _stats(pieces: str) -> str:
+    """SQL of _chunk_stats: pieces is one of tables, the last (id, k, piece); pieces under 50 trimmed characters go after they are counted."""
+    return rf"""WITH RECURSIVE {pieces}, t AS (SELECT id, regexp_replace(piece, '^\s+|\s+$', '', 'g') AS text, count(*) OVER (PARTITION BY id) AS total FROM pieces)
+    SELECT CAST(id AS VARCHAR) AS parent_id, count(*) AS n_chunks, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(max(total) AS INTEGER) AS total FROM t WHERE length(text) >= 50 GROUP BY id"""
+
+
 def _hierarchy(spark: SparkSession, d: str) -> DataFrame:
     docs = documents(spark, d).select(F.col("doc_id").alias("id"), "text")
     return chunking.hierarchical(docs).groupBy("parent_id").agg(F.count("*").alias("n_children"), F.first(F.length("parent_text")).alias("parent_chars"))
@@ -181,8 +187,21 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         lambda s, d: chunking.hard_chunks(documents(s, d).select(F.col("doc_id").alias("id"), "text"), 512, 50).select("id", "chunk_index", F.length("text").alias("chars"), F.md5("text").alias("digest")),
         """WITH c AS (SELECT doc_id AS id, text, unnest(range(0, greatest(0, length(text) - 51) + 1, 462)) AS beg FROM documents WHERE length(text) > 0) SELECT id, CAST(beg // 462 AS INTEGER) AS chunk_index, CAST(length(substr(text, beg + 1, 512)) AS INTEGER) AS chars, md5(substr(text, beg + 1, 512)) AS digest FROM c""",
     ),
-    "chunk_fixed_stats": (_chunk_stats("fixed"), None),
-    "chunk_sentence_stats": (_chunk_stats("sentence"), None),
+    "chunk_fixed_stats": (
+        _chunk_stats("fixed"),
+        _stats(
+            """c AS (SELECT doc_id AS id, 0 AS k, text, 0::BIGINT AS at_, CAST(length(text) AS BIGINT) AS n FROM documents WHERE length(text) > 0 UNION ALL
+            SELECT id, k + 1, text, greatest(at_ + 1, at_ + w - 50), n FROM (SELECT *, CASE WHEN length(regexp_extract(substr(text, at_ + 1, 512), '(?s)^(.*) ', 1)) > 256 THEN length(regexp_extract(substr(text, at_ + 1, 512), '(?s)^(.*) ', 1)) ELSE 512 END AS w FROM c WHERE at_ + 512 < n) WHERE at_ + w < n),
+            pieces AS (SELECT id, k, CASE WHEN at_ + 512 >= n OR length(regexp_extract(substr(text, at_ + 1, 512), '(?s)^(.*) ', 1)) <= 256 THEN substr(text, at_ + 1, 512) ELSE substr(text, at_ + 1, length(regexp_extract(substr(text, at_ + 1, 512), '(?s)^(.*) ', 1))) END AS piece FROM c)""",
+        ),
+    ),
+    "chunk_sentence_stats": (
+        _chunk_stats("sentence"),
+        _stats(
+            r"""s AS (SELECT doc_id AS id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ss FROM documents),
+            pieces AS (SELECT id, unnest(range((len(ss) + 5) // 6)) AS k, unnest(list_transform(range((len(ss) + 5) // 6), lambda k: array_to_string(ss[6 * k + 1:6 * k + 6], ' '))) AS piece FROM s)"""
+        ),
+    ),
     "chunk_paragraph_stats": (_chunk_stats("paragraph"), None),
     "chunk_recursive_stats": (_chunk_stats("recursive"), None),
     "chunk_hierarchical": (_hierarchy, None),
