@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions.parse import confidence, passages, sufficient, verification
+from quillmark.functions.prompts import prompt
 from quillmark.operators.ranking import best
 from quillmark.session import ensure_checkpoints
 
@@ -20,32 +21,6 @@ Model = Callable[[Column], Column]
 #: From (query_id, text) to hits (query_id, doc_id, text, score, rank).
 Search = Callable[[DataFrame], DataFrame]
 
-# Prompt styles.
-STYLES = {
-    "concise": "Answer briefly.",
-    "concise_strict": "Answer with the shortest exact phrase only.",
-    "concise_json": 'Answer as JSON: {"answer": ...}.',
-    "structured": "Give the answer, then the reason.",
-    "cot": "Think step by step, then answer.",
-    "cot_final": "Think step by step. End with a line FINAL: and the answer.",
-    "extractive": "Answer with words from the context.",
-    "extractive_quoted": "Answer with a quotation from the context.",
-    "cited": "Answer and cite passages by number.",
-    "fewshot": "Answer as in the examples.",
-    "fewshot_1": "Answer as in the example.",
-    "fewshot_3": "Answer as in the examples.",
-}
-
-
-def prompt(question: Column, context: Column | None = None, style: str = "concise", examples: list[tuple[str, str]] | None = None) -> Column:
-    """Instruction, examples, context if there is one, question."""
-    if style not in STYLES:
-        raise ValueError(f"unknown prompt style {style}")
-    many = {"fewshot_1": 1, "fewshot_3": 3, "fewshot": 5}.get(style, 0)
-    shown = [F.lit(f"Question: {q}\nAnswer: {a}") for q, a in (examples or [])[:many]]
-    given = [] if context is None else [F.concat(F.lit("Context:\n"), context)]
-    return F.concat_ws("\n\n", F.lit(STYLES[style]), *shown, *given, F.concat(F.lit("Question: "), question, F.lit("\nAnswer:")))
-
 
 def model_slot(f: Callable[[pd.Series], pd.Series]) -> Model:
     """A model from a function over batches of prompts. A batch that fails gives rows that begin ``[ERROR:``."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.functions import names, parse
+from quillmark.functions import names, parse, prompts
 from quillmark.functions import text as tx
 from quillmark.operators import agents, compare, diagnostics, fusion, metrics
 from quillmark.plans import grid, lifecycle
@@ -45,6 +45,20 @@ def _passages(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("query_id", F.md5(parse.passages(F.col("docs"))).alias("digest"), F.length(agents.prompt(F.lit("q"), parse.passages(F.col("docs")))).alias("chars"))
 
 
+_SHOWN = {"style": "Give the name.", "stop_instruction": "Stop then.", "knowledge_instruction": "See the passages.", "examples": [{"question": f"what is {k}", "answer": f"number {k}"} for k in range(6)]}
+
+
+def _layouts(spark: SparkSession, d: str) -> DataFrame:
+    """Every type of prompt of every question, alone and with its passages."""
+    hits = _bm25(spark, d, 3).join(documents(spark, d), "doc_id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text", "score"))).alias("docs"))
+    rows = queries(spark, d).join(hits, "query_id", "left").select("query_id", "text", F.coalesce(parse.passages(F.col("docs")), F.lit("")).alias("context"))
+    made = [F.struct(F.lit(k).alias("kind"), F.md5(prompts.prompt(F.col("text"), None, k, dataset=_SHOWN)).alias("direct"), F.md5(prompts.prompt(F.col("text"), F.col("context"), k, dataset=_SHOWN)).alias("given")) for k in prompts.STYLES]
+    return rows.select("query_id", F.explode(F.array(*made)).alias("p")).select("query_id", "p.*")
+
+
+_TEMPLATES = ", ".join("('" + "', '".join(x.replace("'", "''") for x in (k, prompts.template(k, False, _SHOWN), prompts.template(k, True, _SHOWN))) + "')" for k in prompts.STYLES)
+
+
 def _expanded(spark: SparkSession, d: str) -> DataFrame:
     pairs = metrics.expand(predictions(spark, d).select("pred_id", "prediction", "references"))
     return rounded(metrics.aggregate(pairs.withColumn("score", F.length("reference") / (F.length("reference") + F.length("prediction")))))
@@ -143,7 +157,12 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "passages": (
         _passages,
         f"""WITH {_INDEX}, {_BM25_HITS}, hits AS ({_ranked('bm', 3)}), t AS (SELECT query_id, string_agg('[' || (rank + 1) || '] ' || text, E'\\n\\n' ORDER BY rank) AS t FROM hits JOIN documents USING (doc_id) GROUP BY query_id)
-        SELECT query_id, md5(t) AS digest, CAST(length('Answer briefly.') + 2 + length(E'Context:\\n') + length(t) + 2 + length(E'Question: q\\nAnswer:') AS INTEGER) AS chars FROM t""",
+        SELECT query_id, md5(t) AS digest, CAST({len(prompts.template("concise", True)) - len("{question}{context}") + 1} + length(t) AS INTEGER) AS chars FROM t""",
+    ),
+    "prompt_layouts": (
+        _layouts,
+        f"""WITH {_INDEX}, {_BM25_HITS}, hits AS ({_ranked('bm', 3)}), t AS (SELECT query_id, string_agg('[' || (rank + 1) || '] ' || text, E'\\n\\n' ORDER BY rank) AS t FROM hits JOIN documents USING (doc_id) GROUP BY query_id),
+        k AS (SELECT * FROM (VALUES {_TEMPLATES}) v(kind, direct, given)) SELECT item_id AS query_id, kind, md5(replace(direct, '{{question}}', text)) AS direct, md5(replace(replace(given, '{{question}}', text), '{{context}}', coalesce(t, ''))) AS given FROM benchmark LEFT JOIN t ON query_id = item_id, k""",
     ),
     "multiref_expand": (
         _expanded,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.functions import names, parse
+from quillmark.functions import names, parse, prompts
 from quillmark.functions import text as tx
 from quillmark.operators import agents, dense, fusion, sparse
 from quillmark.plans import grid, lifecycle
@@ -68,16 +68,17 @@ def _search(spark: SparkSession, d: str, k: int = 5):
     return lambda asked: sparse.bm25(docs, asked.select("query_id", "text"), k).join(docs, "doc_id").select("query_id", "doc_id", "text", "score", "rank")
 
 
-def _last_word(prompts):
-    return prompts.str.split().str[-2]
+def _last_word(asked):
+    """Of the question."""
+    return asked.str.rsplit("Question: ", n=1).str[-1].str.split("\n\n").str[0].str.split().str[-1]
 
 
-def _length_says(prompts):
-    return prompts.str.len().map(lambda n: "SUFFICIENT" if n % 2 else "INSUFFICIENT")
+def _length_says(asked):
+    return asked.str.len().map(lambda n: "SUFFICIENT" if n % 2 else "INSUFFICIENT")
 
 
-def _length_sure(prompts):
-    return prompts.str.len().map(lambda n: f"CONFIDENCE: {n % 10 / 10}")
+def _length_sure(asked):
+    return asked.str.len().map(lambda n: f"CONFIDENCE: {n % 10 / 10}")
 
 
 def _agent(spark: SparkSession, d: str, kind: str) -> DataFrame:
@@ -91,8 +92,9 @@ def _agent(spark: SparkSession, d: str, kind: str) -> DataFrame:
     return agents.self_reflective(asked, search, agents.model_slot(_length_sure), model).select("query_id", "confidence", "route", F.size("docs").alias("n_docs"))
 
 
-_ASKED = f"asked AS (SELECT item_id AS query_id, '{agents.STYLES['concise']}' || chr(10) || chr(10) || 'Question: ' || text || chr(10) || 'Answer:' AS prompt FROM benchmark)"
-_LAST = r"list_filter(string_split_regex(prompt, '\s+'), lambda w: w <> '')[-2]"
+_CONCISE = prompts.template("concise", False).replace("'", "''")
+_ASKED = f"asked AS (SELECT item_id AS query_id, text, replace('{_CONCISE}', '{{question}}', text) AS prompt FROM benchmark)"
+_LAST = r"list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')[-1]"
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:

@@ -202,7 +202,18 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
             pieces AS (SELECT id, unnest(range((len(ss) + 5) // 6)) AS k, unnest(list_transform(range((len(ss) + 5) // 6), lambda k: array_to_string(ss[6 * k + 1:6 * k + 6], ' '))) AS piece FROM s)"""
         ),
     ),
-    "chunk_paragraph_stats": (_chunk_stats("paragraph"), None),
+    "chunk_paragraph_stats": (
+        _chunk_stats("paragraph"),
+        _stats(
+            r"""p AS (SELECT doc_id AS id, list_filter(list_transform(string_split_regex(text, '\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ps FROM documents),
+            c AS (SELECT id, 0 AS k, ps, []::VARCHAR[] AS held, []::VARCHAR[] AS made FROM p UNION ALL
+              SELECT id, k + 1, ps, CASE WHEN fresh AND length(ps[k + 1]) > 512 THEN [] WHEN NOT fresh AND filled + length(ps[k + 1]) > 512 THEN list_append(CASE WHEN length(held[-1]) <= 50 THEN held[-1:] ELSE [] END, ps[k + 1]) ELSE list_append(held, ps[k + 1]) END,
+                CASE WHEN fresh AND length(ps[k + 1]) > 512 THEN list_filter(list_transform(string_split(regexp_replace(ps[k + 1], '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')
+                  WHEN NOT fresh AND filled + length(ps[k + 1]) > 512 THEN [array_to_string(held, chr(10) || chr(10))] ELSE [] END
+              FROM (SELECT *, len(held) = 0 AS fresh, coalesce(list_sum(list_transform(held, lambda x: length(x))), 0) AS filled FROM c WHERE k < len(ps))),
+            pieces AS (SELECT id, k, unnest(made) AS piece FROM c UNION ALL SELECT id, k + 1, array_to_string(held, chr(10) || chr(10)) FROM c WHERE k = len(ps) AND len(held) > 0)"""
+        ),
+    ),
     "chunk_recursive_stats": (_chunk_stats("recursive"), None),
     "chunk_hierarchical": (_hierarchy, None),
     "corpus_dedup_filter": (

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as tx
-from quillmark.operators import dense, graph, inverted, metrics, neural, sparse
+from quillmark.operators import dense, graph, inverted, metrics, neural, poisson, sparse
+from quillmark.plans import migration
 from quillmark.queries.bindings import PREDICTIONS, RESULTS, SCORES, Query, documents, predictions, queries, query_vectors, read, results, rounded, scores, sql, vectors
 from quillmark.queries.retrieval import _DENSE_HITS, _INDEX, _UNIT, K, _ranked
 from quillmark.session import new_folder
@@ -128,6 +129,21 @@ def _written(spark: SparkSession, d: str) -> str:
     return path
 
 
+def _migrated(spark: SparkSession, d: str) -> DataFrame:
+    """A study whose results lack a score's own name, and whose experiments of one model are complete with failed predictions: the changes, which a second run finds no more."""
+    path, rows = new_folder(spark, "study"), scores(spark, d).withColumn("experiment", F.concat_ws("_", "dataset", "model"))
+    said = F.when((F.col("model") == "m2") & (F.col("id") % 2 == 0), "[ERROR: lost]").otherwise("said")
+    experiments.write_study(
+        path,
+        results=rows.groupBy("experiment").agg(F.create_map(F.lit("bertscore_f1"), F.avg("f1")).alias("metrics")),
+        predictions=rows.select("experiment", F.col("id").alias("idx"), said.alias("prediction")),
+        states=rows.select("experiment").distinct().withColumn("phase", F.lit("complete")),
+    )
+    changed = migration.apply(spark, path, migration.plan_repairs)
+    left = migration.apply(spark, path, migration.plan_repairs).count()
+    return changed.select("experiment", "file", "reason", F.get_json_object("content", "$.error").alias("error"), F.lit(left).cast("long").alias("left"))
+
+
 def _on_study(f: Callable[[SparkSession, str], DataFrame]) -> Query:
     return lambda spark, d: rounded(f(spark, _written(spark, d)))
 
@@ -259,6 +275,15 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         _on_study(lambda s, p: experiments.completed(s, p).groupBy("experiment").agg(F.count("*").alias("n"), F.max("idx").alias("last"))),
         f"WITH {_EXPERIMENTS} SELECT experiment, count(*) AS n, max(id) AS last FROM e GROUP BY experiment",
     ),
+    "study_repairs": (
+        _migrated,
+        f"""WITH {_EXPERIMENTS}, m AS (SELECT experiment, count(*) FILTER (model = 'm2' AND id % 2 = 0) AS bad FROM e GROUP BY experiment)
+        SELECT experiment, 'results' AS file, 'bertscore' AS reason, NULL::VARCHAR AS error, 0::BIGINT AS left FROM m UNION ALL SELECT experiment, 'state', 'complete with failed predictions', bad || ' predictions have errors', 0 FROM m WHERE bad > 0""",
+    ),
+    "poisson_ci": (lambda s, d: rounded(poisson.interval(results(s, d), "model", "f1", "id", "dataset")), None),
+    "poisson_paired": (lambda s, d: rounded(poisson.paired(results(s, d), "model", "em", "f1", "id", times=1000)), None),
+    "poisson_unpaired": (lambda s, d: rounded(poisson.unpaired(results(s, d), "model", "f1", "id", times=1000)), None),
+    "poisson_ranking": (lambda s, d: poisson.ranking(results(s, d), "retriever", "f1", "id"), None),
     "streamed_chunks": (_streamed_chunks, f"WITH {_HARD} SELECT id, count(*) AS n_chunks, CAST(sum(length(text)) AS BIGINT) AS chars FROM t GROUP BY id"),
     "streamed_results": (_streamed_results, sql("SELECT event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY event_type", "total", digits=4)),
     "streamed_cache": (_streamed_cache, "SELECT 'm' AS model, count(DISTINCT label) AS entries, CAST(count(DISTINCT label) * max(len(embedding)) AS BIGINT) AS bytes FROM embeddings"),

@@ -65,8 +65,8 @@ class Staged(WriterCommitMessage):
 
 
 class _Writer(DataSourceWriter):
-    def __init__(self, path: str, overwrite: bool):
-        self.path, self.overwrite, self.job = path, overwrite, f"{_STAGED}{uuid.uuid4().hex}"
+    def __init__(self, path: str, overwrite: bool, checked: bool):
+        self.path, self.overwrite, self.checked, self.job = path, overwrite, checked, f"{_STAGED}{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator[Row]) -> Staged:
         system, root = _system(self.path)
@@ -74,7 +74,8 @@ class _Writer(DataSourceWriter):
         for row in iterator:
             if row["experiment"] is None or _skipped(row["experiment"]) or "/" in row["experiment"]:
                 raise ValueError(f"no name of an experiment: {row['experiment']!r}")
-            json.loads(row["content"])  # what is no JSON is not staged
+            if self.checked:
+                json.loads(row["content"])  # what is no JSON is not staged
             staged = f"{root}/{self.job}/{uuid.uuid4().hex}.json"
             system.create_dir(f"{root}/{self.job}", recursive=True)
             with system.open_output_stream(staged) as f:
@@ -110,7 +111,7 @@ class _Writer(DataSourceWriter):
 class ExperimentFolders(DataSource):
     """``spark.read.format("experiments").load(path)``: (experiment, file, content), content the JSON text of a file; and ``df.write`` of such rows.
 
-    Overwriting removes experiments that are not written; appending replaces files of those that are. Option ``group``: folders of a partition."""
+    Overwriting removes experiments that are not written; appending replaces files of those that are. Options: ``group``, folders of a partition; ``checked``, false to write texts that are no JSON as well."""
 
     @classmethod
     def name(cls) -> str:
@@ -123,7 +124,7 @@ class ExperimentFolders(DataSource):
         return _Reader(self.options["path"], int(self.options.get("group", GROUP)))
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
-        return _Writer(self.options["path"], overwrite)
+        return _Writer(self.options["path"], overwrite, self.options.get("checked", "true").lower() == "true")
 
 
 def register(spark: SparkSession) -> None:
