@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import Scratch, did, text_hash, undid
+from quillmark.llm.common import Scratch, did, others, text_hash, undid
 from quillmark.llm.components import components
 
 #: (first bit, bits) of the pigeonhole blocks for pairs that differ in two bits at most.
@@ -279,6 +279,8 @@ def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     apart by both, so rows that share an id, or have none, stay if their texts are of different groups. Columns as in docs."""
     groups = similar_groups(docs, shingle, similarity)
     keep = groups.filter((F.col("did") == F.col("first.did")) & (F.col("th") == F.col("first.th"))).select("did", "th").distinct()
-    own = F.struct(*docs.columns)
-    rows = docs.select(did().alias("did"), text_hash().alias("th"), own.alias("row")).join(keep.hint("merge"), ["did", "th"])
-    return rows.groupBy("did", "th").agg(F.any_value("row").alias("row")).select("row.*")
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    # Of rows alike in id and text that with the least other columns, so that a rerun keeps the same.
+    order = F.to_json(others(docs), {"ignoreNullFields": "false"})
+    rows = docs.select(did().alias("did"), text_hash().alias("th"), own.alias("row"), order.alias("order")).join(keep.hint("merge"), ["did", "th"])
+    return rows.groupBy("did", "th").agg(F.min_by("row", "order").alias("row")).select("row.*")

@@ -308,3 +308,11 @@ def test_stray_languages_stop_nothing(spark):
     rows = [(k, f"word number {k} of a text", f"stray{k}" if k % 2 else "en") for k in range(1000)]
     done = language.op3(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert done.count() == 1000
+
+
+def test_deduplicate_keeps_the_same_of_rows_alike(spark):
+    """Rows alike in id and text, from two sources: the one that comes first by its other columns stays, however they are dealt."""
+    text = "one two three four five six seven eight nine ten"
+    rows = spark.createDataFrame([(1, text, "en", f"s{9 - k % 7}", len(text)) for k in range(21)], "doc_id long, text string, lang string, source string, n_chars long")
+    for parts in (1, 5):
+        assert [r["source"] for r in simhash.deduplicate(rows.repartition(parts)).collect()] == ["s3"]
