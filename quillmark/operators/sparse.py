@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.functions.text import tokens
+from quillmark.functions.text import let, tokens
 from quillmark.operators.ranking import best, top
+from quillmark.session import spread
 
 #: BM25 in its Lucene form.
 K1, B = 1.5, 0.75
@@ -21,9 +22,10 @@ MOST_FEATURES = 50_000
 MOST_SENT = 200_000
 
 
-def _sent(terms: DataFrame) -> DataFrame:
-    """terms, to be broadcast if they are few enough."""
-    return F.broadcast(terms) if terms.limit(MOST_SENT + 1).count() <= MOST_SENT else terms
+def _sent(terms: DataFrame) -> tuple[DataFrame, bool]:
+    """terms, to be broadcast if they are few enough, and whether they are."""
+    few = terms.limit(MOST_SENT + 1).count() <= MOST_SENT
+    return F.broadcast(terms) if few else terms, few
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -40,19 +42,34 @@ class Postings:
     size: DataFrame
 
 
-def postings(docs: DataFrame, only: DataFrame | None = None) -> Postings:
-    """Index of documents (doc_id, text); of the terms in ``only`` (term), if it is given. Documents without tokens count in n and avgdl.
+def _counts(words: Column) -> Column:
+    """[(term, tf)] of an array of words: lengths of the runs of the sorted array, in the row."""
+
+    def runs(ordered: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+        count = lambda at: F.transform(at, lambda i, k: F.struct(F.get(ordered, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(ordered)) - i).cast("long").alias("tf")))
+        return let(begins, count)
+
+    return F.when(F.size(words) > 0, let(F.sort_array(words), runs)).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
 
-    Each document also gives one row of no term, which carries its length, so that all three parts are read off one
-    aggregate, whose exchange Spark makes once; each part uses all of its columns for that reason."""
-    tokened = docs.select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("tokens")).withColumn("dl", F.size("tokens"))
-    exploded = tokened.select("doc_id", "dl", F.explode(F.concat("tokens", F.array(F.lit("")))).alias("term"))
+
+def postings(docs: DataFrame, only: DataFrame | None = None) -> Postings:
+    """Index of documents (doc_id, text); of the terms in ``only`` (term), if it is given. Documents without tokens count in n and avgdl. Rows that share an id
+    count as a document each in n and avgdl, and as one in the postings, of the lengths of those that have the term.
+
+    A document's terms are counted in its row. Its postings are dealt out by document, once, so that what is summed for each document or each query and document needs no further exchange. Each
+    document also gives one row of no term, which carries its length, so that all three parts are read off that one exchange; each part uses all of its columns for that reason."""
+    tokened = spread(docs.select("doc_id", "text")).select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    whole = F.array(F.struct(F.lit("").alias("term"), F.lit(1).cast("long").alias("tf")))
+    # No element is ever missing, and of an outer explode Spark infers no filter that would make the tokens once more in the scan.
+    counted = tokened.select("doc_id", F.size("tokens").alias("dl"), F.explode_outer(F.concat(whole, _counts(F.col("tokens")))).alias("c")).select("doc_id", "dl", "c.term", "c.tf")
     if only is not None:
         wanted = only.select("term").unionByName(docs.sparkSession.createDataFrame([("",)], "term string")).distinct()
-        exploded = exploded.join(_sent(wanted), "term", "left_semi")
-    counted = exploded.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.max(F.col("term") == "").alias("whole"))
+        counted = counted.join(_sent(wanted)[0], "term", "left_semi")
+    # Dealt by document, so this needs no exchange of its own; what each part takes of it is told above it, not pushed below into exchanges that differ.
+    counted = counted.repartition("doc_id").groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"), F.sum("dl").alias("dl"), F.max(F.col("term") == "").alias("whole"))
     of_term = ~F.col("whole") & (F.col("tf") > 0) & (F.col("dl") > 0)
-    size = counted.filter(F.col("whole") & (F.col("tf") > 0) & (F.col("dl") >= 0)).agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
+    size = counted.filter(F.col("whole") & (F.col("tf") > 0) & (F.col("dl") >= 0)).agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n"), (F.sum("dl") / F.sum("tf")).alias("avgdl"))
     counted = counted.filter(of_term).select("doc_id", "term", "tf", "dl")
     return Postings(counted, counted.groupBy("term").agg(F.count_if((F.col("tf") > 0) & (F.col("dl") > 0)).alias("df")), size)
 
@@ -60,12 +77,13 @@ def postings(docs: DataFrame, only: DataFrame | None = None) -> Postings:
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, doc_id, score, rank): the k best documents of each query, ranks from 0, positive scores only. A term that a
     query repeats counts as often."""
-    asked = query_terms(queries)
+    asked, sent = _sent(query_terms(queries))
     index = postings(docs, asked)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    rows = index.postings.join(index.terms, "term").join(asked, "term").crossJoin(F.broadcast(index.size))  # size is one row
-    hits = rows.groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * idf * weight).alias("score"))
+    terms = F.broadcast(index.terms) if sent else index.terms  # no more than the queries have
+    weighed = index.postings.join(terms, "term").crossJoin(F.broadcast(index.size)).select("doc_id", "term", (idf * weight).alias("w"))  # size is one row
+    hits = weighed.join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("w")).alias("score"))
     return top(hits.filter("score > 0"), k)
 
 

@@ -59,3 +59,9 @@ def stored(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows in as many partitions as the cluster has cores at least. A file of one row group is one task however large its texts are; a table of many files stays as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.isStreaming or rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
