@@ -87,12 +87,21 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     return top(hits.filter("score > 0"), k)
 
 
-def tfidf(docs: DataFrame, queries: DataFrame, k: int = 10, features: int = MOST_FEATURES, stop_words: tuple[str, ...] = ()) -> DataFrame:
+def stop_words_of(language: str = "english") -> tuple[str, ...]:
+    """The stop words that Spark knows of a language, as tokens: those of two characters at least, and such parts of those with an apostrophe. Needs a session."""
+    from pyspark.ml.feature import StopWordsRemover
+
+    found = {part for word in StopWordsRemover.loadDefaultStopWords(language) for part in word.lower().split("'") if len(part) > 1}
+    return tuple(sorted(found))
+
+
+def tfidf(docs: DataFrame, queries: DataFrame, k: int = 10, features: int = MOST_FEATURES, stop_words: tuple[str, ...] | str = ()) -> DataFrame:
     """(query_id, doc_id, score, rank): cosine of tf-idf vectors over the ``features`` most frequent terms (ties by
-    code point) that are no stop words, smoothed idf; positive scores only.
+    code point) that are no stop words, smoothed idf; positive scores only. stop_words: tokens, or the name of a language.
 
     The vocabulary has ``features`` rows at most and is broadcast up to MOST_FEATURES, so postings are shuffled once; lengths are sums for each document."""
     counted = postings(docs).postings
+    stop_words = stop_words_of(stop_words) if isinstance(stop_words, str) else stop_words
     if stop_words:
         counted = counted.filter(~F.col("term").isin(*stop_words))
     size = docs.agg(F.count("*").alias("n"))

@@ -9,8 +9,8 @@ from quillmark.functions import names, parse, prompts
 from quillmark.functions import text as tx
 from quillmark.operators import agents, dense, fusion, sparse
 from quillmark.plans import grid, lifecycle
-from quillmark.queries.retrieval import _BM25_HITS, _INDEX, _ranked
 from quillmark.queries.bindings import RESULTS, Query, documents, queries, read, results, rounded, sql, vectors
+from quillmark.queries.retrieval import _BM25_HITS, _INDEX, _TOKENS, _ranked
 from quillmark.streaming import incremental
 
 
@@ -94,6 +94,7 @@ def _agent(spark: SparkSession, d: str, kind: str) -> DataFrame:
 
 _CONCISE = prompts.template("concise", False).replace("'", "''")
 _ASKED = f"asked AS (SELECT item_id AS query_id, text, replace('{_CONCISE}', '{{question}}', text) AS prompt FROM benchmark)"
+_GIVEN = len(prompts.template("concise", True)) - len("{question}{context}")
 _LAST = r"list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')[-1]"
 
 
@@ -188,7 +189,15 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         lambda s, d: _agent(s, d, "rag"),
         f"WITH {_ASKED}, {_INDEX}, {_BM25_HITS}, hits AS ({_ranked('bm', 5)}), n AS (SELECT query_id, CAST(count(*) AS INTEGER) AS n_docs FROM hits GROUP BY query_id) SELECT query_id, n_docs, {_LAST} AS prediction FROM asked LEFT JOIN n USING (query_id)",
     ),
-    "agent_iterative": (lambda s, d: _agent(s, d, "iterative"), None),
+    "agent_iterative": (
+        lambda s, d: _agent(s, d, "iterative"),
+        rf"""WITH {_ASKED}, {_INDEX}, {_BM25_HITS}, one AS ({_ranked('bm', 5)}), first_ AS (SELECT query_id, doc_id, text, score, rank FROM one JOIN documents USING (doc_id) QUALIFY row_number() OVER (PARTITION BY query_id, text ORDER BY rank) = 1),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM first_), given AS (SELECT query_id, string_agg('[' || place || '] ' || text, chr(10) || chr(10) ORDER BY place) AS t FROM placed GROUP BY query_id),
+        told AS (SELECT query_id, text, {_LAST} AS ask, ({_GIVEN} + length(text) + length(coalesce(t, ''))) % 2 = 1 AS enough FROM asked LEFT JOIN given USING (query_id)),
+        q2 AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({_TOKENS.format('ask')}) AS term FROM told WHERE NOT enough) GROUP BY ALL), {_BM25_HITS.replace('bm AS', 'bm2 AS').replace('JOIN q USING', 'JOIN q2 USING')}, two AS ({_ranked('bm2', 5)}),
+        found AS (SELECT query_id, text FROM one JOIN documents USING (doc_id) UNION SELECT query_id, text FROM two JOIN documents USING (doc_id)), n AS (SELECT query_id, CAST(least(10, count(*)) AS INTEGER) AS n_docs FROM found GROUP BY query_id)
+        SELECT query_id, CASE WHEN enough THEN 1 ELSE 2 END::INTEGER AS iterations, n_docs, ask AS prediction FROM told LEFT JOIN n USING (query_id)""",
+    ),
     "agent_self": (
         lambda s, d: _agent(s, d, "self"),
         f"""WITH {_ASKED}, {_INDEX}, {_BM25_HITS}, hits AS ({_ranked('bm', 5)}), n AS (SELECT query_id, CAST(count(*) AS INTEGER) AS n FROM hits GROUP BY query_id), c AS (SELECT query_id, n, (length(prompt) % 10)::DOUBLE / 10 AS confidence FROM asked LEFT JOIN n USING (query_id))

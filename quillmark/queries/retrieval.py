@@ -129,6 +129,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         dv AS (SELECT doc_id, term, tf * idf AS w FROM p JOIN voc USING (term)), dn AS (SELECT doc_id, sqrt(sum(w * w)) AS l FROM dv GROUP BY doc_id), qv AS (SELECT query_id, term, qtf * idf AS w FROM q JOIN voc USING (term)), qn AS (SELECT query_id, sqrt(sum(w * w)) AS l FROM qv GROUP BY query_id),
         h AS (SELECT query_id, doc_id, round(sum((dv.w / dn.l) * (qv.w / qn.l)), 9) AS score FROM dv JOIN dn USING (doc_id) JOIN qv USING (term) JOIN qn USING (query_id) GROUP BY ALL) {_ranked('h', K)}""",
     ),
+    "tfidf_english_topk": (lambda s, d: sparse.tfidf(documents(s, d), queries(s, d), K, stop_words="english"), None),  # the list is Spark's
     "matched_terms": (
         lambda s, d: sparse.matched_terms(documents(s, d), queries(s, d)),
         f"WITH {_INDEX} SELECT query_id, term, df, CAST(rn AS INTEGER) AS rank FROM (SELECT query_id, term, df, row_number() OVER (PARTITION BY query_id ORDER BY df, term) AS rn FROM q JOIN df USING (term)) WHERE rn <= 5",

@@ -30,7 +30,7 @@ def save_results(results: DataFrame, path: str, checkpoint: str, key: str = "idx
 
 
 def running_best(trials: DataFrame, checkpoint: str, table: str, by: str = "model", value: str = "value") -> StreamingQuery:
-    """Keeps (by, best, n) up to date in a memory table."""
+    """Keeps (by, best, n) up to date in a memory table, for a notebook over one study; ``best.keep_best`` forgets and writes a table."""
     best = trials.groupBy(by).agg(F.max(value).alias("best"), F.count("*").alias("n"))
     return best.writeStream.outputMode("complete").format("memory").queryName(table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
