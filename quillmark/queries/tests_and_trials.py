@@ -49,6 +49,12 @@ def _rank(x: str, by: str = "") -> str:
     return _RANK.format(p=f"PARTITION BY {by}" if by else "", x=x, k=f"{by}, " if by else "")
 
 
+# Two-sided chance of |t| by the finite series for whole degrees of freedom, summed from its innermost term: in angle a with tan a = t / sqrt(df), even and odd df.
+_SERIES = "list_reduce(list_prepend(1.0::DOUBLE, list_transform(range({last}, 0, -1), lambda j: ({above})::DOUBLE / ({below}) * df / (df + t * t))), lambda s, f: 1 + f * s)"
+_EVEN, _ODD = _SERIES.format(last="(df - 2) // 2", above="2 * j - 1", below="2 * j"), _SERIES.format(last="(df - 3) // 2", above="2 * j", below="2 * j + 1")
+_T_P = f"1 - CASE WHEN df % 2 = 0 THEN sin(atan(abs(t) / sqrt(df))) * {_EVEN} ELSE 2 / pi() * (atan(abs(t) / sqrt(df)) + CASE WHEN df > 1 THEN sin(atan(abs(t) / sqrt(df))) * cos(atan(abs(t) / sqrt(df))) * {_ODD} ELSE 0 END) END"
+_LONG = "l AS (SELECT model, dataset, exp_type, 'f1' AS metric, f1 FROM results UNION ALL SELECT model, dataset, exp_type, 'em', em FROM results)"
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "zscore": (
         _results(lambda r: st.normalize(r, "f1").select("id", "metric_norm")),
@@ -154,9 +160,29 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         _results(lambda r: st.level_pairs(r, "retriever", "f1")),
         sql(f"WITH {RESULTS}, m AS (SELECT dataset, retriever, avg(f1) AS m FROM results GROUP BY ALL) SELECT x.retriever AS a, y.retriever AS b, avg(y.m - x.m) AS diff, count(*) AS n_strata FROM m x JOIN m y USING (dataset) WHERE x.retriever < y.retriever GROUP BY ALL", "diff"),
     ),
-    "t_test_p": (_p_values, None),
-    "anova_p": (_anova_p, None),
-    "agreement_matrix": (_results(lambda r: st.agreement_matrix(r, ["f1", "em"])), None),
+    "t_test_p": (
+        _p_values,
+        sql(f"WITH {RESULTS}, g AS ({_SPREAD.format(by='model', source='results')}), x AS ({_COMPARED.format(by='model').replace('c AS (', 'SELECT * FROM (WITH c AS (', 1)})), p AS (SELECT model AS test, {_T_P} AS p FROM x) SELECT test, p, least(p * (count(*) OVER () - row_number() OVER (ORDER BY p, test) + 1), 1.0) AS p_adjusted FROM p", "p", "p_adjusted", digits=6),
+    ),
+    "anova_p": (
+        _anova_p,
+        sql(
+            f"""WITH {RESULTS}, g AS (SELECT model, avg(f1) AS m, var_samp(f1) AS v, count(*) AS n FROM results GROUP BY model), s AS (SELECT sum(n * m) AS nm, sum(n) AS n, sum(n * m * m) AS nmm, sum((n - 1) * v) AS w, count(*) AS k FROM g),
+            a AS (SELECT (nmm - nm * nm / n) / (k - 1) / (w / (n - k)) AS f, k - 1 AS df1, CAST(n - k AS BIGINT) AS df2 FROM s), x AS (SELECT *, df2 / (df2 + df1 * f) AS x FROM a)
+            SELECT f, df1, df2, pow(x, df2 / 2.0::DOUBLE) * (1 + df2 / 2.0::DOUBLE * (1 - x)) AS p FROM x WHERE df1 = 4""",
+            "f", "p", digits=6,
+        ),
+    ),
+    "agreement_matrix": (
+        _results(lambda r: st.agreement_matrix(r, ["f1", "em"])),
+        sql(
+            f"""WITH {RESULTS}, {_LONG}, g AS ({_SPREAD.format(by='model, metric, dataset', source='l')}), y AS ({_COMPARED.format(by='model, metric, dataset').replace('c AS (', 'SELECT * FROM (WITH c AS (', 1)})),
+            g2 AS ({_SPREAD.format(by='model, metric', source='l')}), x AS ({_COMPARED.format(by='model, metric').replace('c AS (', 'SELECT * FROM (WITH c AS (', 1).replace('FROM g WHERE', 'FROM g2 WHERE')})),
+            p AS (SELECT model, metric, {_T_P} AS p FROM x), h AS (SELECT model, metric, least(p * (count(*) OVER () - row_number() OVER (ORDER BY p, model || '|' || metric) + 1), 1.0) AS q FROM p)
+            SELECT model, metric, avg(diff) AS diff, avg(d) AS d, any_value(CASE WHEN q < 0.001 THEN '***' WHEN q < 0.01 THEN '**' WHEN q < 0.05 THEN '*' ELSE 'ns' END) AS stars FROM y JOIN h USING (model, metric) GROUP BY model, metric""",
+            "diff", "d",
+        ),
+    ),
     "bootstrap_ci": (_scores(lambda s: st.bootstrap_ci(s, "model", "f1", "dataset")), None),
     "paired_bootstrap": (_scores(lambda s: st.paired_bootstrap(s.groupBy("dataset", "idx").agg(F.avg(F.when(F.col("exp_type") == "direct", F.col("f1"))).alias("a"), F.avg(F.when(F.col("exp_type") == "rag", F.col("f1"))).alias("b")), "dataset", "a", "b")), None),
     "unpaired_bootstrap": (_scores(lambda s: st.unpaired_bootstrap(s, "dataset", "f1")), None),
