@@ -37,6 +37,8 @@ from quillmark.llm.common import Scratch, did, text_hash, undid
 WINDOW, GRAM = 13, 6
 #: In place of a start: every window of the row.
 ALL = -1
+#: Windows or fingerprints that a task holds before it hands them on.
+HELD = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -67,16 +69,23 @@ def _words(text: str | None) -> list[bytes]:
 
 
 def _prints(window: int, gram: int):
+    def told(out: list[tuple[np.ndarray, int, int]]) -> pa.RecordBatch:
+        sizes = [len(x[0]) for x in out]
+        columns = [np.concatenate([x[0] for x in out]), *(np.repeat(np.array([x[k] for x in out], np.int64), sizes) for k in (1, 2))]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["g", "did", "tag"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
         for batch in batches:
-            ids, tags, out = [], [], []
             for i, tag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if len(words := _words(text.as_py())) >= window:
-                    out.append(np.unique(_window_prints(words, window, gram)))
-                    ids.append(np.full(len(out[-1]), i))
-                    tags.append(np.full(len(out[-1]), tag))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out, ids, tags)], names=["g", "did", "tag"])
+                    out.append((np.unique(_window_prints(words, window, gram)), i, tag))
+                    held += len(out[-1][0])
+                    if held > HELD:
+                        yield told(out)
+                        out, held = [], 0
+        if out:
+            yield told(out)
 
     return run
 
@@ -160,22 +169,30 @@ class FingerprintLog:
 
 
 def _windows(window: int, gram: int):
+    names = ["w", "x", "did", "tag", "at"]
+
+    def told(out: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["w", "x", "did", "tag", "at"]
+        out, held = [[] for _ in names], 0
         for batch in batches:
-            out: list[list] = [[] for _ in names]
-            for i, tag, text, found in zip(*(c if k == 2 else c.to_pylist() for k, c in enumerate(batch.columns)), strict=True):
+            for i, tag, text, found in zip(*(c if k in (2, 3) else c.to_pylist() for k, c in enumerate(batch.columns)), strict=True):
                 if len(words := _words(text.as_py())) < window:
                     continue
-                at = np.flatnonzero(np.isin(_window_prints(words, window, gram), np.array(found, np.int64)))
+                at = np.flatnonzero(np.isin(_window_prints(words, window, gram), found.values.to_numpy()))
                 line = memoryview(b" ".join(words))
                 ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1  # of words in the line
                 spans = zip((np.concatenate([[-1], ends])[at] + 1).tolist(), ends[at + window - 1].tolist(), strict=True)
                 whole = np.frombuffer(b"".join(xxhash.xxh3_128_digest(line[a:b]) for a, b in spans), ">i8").reshape(-1, 2)
                 for column, values in zip(out, (whole[:, 0].astype(np.int64), whole[:, 1].astype(np.int64).astype(np.int32), np.full(len(at), i), np.full(len(at), tag), at.astype(np.int32)), strict=True):
                     column.append(values)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=names)
+                held += len(at)
+                if held > HELD:
+                    yield told(out)
+                    out, held = [[] for _ in names], 0
+        if out[0]:
+            yield told(out)
 
     return run
 
