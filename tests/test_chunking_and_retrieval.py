@@ -193,3 +193,16 @@ def test_agents(spark):
 
     said = [r["prediction"] for r in agents.direct(spark.range(200).select(F.col("id").alias("query_id"), F.lit("q").alias("text")).coalesce(1), agents.guarded(fails, 2, 10)).collect()]
     assert sum(s.startswith("[ERROR: no") for s in said) == 20 and sum(s.startswith("[ABORTED:") for s in said) == 180
+
+
+def test_stop_words_of_a_language(spark):
+    docs = spark.createDataFrame([(1, "the cat and the dog"), (2, "a dog that is not there")], "doc_id long, text string")
+    asked = spark.createDataFrame([(7, "the and that"), (8, "the dog")], "query_id long, text string")
+    assert {"the", "and", "not"} <= set(sparse.stop_words_of()) and all(len(w) > 1 for w in sparse.stop_words_of())
+    assert {r["query_id"] for r in sparse.tfidf(docs, asked).collect()} == {7, 8}
+    assert {(r["query_id"], r["doc_id"]) for r in sparse.tfidf(docs, asked, stop_words="english").collect()} == {(8, 1), (8, 2)}
+
+
+def test_counts_in_the_row(spark):
+    rows = spark.createDataFrame([(["b", "a", "b", "c", "b"],), ([],), (["x"],)], "w array<string>")
+    assert [[tuple(c) for c in r[0]] for r in rows.select(sparse._counts(F.col("w"))).collect()] == [[("a", 1), ("b", 3), ("c", 1)], [], [("x", 1)]]

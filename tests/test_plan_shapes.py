@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from quillmark import session
 from quillmark.operators import compare, ranking, sparse
 from quillmark.queries import bindings
 
@@ -34,6 +35,18 @@ def test_bm25_keeps_query_terms_only(spark, table):
     assert "LeftSemi" in plan(sparse.bm25(docs, asked)) and "Python" not in plan(sparse.bm25(docs, asked))
 
 
+def test_postings_are_dealt_by_document_once(spark, table):
+    docs, asked = table("documents").select("doc_id", "text"), table("benchmark").select(F.col("item_id").alias("query_id"), "text")
+    for text in (plan(sparse.bm25(docs, asked)), plan(sparse.tfidf(docs, asked))):
+        assert re.search(r"hashpartitioning\(doc_id#\d+L?, \d+\), REPARTITION", text) and not re.search(r"hashpartitioning\(doc_id#\d+L?, term", text)
+        assert not re.search(r"DataFilters: \[[^\]]*regexp_extract_all", text)  # tokens are not made in the scan as well
+
+
+def test_scans_of_one_file_are_spread(spark, table):
+    docs = table("documents")
+    assert docs.rdd.getNumPartitions() == 1 and session.spread(docs).rdd.getNumPartitions() == 4 and session.spread(docs.repartition(9)).rdd.getNumPartitions() == 9
+
+
 def test_metrics_do_not_shuffle(spark):
     from quillmark.operators import metrics
 
