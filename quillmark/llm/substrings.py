@@ -8,7 +8,7 @@ fingerprint and sorted by it, with the first and last document of each fingerpri
 is summarised the same way and merge-joined with every run; fingerprints that occur in more than
 one document are candidates. Candidates are verified on the text: the windows that carry one are
 hashed whole (96 bits), and a window is repeated if a document with a smaller id has the same hash.
-When ``fanout`` runs have gathered they are compacted into one. An index may be kept in a folder, with the fingerprints of its documents: a
+When ``fanout`` runs have gathered they are compacted into one, which the next batch meets. An index may be kept in a folder, with the fingerprints of its documents: a
 later call then takes only the documents after them as new batches and joins these with the runs that are there.
 
 A row whose whole text stands under a smaller id has all its windows there, so it needs no
@@ -125,8 +125,8 @@ class FingerprintLog:
         """(g, did, tag) of the batches that the index was opened with."""
         return [self.kept.read(x) for x in self.batches] if self.kept else []
 
-    def add(self, prints: DataFrame) -> DataFrame:
-        """Adds a batch of (g, did, ...) as a run. Returns (g): fingerprints of the batch that lie in two of
+    def add(self, prints: DataFrame, more: bool = True) -> DataFrame:
+        """Adds a batch of (g, did, ...) as a run, and compacts when it is time if more batches are to come. Returns (g): fingerprints of the batch that lie in two of
         its documents, or in it and in an earlier run under another did."""
         earlier = [run for _, run in self.runs]
         self._write(prints.groupBy("g").agg(F.min("did").alias("lo"), F.max("did").alias("hi")))
@@ -136,7 +136,7 @@ class FingerprintLog:
             met = own.join(run.select("g", F.col("lo").alias("lo0"), F.col("hi").alias("hi0")), "g")
             found = found.unionByName(met.filter("least(lo, lo0) < greatest(hi, hi0)").select("g"))
         found = self.scratch.put(found.distinct(), f"found-{self._made}")
-        if len(self.runs) >= self.fanout:
+        if more and len(self.runs) >= self.fanout:
             self.compact()
         return found
 
@@ -244,7 +244,7 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, batches: int = 2, slices
         if edges[k + 1] is not None:
             batch = batch.filter(F.col("did") <= edges[k + 1])
         prints.append(scratch.put(window_prints(batch, window, gram), f"prints-{k}"))
-        found.append(log.add(prints[-1]))
+        found.append(log.add(prints[-1], bool(log.kept) or k < len(edges) - 2))
     if log.kept:
         log.commit(prints[known:], new.agg(F.max("did").alias("m")).first()["m"])
     all_prints, all_found = reduce(DataFrame.unionByName, prints), reduce(DataFrame.unionByName, found)
@@ -293,9 +293,9 @@ def remove_repeats(docs: DataFrame, batches: int = 2, slices: int = 4, window: i
     return asked.join(starts.hint("merge"), ["did", "tag"], "left").select("did", "text", "starts")
 
 
-def op6(docs: DataFrame, batches: int = 2) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_sha256 of each row."""
-    return remove_repeats(docs, batches).mapInArrow(_digests(WINDOW), "did long, n_words long, n_removed long, kept_sha256 string").select(undid().alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+def op6(docs: DataFrame, batches: int = 3, fanout: int = 2) -> DataFrame:
+    """doc_id, n_words, n_removed and kept_sha256 of each row. The first two batches' runs are compacted before the third meets them; edges as in ``remove_repeats``."""
+    return remove_repeats(docs, batches, fanout=fanout).mapInArrow(_digests(WINDOW), "did long, n_words long, n_removed long, kept_sha256 string").select(undid().alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
 OP6_SQL = r"""
