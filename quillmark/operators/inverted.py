@@ -33,6 +33,8 @@ from quillmark.session import exists, new_folder, stored
 TRAIN, MOST_TRAIN, ROUNDS = 256, 1_048_576, 8
 #: Vectors of a list, and queries, that meet in one task.
 PART, QUERY_BLOCK = 65_536, 2048
+#: Batches of a build at most. Each is several jobs and a file for each list, so beyond that a larger table has larger batches.
+MOST_BATCHES = 16
 #: Words of a codebook; candidates a result that are scored on their vectors.
 WORDS, RERANK = 256, 10
 
@@ -229,11 +231,11 @@ def add_batch(index: Inverted, rows: DataFrame, batch: int) -> None:
 def build(vectors: DataFrame, path: str, lists: int | None = None, subs: int = 0, batch_rows: int | None = None, stop: Callable[[int], None] | None = None) -> Inverted:
     """The index of vectors (doc_id, embedding) in the folder ``path``, with ``subs`` bytes a vector if given, else with whole vectors.
 
-    With ``batch_rows`` the vectors are dealt into batches of about as many by hash; the first is learnt from. What an earlier, stopped build left in the folder is kept: the quantiser
+    With ``batch_rows`` the vectors are dealt into batches of about as many by hash, or of more where that would be over ``MOST_BATCHES``; the first is learnt from. What an earlier, stopped build left in the folder is kept: the quantiser
     if it is there, and complete batches. ``stop`` is called before each batch. Ids are not null; a repeated id is several vectors, with codes alike in their scores' rank only."""
     rows, index = normal(vectors), Inverted(vectors.sparkSession, path)
     total = rows.count()
-    batches = max(1, ceil(total / batch_rows)) if batch_rows else 1
+    batches = min(MOST_BATCHES, max(1, ceil(total / batch_rows))) if batch_rows else 1
     at = F.pmod(F.xxhash64(F.lit("batch"), "doc_id"), F.lit(batches))
     for b in range(batches):
         own = rows.filter(at == b)

@@ -99,6 +99,16 @@ def test_a_batch_tried_again_replaces_itself(spark, loose):
     assert index.table().filter("batch = 7").count() == 50
 
 
+def test_batches_do_not_grow_with_the_table(spark, loose):
+    """4,000 vectors in batches of ten are no 400 batches, and all of them are in the index."""
+    vectors, asked = loose
+    begun = []
+    index = inverted.build(vectors, new_folder(spark, "many"), lists=4, batch_rows=10, stop=begun.append)
+    assert begun == list(range(inverted.MOST_BATCHES)) and index.table().select("doc_id").distinct().count() == 4000
+    exact = dense.search(dense.build(vectors), asked, 10).select("query_id", "doc_id", "rank")
+    assert inverted.search(index, asked, 10, probes=4).select("query_id", "doc_id", "rank").exceptAll(exact).isEmpty()
+
+
 def test_odd_vectors(spark):
     rows = [(1, [1.0, 0.0]), (2, None), (3, [None, 1.0]), (4, [0.0, 0.0]), (5, []), (1, [1.0, 0.0])]
     index = inverted.build(spark.createDataFrame(rows, "doc_id long, embedding array<double>"), new_folder(spark, "odd"))
