@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions.names import direct_name, rag_name
 from quillmark.session import stored
-from quillmark.sources.experiments import _system, read_files, register
+from quillmark.sources.experiments import _system, part_of, read_files, write_files
 from quillmark.sources.results import METADATA
 
 MANIFEST = "_manifest.json"
@@ -55,43 +55,57 @@ def _with_bertscore(metrics: dict | None) -> bool:
     return False
 
 
-def _repairs(files: dict[str, str]) -> Iterator[tuple[str, str | None, str]]:
-    """(file, new content or None, reason) of one experiment."""
-    if CHECKPOINT in files:
-        yield CHECKPOINT, None, "stale checkpoint"
-    read = {}
-    for file in ("predictions", "results", "state"):
+def _repairs(file: str, content: str) -> tuple[str | None, str | None, int]:
+    """(reason or None, new content or None, failed predictions) of one file; a prediction's repeats are in one file."""
+    if file == CHECKPOINT:
+        return "stale checkpoint", None, 0
+    part = part_of(file)
+    if part not in ("predictions", "results"):
+        return None, None, 0
+    try:
+        data = json.loads(content)
+    except ValueError:
+        return None, None, 0
+    if part == "results":
+        return ("bertscore", json.dumps(data), 0) if file == part and _with_bertscore(data.get("metrics")) else (None, None, 0)
+    rows, why = data.get("predictions", []), []
+    last = {r.get("idx"): r for r in rows}
+    if len(last) < len(rows):
+        data["predictions"] = [last[i] for i in sorted(last, key=lambda i: (i is not None, i or 0))]
+        why.append(f"{len(rows) - len(last)} repeated predictions")
+    if _with_bertscore(data.get("aggregate_metrics")):
+        why.append("bertscore")
+    return (", ".join(why) or None, json.dumps(data) if why else None, sum(map(_failed, data.get("predictions", []))))
+
+
+def _failed_state(content: pd.Series, bad: pd.Series) -> pd.Series:
+    """The state of an experiment that is complete but has failed predictions; null for any other."""
+
+    def one(text: str, n: int) -> str | None:
         try:
-            read[file] = json.loads(files[file])
-        except (KeyError, ValueError):
-            continue
-    if "predictions" in read:
-        data, why = read["predictions"], []
-        rows = data.get("predictions", [])
-        last = {r.get("idx"): r for r in rows}
-        if len(last) < len(rows):
-            data["predictions"] = [last[i] for i in sorted(last, key=lambda i: (i is not None, i or 0))]
-            why.append(f"{len(rows) - len(last)} repeated predictions")
-        if _with_bertscore(data.get("aggregate_metrics")):
-            why.append("bertscore")
-        if why:
-            yield "predictions", json.dumps(data), ", ".join(why)
-        bad = sum(map(_failed, data.get("predictions", [])))
-        if bad and read.get("state", {}).get("phase") == "complete":
-            yield "state", json.dumps(read["state"] | {"phase": "failed", "error": f"{bad} predictions have errors"}), "complete with failed predictions"
-    if "results" in read and _with_bertscore(read["results"].get("metrics")):
-        yield "results", json.dumps(read["results"]), "bertscore"
+            state = json.loads(text)
+        except ValueError:
+            return None
+        return json.dumps(state | {"phase": "failed", "error": f"{n} predictions have errors"}) if state.get("phase") == "complete" else None
+
+    return pd.Series([one(*row) for row in zip(content, bad, strict=True)], dtype=object)
 
 
 def plan_repairs(files: DataFrame) -> DataFrame:
     """The plan (experiment, file, new_experiment, content, reason) that repairs experiments: stale checkpoints go, of predictions of one idx the last stays, the score missing under
-    its own name is set, a complete experiment with failed predictions has failed. content null removes a file. Files that are no JSON are left alone."""
+    its own name is set, a complete experiment with failed predictions has failed. content null removes a file. Files that are no JSON are left alone. Files are looked at one by one, and
+    an experiment's failed predictions are added up over its files."""
 
-    def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        found = _repairs(dict(zip(own["file"], own["content"], strict=True)))
-        return pd.DataFrame([(key[0], file, key[0], content, why) for file, content, why in found], columns=[c.split()[0] for c in PLAN.split(", ")])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for own in batches:
+            found = [(e, f, *_repairs(f, c)) for e, f, c in zip(own["experiment"], own["file"], own["content"], strict=True)]
+            yield pd.DataFrame(found, columns=["experiment", "file", "reason", "content", "bad"])
 
-    return files.groupBy("experiment").applyInPandas(run, PLAN)
+    each = files.mapInPandas(run, "experiment string, file string, reason string, content string, bad long")
+    own = each.filter("reason is not null").select("experiment", "file", F.col("experiment").alias("new_experiment"), "content", "reason")
+    bad = each.groupBy("experiment").agg(F.sum("bad").alias("bad")).filter("bad > 0")
+    states = files.filter("file = 'state'").join(bad, "experiment").withColumn("new", F.pandas_udf(_failed_state, "string")("content", "bad")).filter("new is not null")
+    return own.unionByName(states.select("experiment", "file", F.col("experiment").alias("new_experiment"), F.col("new").alias("content"), F.lit("complete with failed predictions").alias("reason")))
 
 
 def names(files: DataFrame) -> DataFrame:
@@ -143,8 +157,7 @@ def apply(spark: SparkSession, path: str, plan: Callable[[DataFrame], DataFrame]
     new = changes.select("experiment", "file", "new_experiment", F.col("content").alias("new_content"), F.lit(True).alias("changed"))
     both = files.join(new, ["experiment", "file"], "left").filter("changed is null or new_content is not null")
     made = both.select(F.coalesce("new_experiment", "experiment").alias("experiment"), "file", F.coalesce("new_content", "content").alias("content"))
-    register(spark)
-    made.write.format("experiments").option("checked", False).mode("overwrite").save(f"{path}/{version}")
+    write_files(made, f"{path}/{version}", "overwrite", checked=False)
     _swap(path, version)
     return changes
 

@@ -118,8 +118,9 @@ def states(spark: SparkSession, root: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, root: str) -> DataFrame:
-    """(experiment, idx, question, prediction, references, metrics, prompt, retrieved_docs): older files give expected answers and plain scores, and no idx."""
-    rows = _files(spark, root, "predictions.json", f"predictions array<struct<{PREDICTION}>>").select("folder", F.posexplode("predictions").alias("at", "p"))
+    """(experiment, idx, question, prediction, references, metrics, prompt, retrieved_docs): older files give expected answers and plain scores, and no idx. Large
+    ones are in pieces."""
+    rows = _files(spark, root, "predictions{,-[0-9][0-9][0-9][0-9][0-9]*}.json", f"predictions array<struct<{PREDICTION}>>").select("folder", F.posexplode("predictions").alias("at", "p"))
     docs = F.transform("p.doc_scores", lambda s, i: F.struct((i + 1).alias("rank"), F.lit(None).cast("string").alias("doc_id"), F.lit(None).cast("string").alias("content"), s.alias("score")))
     return rows.select(F.col("folder").alias("experiment"), F.coalesce("p.idx", F.col("at").cast("long")).alias("idx"), "p.question", "p.prediction", F.coalesce("p.references", "p.expected").alias("references"), "p.metrics", "p.prompt", F.coalesce("p.retrieved_docs", docs).alias("retrieved_docs"))
 

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from quillmark.plans import migration
 from quillmark.sources import experiments, results
 
 
@@ -64,3 +65,21 @@ def test_append_replaces_files_and_overwrite_removes_experiments(spark, tmp_path
     assert [p.name for p in tmp_path.iterdir()] == ["e2"]
     with pytest.raises(ValueError, match="no part"):
         experiments.study_files()
+
+
+def test_large_predictions_are_pieces(spark, tmp_path, monkeypatch):
+    """Over the bound an experiment's predictions and questions are several files, which all readers join; fewer of them replace them."""
+    monkeypatch.setattr(experiments, "PIECE", 2000)
+    rows = spark.range(300).select(F.when(F.col("id") < 290, "big").otherwise("small").alias("experiment"), F.col("id").alias("idx"), F.lit("q").alias("question"), F.lit("[ERROR: x]").alias("prediction"), F.create_map(F.lit("f1"), F.lit(0.5)).alias("metrics"))
+    states = spark.createDataFrame([("big", "complete")], "experiment string, phase string")
+    experiments.write_study(str(tmp_path), predictions=rows, questions=rows.select("experiment", "idx", "question"), states=states)
+    files = sorted(p.name for p in (tmp_path / "big").glob("predictions*"))
+    assert len(files) > 5 and "predictions.json" in files and max(p.stat().st_size for p in (tmp_path / "big").iterdir()) < 5000
+    assert [p.name for p in (tmp_path / "small").glob("predictions*")] == ["predictions.json"]
+    assert experiments.completed(spark, str(tmp_path)).distinct().count() == 300
+    assert results.item_scores(spark, str(tmp_path)).select("idx").distinct().count() == 300
+    assert experiments.read_part(spark, str(tmp_path), "questions", "count int").agg(F.sum("count")).first()[0] == 300
+    repairs = migration.plan_repairs(experiments.read_files(spark, str(tmp_path))).collect()
+    assert [(r["file"], json.loads(r["content"])["error"]) for r in repairs] == [("state", "290 predictions have errors")]
+    experiments.write_study(str(tmp_path), predictions=rows.filter("idx < 3"))
+    assert [p.name for p in (tmp_path / "big").glob("predictions*")] == ["predictions.json"] and experiments.completed(spark, str(tmp_path)).filter("experiment = 'big'").count() == 3
