@@ -18,6 +18,8 @@ from quillmark.session import spread
 #: BM25 in its Lucene form.
 K1, B = 1.5, 0.75
 MOST_FEATURES = 50_000
+#: Parts of postings to a part of the scan, of 128 MB at most.
+PARTS = 8
 #: Terms that are broadcast at most; 200,000 of some ten bytes.
 MOST_SENT = 200_000
 
@@ -40,6 +42,8 @@ class Postings:
     postings: DataFrame
     terms: DataFrame
     size: DataFrame
+    #: What the three are read off, (doc_id, term, tf, dl, whole), if they are not stored.
+    counted: DataFrame | None = None
 
 
 def _counts(words: Column) -> Column:
@@ -59,6 +63,9 @@ def postings(docs: DataFrame, only: DataFrame | None = None) -> Postings:
 
     A document's terms are counted in its row. Its postings are dealt out by document, once, so that what is summed for each document or each query and document needs no further exchange. Each
     document also gives one row of no term, which carries its length, so that all three parts are read off that one exchange; each part uses all of its columns for that reason."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    # Postings are small against what queries make of them, so parts follow from the size of the texts: by the postings' own size Spark would join them to few, whose tasks grow with the corpus.
+    parts = max(cores, PARTS * docs.rdd.getNumPartitions()) if not docs.isStreaming else cores
     tokened = spread(docs.select("doc_id", "text")).select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
     whole = F.array(F.struct(F.lit("").alias("term"), F.lit(1).cast("long").alias("tf")))
     # No element is ever missing, and of an outer explode Spark infers no filter that would make the tokens once more in the scan.
@@ -67,11 +74,16 @@ def postings(docs: DataFrame, only: DataFrame | None = None) -> Postings:
         wanted = only.select("term").unionByName(docs.sparkSession.createDataFrame([("",)], "term string")).distinct()
         counted = counted.join(_sent(wanted)[0], "term", "left_semi")
     # Dealt by document, so this needs no exchange of its own; what each part takes of it is told above it, not pushed below into exchanges that differ.
-    counted = counted.repartition("doc_id").groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"), F.sum("dl").alias("dl"), F.max(F.col("term") == "").alias("whole"))
+    counted = counted.repartition(parts, "doc_id").groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"), F.sum("dl").alias("dl"), F.max(F.col("term") == "").alias("whole"))
+    return parts_of(counted)
+
+
+def parts_of(rows: DataFrame) -> Postings:
+    """The index whose counted rows are given."""
     of_term = ~F.col("whole") & (F.col("tf") > 0) & (F.col("dl") > 0)
-    size = counted.filter(F.col("whole") & (F.col("tf") > 0) & (F.col("dl") >= 0)).agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n"), (F.sum("dl") / F.sum("tf")).alias("avgdl"))
-    counted = counted.filter(of_term).select("doc_id", "term", "tf", "dl")
-    return Postings(counted, counted.groupBy("term").agg(F.count_if((F.col("tf") > 0) & (F.col("dl") > 0)).alias("df")), size)
+    size = rows.filter(F.col("whole") & (F.col("tf") > 0) & (F.col("dl") >= 0)).agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n"), (F.sum("dl") / F.sum("tf")).alias("avgdl"))
+    own = rows.filter(of_term).select("doc_id", "term", "tf", "dl")
+    return Postings(own, own.groupBy("term").agg(F.count_if((F.col("tf") > 0) & (F.col("dl") > 0)).alias("df")), size, rows)
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -62,6 +63,10 @@ def stored(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """rows in as many partitions as the cluster has cores at least. A file of one row group is one task however large its texts are; a table of many files stays as it is."""
+    """rows in as many partitions as the cluster has cores at least. A file of one row group is one task however large its texts are; a table of many files stays as it is.
+
+    Rows are dealt by hash of all their columns: for a deal without a key Spark sorts all rows of a task first, texts and all, and its memory grows with the file. Rows alike in all columns meet in one task."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.isStreaming or rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+    if rows.isStreaming or rows.rdd.getNumPartitions() >= cores:
+        return rows
+    return rows.withColumn("_dealt", F.xxhash64(*rows.columns)).repartition(cores, "_dealt").drop("_dealt")

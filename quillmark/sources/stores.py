@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.functions.text import text_hash
-from quillmark.operators.sparse import Postings
+from quillmark.operators.sparse import Postings, parts_of
+from quillmark.session import new_folder, stored
 
 
 def save_dense(index: DataFrame, path: str, shards: int | None = None) -> None:
@@ -21,7 +22,9 @@ def load_dense(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_sparse(index: Postings, path: str) -> None:
-    """Postings sorted by term in each file, so a search reads the row groups of its terms."""
+    """Postings sorted by term in each file, so a search reads the row groups of its terms. An index that is not stored is counted once, into a table that all parts are read off."""
+    if index.counted is not None:
+        index = parts_of(stored(index.counted, new_folder(index.counted.sparkSession, "counted")))
     index.postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
     index.terms.write.mode("overwrite").parquet(f"{path}/terms")
     index.size.write.mode("overwrite").parquet(f"{path}/size")

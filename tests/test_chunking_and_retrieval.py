@@ -206,3 +206,36 @@ def test_stop_words_of_a_language(spark):
 def test_counts_in_the_row(spark):
     rows = spark.createDataFrame([(["b", "a", "b", "c", "b"],), ([],), (["x"],)], "w array<string>")
     assert [[tuple(c) for c in r[0]] for r in rows.select(sparse._counts(F.col("w"))).collect()] == [[("a", 1), ("b", 3), ("c", 1)], [], [("x", 1)]]
+
+
+def test_pieces_leave_in_bounded_batches(monkeypatch):
+    """However many documents come at once, a task holds no more than some of their pieces."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(chunking, "HELD", 1000)
+    batch = pa.RecordBatch.from_arrays([pa.array(["a", "b", "c"]), pa.array(["One is here. " * 200, None, "Two. " * 100])], names=["id", "text"])
+    out = list(chunking._rows(lambda t: chunking.sentence(t, 160), 1, None)(iter([batch])))
+    assert len(out) > 2 and max(sum(map(len, b.column(3).to_pylist())) for b in out) < 1200
+    assert sum(b.num_rows for b in out) == len(chunking.sentence("One is here. " * 200, 160)) + len(chunking.sentence("Two. " * 100, 160))
+
+
+def test_postings_are_in_parts_by_size_of_the_texts(spark):
+    """By their own small size they would be joined to few parts; and texts are dealt without a sort of whole rows."""
+    docs = spark.createDataFrame([(1, "red fish"), (2, "blue fish fish")], "doc_id long, text string").coalesce(1)
+    plan = sparse.postings(docs).postings._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "RoundRobin" not in plan, plan
+
+
+def test_a_saved_index_counts_terms_once(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "red fish"), (2, "blue fish fish"), (3, "")], "doc_id long, text string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    stores.save_sparse(sparse.postings(docs.mapInArrow(passed, docs.schema)), str(tmp_path))
+    index = stores.load_sparse(spark, str(tmp_path))
+    assert seen.value == 3
+    assert {tuple(r) for r in index.terms.collect()} == {("red", 1), ("blue", 1), ("fish", 2)} and index.size.first()["n"] == 3 and index.postings.count() == 4
