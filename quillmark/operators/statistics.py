@@ -20,6 +20,8 @@ from quillmark.operators.ranking import average_rank, ranked_columns
 from quillmark.session import new_folder, stored
 
 MOST_VALUES = 5_000_000
+#: Draws of values that one task makes before a test's resamples are dealt into blocks, and blocks of a group at most.
+BLOCK_DRAWS, BLOCKS = 1 << 30, 16
 
 
 def normalize(rows: DataFrame, metric: str, by: str = "dataset", how: str = "zscore") -> DataFrame:
@@ -300,21 +302,38 @@ def paired_bootstrap(pairs: DataFrame, by: str, a: str, b: str, times: int = 10_
     return _bounded(kept, by).groupBy(by).applyInPandas(test, f"{by} string, {_TEST}")
 
 
+def _blocked(rows: DataFrame, by: str, times: int) -> DataFrame:
+    """The rows once for each block of their group's resamples, with columns ``block`` and ``blocks``."""
+    blocks = F.least(F.lit(BLOCKS), F.greatest(F.lit(1), F.ceil(F.count("*") * times / BLOCK_DRAWS))).cast("int").alias("blocks")
+    counts = rows.groupBy(by).agg(blocks)
+    return rows.join(F.broadcast(counts), by).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))  # a row for each group
+
+
 def unpaired_bootstrap(rows: DataFrame, by: str, metric: str, kind: str = "exp_type", first: str = "direct", times: int = 10_000, seed: int = 42) -> DataFrame:
-    """As paired_bootstrap, for the rows of the first kind and the others, resampled each."""
+    """As paired_bootstrap, for the rows of the first kind and the others, resampled each. The resamples of a large group are dealt into blocks, each a task that has all values and a
+    seed of its own; a group of one block has the draws of the seed."""
 
-    def test(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        own = group[kind] == first
-        x, y = _values(group[own], metric), _values(group[~own], metric)
+    def draw(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        block, blocks = int(key[1]), int(group["blocks"].iloc[0])
+        x, y = _values(group[group["own"]], metric), _values(group[~group["own"]], metric)
         if not len(x) or not len(y):
-            return pd.DataFrame([(key[0], None, None, None, None, len(x), len(y))])
-        rng = np.random.default_rng(seed)
-        draws = _resampled(y, times, rng) - _resampled(x, times, rng)
+            return pd.DataFrame([(key[0], None, len(x), len(y), [])])
+        rng = np.random.default_rng(seed if blocks == 1 else [seed, block])
+        many = times * (block + 1) // blocks - times * block // blocks
+        return pd.DataFrame([(key[0], y.mean() - x.mean(), len(x), len(y), _resampled(y, many, rng) - _resampled(x, many, rng))])
+
+    def test(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+        diff, n_a, n_b = parts["diff"].iloc[0], parts["n_a"].iloc[0], parts["n_b"].iloc[0]
+        draws = np.concatenate([np.asarray(d, float) for d in parts["draws"]])
+        if not len(draws):
+            return pd.DataFrame([(key[0], None, None, None, None, n_a, n_b)])
         low, high = np.percentile(draws, [2.5, 97.5])
-        return pd.DataFrame([(key[0], y.mean() - x.mean(), low, high, _p_value(y.mean() - x.mean(), draws), len(x), len(y))])
+        return pd.DataFrame([(key[0], diff, low, high, _p_value(diff, draws), n_a, n_b)])
 
-    kept = rows.select(F.col(by).cast("string").alias(by), kind, F.col(metric).cast("double").alias(metric)).filter(F.col(by).isNotNull())
-    return _bounded(kept, by).groupBy(by).applyInPandas(test, f"{by} string, {_TEST}")
+    own = F.coalesce(F.col(kind) == first, F.lit(False)).alias("own")
+    kept = rows.select(F.col(by).cast("string").alias(by), own, F.col(metric).cast("double").alias(metric)).filter(F.col(by).isNotNull())
+    drawn = _blocked(_bounded(kept, by), by, times).groupBy(by, "block").applyInPandas(draw, f"{by} string, diff double, n_a long, n_b long, draws array<double>")
+    return drawn.groupBy(by).applyInPandas(test, f"{by} string, {_TEST}")
 
 
 def ranking_stability(rows: DataFrame, by: str, metric: str, times: int = 200, seed: int = 42) -> DataFrame:

@@ -191,3 +191,14 @@ def test_feature_importance(rows):
     loaded = rows.withColumn("f1", F.when(F.col("model") == "a", 1.0).otherwise(0.0))
     got = {r["factor"]: r["importance"] for r in st.feature_importance(loaded, ["model", "prompt"], "f1", 10).collect()}
     assert got["model"] > 0.8
+
+
+def test_resamples_of_large_groups_are_dealt(spark, monkeypatch):
+    """Blocks of draws have all values of a group; together they are as many draws, and say what one task says up to the noise of draws."""
+    rows = spark.range(4000).select(F.lit("a").alias("k"), F.when(F.col("id") % 2 == 0, "direct").otherwise("rag").alias("exp_type"), (F.col("id") % 97 + F.col("id") % 2).cast("double").alias("m"))
+    one = st.unpaired_bootstrap(rows, "k", "m", times=1001).first()
+    monkeypatch.setattr(st, "BLOCK_DRAWS", 1_000_000)
+    assert {tuple(r) for r in st._blocked(rows, "k", 1001).groupBy("block").count().collect()} == {(b, 4000) for b in range(5)}
+    many = st.unpaired_bootstrap(rows, "k", "m", times=1001).first()
+    assert (one["diff"], one["n_a"], one["n_b"]) == (many["diff"], many["n_a"], many["n_b"])
+    assert abs(one["low"] - many["low"]) < 0.3 and abs(one["high"] - many["high"]) < 0.3 and abs(one["p"] - many["p"]) < 0.2
