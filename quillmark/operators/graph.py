@@ -1,7 +1,8 @@
 """A proximity graph over dense vectors as a table, and greedy search in it for all queries at once.
 
-The graph is built by rounds: each vector's neighbours, and those that name it one, are compared with each other, and every vector keeps the ``degree`` best it has met. Rounds end
-when few links change. No vector gathers more than twice ``degree`` others, however many name it a neighbour, so a round costs n times degree vectors of shuffle and no task holds
+The first links are the best among vectors that share one of their nearest pivots. Then the graph is built by rounds: each vector's neighbours, and those that name it one, are compared
+with each other, and every vector keeps the ``degree`` best it has met. A round ships only what gathers around vectors that have met someone new, in single precision, as links alone are chosen by it. Rounds end
+when few links change. No vector gathers more than twice ``degree`` others, however many name it a neighbour, so a round costs n times degree vectors of shuffle at most and no task holds
 a hub. An upper level of entries, a sample by hash of ``ENTRIES`` vectors at most, is sent to the tasks; queries begin at their nearest entries.
 
 Search goes in rounds, too: each query's best ``width`` vectors so far are followed to their neighbours, which are scored, until none of them is new.
@@ -25,8 +26,10 @@ from quillmark.session import new_folder, stored
 
 DEGREE, WIDTH = 16, 128
 ENTRIES, STARTS = 4096, 8
-#: Vectors of a bucket of the first links; rounds at most; share of links whose change is few.
-BUCKET, ROUNDS, SETTLED = 64, 12, 0.005
+#: Vectors to a pivot of the first links; pivots at most; nearest pivots whose others a vector meets; vectors that meet in one group at most, about.
+BUCKET, PIVOTS, NEAREST, MOST = 64, 4096, 12, 1024
+#: Rounds at most; share of links whose change is few.
+ROUNDS, SETTLED = 12, 0.005
 SEARCH_ROUNDS = 64
 
 
@@ -49,16 +52,16 @@ _LINK = "a long, b long, s double"
 
 
 def _among(degree: int):
-    """Links (a, b, s) among the vectors of each group [(id, v, least)]: those of a's best that are above its ``least`` score."""
+    """Links (a, b, s) among the vectors of each group [(id, v, least, new)] of which one is new: those of a's best that are above its ``least`` score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for group in batch.column(0):
                 own = group.values
-                ids, v, least = own.field("id").to_numpy(), _matrix(own.field("v")), own.field("least").to_numpy()
+                ids, v, least, new = own.field("id").to_numpy(), _matrix(own.field("v")).astype(np.float64), own.field("least").to_numpy(), own.field("new").to_numpy(zero_copy_only=False)
                 s = np.round(v @ v.T, DIGITS)
-                s[ids[:, None] == ids[None, :]] = -np.inf
+                s[(ids[:, None] == ids[None, :]) | ~(new[:, None] | new[None, :])] = -np.inf
                 if len(ids) > degree + 1:
                     s[s < -np.partition(-s, degree - 1, axis=1)[:, degree - 1 : degree]] = -np.inf
                 i, j = np.nonzero(s > least[:, None])
@@ -69,9 +72,9 @@ def _among(degree: int):
     return run
 
 
-def _grouped(rows: DataFrame, by: str, degree: int) -> DataFrame:
-    """rows: (by, id, v, least)."""
-    return rows.groupBy(by).agg(F.collect_list(F.struct("id", "v", "least")).alias("own")).select("own").mapInArrow(_among(degree), _LINK)
+def _grouped(rows: DataFrame, by: list[str], degree: int) -> DataFrame:
+    """rows: (by, id, v, least, new)."""
+    return rows.groupBy(*by).agg(F.collect_list(F.struct("id", "v", "least", "new")).alias("own")).select("own").mapInArrow(_among(degree), _LINK)
 
 
 def _kept(links: DataFrame, degree: int, by: str = "a") -> DataFrame:
@@ -81,6 +84,26 @@ def _kept(links: DataFrame, degree: int, by: str = "a") -> DataFrame:
     return links.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= degree).drop("r")
 
 
+def _merged(links: DataFrame, degree: int) -> DataFrame:
+    """The ``degree`` best links of each a, each once, by one exchange."""
+    return _kept(links.repartition("a").groupBy("a", "b").agg(F.max("s").alias("s")), degree)
+
+
+def _pivoted(sent):
+    """Each vector's nearest pivots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots = sent.value
+        for batch in batches:
+            v = _matrix(batch.column(1))
+            if len(v):
+                at = np.argpartition(-(v @ pivots.T), min(NEAREST, len(pivots)) - 1, axis=1)[:, :NEAREST]
+                ends = pa.array(np.arange(len(v) + 1, dtype=np.int32) * at.shape[1])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends, pa.array(at.reshape(-1)))], names=["id", "v", "pivots"])
+
+    return run
+
+
 def build(vectors: DataFrame, path: str, degree: int = DEGREE, rounds: int = ROUNDS) -> Graph:
     """The graph of vectors (doc_id, embedding), ids unlike and not null, in the folder ``path``. A vector links to at most ``degree`` others and to as many that name it a neighbour.
     Vectors that are null, empty or hold a null are left out; a single vector has no neighbour."""
@@ -88,27 +111,39 @@ def build(vectors: DataFrame, path: str, degree: int = DEGREE, rounds: int = ROU
     work = new_folder(spark, "graph")
     rows = stored(normal(vectors), f"{work}/vectors")
     n = rows.count()
-    own = rows.select(F.col("doc_id").alias("id"), "v")
-    buckets, none = max(1, n // BUCKET), F.lit(float("-inf")).alias("least")
-    first = [_grouped(own.select(F.pmod(F.xxhash64("id", F.lit(t)), F.lit(buckets)).alias("bucket"), "id", "v", none), "bucket", degree) for t in range(2)]
-    links = stored(_kept(first[0].unionByName(first[1]).distinct(), degree), f"{work}/links-0")
+    first = rows.select("doc_id", "v", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id")
+    pivots = np.array([r["v"] for r in first.limit(min(PIVOTS, max(1, n // BUCKET))).collect()])
+    pivots = np.unique(pivots, axis=0) if len(pivots) else pivots  # copies are one pivot
+    near = rows.select(F.col("doc_id").alias("id"), "v").mapInArrow(_pivoted(spark.sparkContext.broadcast(pivots)), "id long, v array<double>, pivots array<long>")
+    near = stored(near.withColumn("v", F.col("v").cast("array<float>")), f"{work}/near")
+    each = near.select(F.explode("pivots").alias("pivot"))
+    parts = each.groupBy("pivot").agg(F.ceil(F.count("*") / MOST).alias("parts"))  # a row for each pivot
+    none = F.lit(float("-inf"))
+    met = near.select("id", "v", F.explode("pivots").alias("pivot")).join(F.broadcast(parts), "pivot").withColumn("part", F.pmod(F.xxhash64("id", "pivot"), F.col("parts")))
+    met = _grouped(met.select("pivot", "part", "id", "v", none.alias("least"), F.lit(True).alias("new")), ["pivot", "part"], degree)
+    links = stored(_merged(met, degree), f"{work}/links-0")
+    own, before = near.select("id", "v"), None
     for k in range(1, rounds + 1):
         least = links.groupBy("a").agg(F.when(F.count("*") >= degree, F.min("s")).otherwise(float("-inf")).alias("least"))
         back = _kept(links, degree, "b").select(F.col("b").alias("u"), F.col("a").alias("id"))
-        members = links.select(F.col("a").alias("u"), F.col("b").alias("id")).unionByName(back).unionByName(own.select(F.col("id").alias("u"), "id")).distinct()
-        its = own.join(least, own["id"] == least["a"], "left").select("id", "v", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
-        met = _grouped(members.join(its, "id"), "u", degree)
-        new = stored(_kept(links.unionByName(met).distinct(), degree), f"{work}/links-{k}")
+        members = links.select(F.col("a").alias("u"), F.col("b").alias("id")).unionByName(back).unionByName(own.select(F.col("id").alias("u"), "id"))
+        members = stored(members.groupBy("u").agg(F.collect_set("id").alias("ids")), f"{work}/members-{k}")
+        # What has met around a vector before needs no second meeting.
+        known = members.join(before.withColumnRenamed("ids", "old"), "u", "left") if before is not None else members.withColumn("old", F.lit(None).cast("array<long>"))
+        fresh = known.withColumn("unmet", F.array_except("ids", F.coalesce("old", F.array().cast("array<long>")))).filter(F.size("unmet") > 0)
+        asked = fresh.select("u", F.explode("ids").alias("id"), "unmet").select("u", "id", F.array_contains("unmet", F.col("id")).alias("new"))
+        its = own.join(least, own["id"] == least["a"], "left").select("id", "v", F.coalesce("least", none).alias("least"))
+        met = _grouped(asked.join(its, "id"), ["u"], degree)
+        new = stored(_merged(links.unionByName(met), degree), f"{work}/links-{k}")
         changed = new.join(links, ["a", "b"], "left_anti").count()
-        links = new
+        links, before = new, members
         if changed <= SETTLED * n * degree:
             break
     both = links.select("a", "b").unionByName(_kept(links, degree, "b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     near = both.groupBy("a").agg(F.sort_array(F.collect_list("b")).alias("near"))
     nodes = rows.join(near, rows["doc_id"] == near["a"], "left").select("doc_id", "v", F.coalesce("near", F.array().cast("array<long>")).alias("near"))
     stored(nodes, f"{path}/nodes")
-    some = rows.select("doc_id", "v", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(int(min(ENTRIES, max(64, 4 * n**0.5))))
-    stored(some.select("doc_id", "v"), f"{path}/entries")
+    stored(first.limit(int(min(ENTRIES, max(64, 4 * n**0.5)))).select("doc_id", "v"), f"{path}/entries")
     return Graph(spark, path)
 
 

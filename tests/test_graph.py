@@ -40,3 +40,20 @@ def test_odd_vectors(spark):
     assert [tuple(r) for r in graph.search(some, asked, 5).orderBy("rank").collect()] == [(7, 1, 0.707106781, 0), (7, 4, 0.707106781, 1), (7, 3, 0.0, 2)]
     none = graph.build(spark.createDataFrame([], schema), new_folder(spark, "graph"))
     assert graph.search(none, asked).collect() == []
+
+
+def test_first_links_are_near(spark, loose):
+    """One round after the first links finds nine in ten: a table of n vectors needs few rounds, each of which ships up to 33 vectors a vector."""
+    vectors, _ = loose
+    links = graph.build(vectors, new_folder(spark, "graph"), degree=12, rounds=1).nodes().filter("doc_id < 100").select("doc_id", F.explode("near").alias("to"))
+    true = dense.search(dense.build(vectors), vectors.select(F.col("doc_id").alias("query_id"), "embedding").filter("query_id < 100"), 13).filter("query_id <> doc_id")
+    assert links.join(true.select(F.col("query_id").alias("doc_id"), F.col("doc_id").alias("to")), ["doc_id", "to"]).count() >= 0.9 * true.count()
+
+
+def test_vectors_that_have_met_are_not_compared_again():
+    import pyarrow as pa
+
+    own = [{"id": i, "v": [1.0, float(i)], "least": float("-inf"), "new": i == 2} for i in range(4)]
+    kind = pa.list_(pa.struct([("id", pa.int64()), ("v", pa.list_(pa.float32())), ("least", pa.float64()), ("new", pa.bool_())]))
+    (met,) = graph._among(3)(iter([pa.RecordBatch.from_arrays([pa.array([own], kind)], names=["own"])]))
+    assert {(r["a"], r["b"]) for r in met.to_pylist()} == {(0, 2), (1, 2), (3, 2), (2, 0), (2, 1), (2, 3)}
