@@ -63,9 +63,7 @@ def postings(docs: DataFrame, only: DataFrame | None = None) -> Postings:
 
     A document's terms are counted in its row. Its postings are dealt out by document, once, so that what is summed for each document or each query and document needs no further exchange. Each
     document also gives one row of no term, which carries its length, so that all three parts are read off that one exchange; each part uses all of its columns for that reason."""
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    # Postings are small against what queries make of them, so parts follow from the size of the texts: by the postings' own size Spark would join them to few, whose tasks grow with the corpus.
-    parts = max(cores, PARTS * docs.rdd.getNumPartitions()) if not docs.isStreaming else cores
+    parts = _parts(docs)
     tokened = spread(docs.select("doc_id", "text")).select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
     whole = F.array(F.struct(F.lit("").alias("term"), F.lit(1).cast("long").alias("tf")))
     # No element is ever missing, and of an outer explode Spark infers no filter that would make the tokens once more in the scan.
@@ -86,6 +84,19 @@ def parts_of(rows: DataFrame) -> Postings:
     return Postings(own, own.groupBy("term").agg(F.count_if((F.col("tf") > 0) & (F.col("dl") > 0)).alias("df")), size, rows)
 
 
+def _parts(docs: DataFrame) -> int:
+    """Parts follow from the size of the texts: by the size of what is counted Spark would join them to few, whose tasks grow with the corpus."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return max(cores, PARTS * docs.rdd.getNumPartitions()) if not docs.isStreaming else cores
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """(doc_id, term, tf) of all terms, dealt by document: a text is a fraction of its postings, so texts are what is exchanged."""
+    dealt = docs.select("doc_id", "text").repartition(_parts(docs), "doc_id")
+    # Of an outer explode Spark infers no filter that would make the tokens once more in the scan; that no term is null is said here, so that all uses read off one exchange.
+    return dealt.select("doc_id", F.explode_outer(tokens(F.col("text"))).alias("term")).filter("term is not null").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, doc_id, score, rank): the k best documents of each query, ranks from 0, positive scores only. A term that a
     query repeats counts as often."""
@@ -111,24 +122,30 @@ def tfidf(docs: DataFrame, queries: DataFrame, k: int = 10, features: int = MOST
     """(query_id, doc_id, score, rank): cosine of tf-idf vectors over the ``features`` most frequent terms (ties by
     code point) that are no stop words, smoothed idf; positive scores only. stop_words: tokens, or the name of a language.
 
-    The vocabulary has ``features`` rows at most and is broadcast up to MOST_FEATURES, so postings are shuffled once; lengths are sums for each document."""
-    counted = postings(docs).postings
+    Texts are dealt out by document, once, and their terms counted behind that, so lengths and what a query has in a document need no further exchange. The vocabulary has ``features`` rows at most and is
+    broadcast up to MOST_FEATURES, as the queries' terms are up to MOST_SENT; a document's length and those of its terms that a query has come from one pass over its terms."""
+    counted = _counted(docs)
     stop_words = stop_words_of(stop_words) if isinstance(stop_words, str) else stop_words
     if stop_words:
         counted = counted.filter(~F.col("term").isin(*stop_words))
     size = docs.agg(F.count("*").alias("n"))
-    totals = counted.groupBy("term").agg(F.sum("tf").alias("total"), F.count_if((F.col("tf") > 0) & (F.col("dl") > 0)).alias("df"))
-    vocabulary = totals.orderBy(F.desc("total"), "term").limit(features)
+    vocabulary = counted.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(F.desc("total"), "term").limit(features)
     idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
     weighted = vocabulary.crossJoin(F.broadcast(size)).select("term", idf.alias("idf"))  # size is one row
     weighted = F.broadcast(weighted) if features <= MOST_FEATURES else weighted
-    raw = counted.filter("dl > 0").join(weighted, "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    lengths = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    asked = query_terms(queries).join(weighted, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("q"))
+    terms = query_terms(queries)
+    few = _sent(terms)[1]
+    sent = F.broadcast if few else lambda rows: rows
+    asked = terms.join(weighted, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("q"))
     own = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("own"))
-    dots = raw.join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("q")).alias("dot"))
-    scores = dots.join(lengths, "doc_id").join(own, "query_id").select("query_id", "doc_id", (F.col("dot") / F.col("length") / F.col("own")).alias("score"))
-    return top(scores.filter("score > 0"), k)
+    asked = asked.join(sent(own), "query_id").select("query_id", "term", (F.col("q") / F.col("own")).alias("q"))
+    wanted = terms.select("term", F.lit(True).alias("wanted")).distinct()
+    raw = counted.join(weighted, "term").join(sent(wanted), "term", "left").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("w"), "wanted")
+    lengths = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"), F.collect_list(F.when(F.col("wanted"), F.struct("term", "w"))).alias("has"))
+    # Rows without an id count, but are no hits; said so that no filter reaches one of the two uses of the exchange.
+    has = lengths.select("doc_id", "length", F.explode(F.when(F.col("doc_id").isNotNull(), F.col("has"))).alias("h")).select("doc_id", "h.term", (F.col("h.w") / F.col("length")).alias("w"))
+    dots = has.join(sent(asked), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("q")).alias("score"))
+    return top(dots.filter("score > 0"), k)
 
 
 def matched_terms(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:

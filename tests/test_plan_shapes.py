@@ -59,3 +59,17 @@ def test_synergy_reads_its_rows_once(spark):
     rows = bindings.results(spark, "/root/testdata/sf0.001")
     compare.synergy(rows, "model", "retriever", "f1")
     assert "Expand" in plan(compare.synergy(rows, "model", "retriever", "f1"))
+
+
+def test_tfidf_exchanges_texts_not_postings(spark, table):
+    docs, asked = table("documents").select("doc_id", "text"), table("benchmark").select(F.col("item_id").alias("query_id"), "text")
+    below = plan(sparse.tfidf(docs, asked)).split(", REPARTITION")[1:]
+    assert below and all("Generate" not in x[: x.index("Scan")] for x in below)
+
+
+def test_tfidf_of_rows_that_share_an_id(spark):
+    docs = spark.createDataFrame([(1, "aa bb"), (1, "aa cc"), (2, "bb bb dd"), (3, None), (None, "dd")], "doc_id long, text string")
+    merged = spark.createDataFrame([(1, "aa bb aa cc"), (2, "bb bb dd"), (3, ""), (None, "dd"), (4, None)], "doc_id long, text string")  # as many rows
+    asked = spark.createDataFrame([(0, "aa bb bb"), (1, "dd zz"), (2, None)], "query_id long, text string")
+    found, same = ([tuple(r) for r in sparse.tfidf(x, asked).orderBy("query_id", "rank").collect()] for x in (docs, merged))
+    assert found == same and [(q, d) for q, d, *_ in found] == [(0, 2), (0, 1), (1, 2)]  # rows without an id are no hits
