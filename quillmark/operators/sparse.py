@@ -22,6 +22,8 @@ MOST_FEATURES = 50_000
 PARTS = 8
 #: Terms that are broadcast at most; 200,000 of some ten bytes.
 MOST_SENT = 200_000
+#: Terms that are looked for in the row at most.
+MOST_PICKED = 20_000
 
 
 def _sent(terms: DataFrame) -> tuple[DataFrame, bool]:
@@ -57,6 +59,15 @@ def _counts(words: Column) -> Column:
     return F.when(F.size(words) > 0, let(F.sort_array(words), runs)).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
 
 
+def _picked(only: DataFrame) -> Column:
+    """Of the column tokens those in ``only`` (term), so that the rest is not sorted and counted in vain; all of them if ``only`` has over MOST_PICKED terms. The join with ``only`` decides."""
+    terms = [r["term"] for r in only.select("term").distinct().limit(MOST_PICKED + 1).collect()]
+    if not terms or len(terms) > MOST_PICKED:
+        return F.col("tokens")
+    terms = [t for t in terms if t and "'" not in t and "\\" not in t]  # tokens have neither
+    return F.expr(f"filter(tokens, t -> t in ('', {', '.join(f"'{t}'" for t in terms)}))") if terms else F.array().cast("array<string>")
+
+
 def postings(docs: DataFrame, only: DataFrame | None = None) -> Postings:
     """Index of documents (doc_id, text); of the terms in ``only`` (term), if it is given. Documents without tokens count in n and avgdl. Rows that share an id
     count as a document each in n and avgdl, and as one in the postings, of the lengths of those that have the term.
@@ -67,9 +78,10 @@ def postings(docs: DataFrame, only: DataFrame | None = None) -> Postings:
     tokened = spread(docs.select("doc_id", "text")).select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
     whole = F.array(F.struct(F.lit("").alias("term"), F.lit(1).cast("long").alias("tf")))
     # No element is ever missing, and of an outer explode Spark infers no filter that would make the tokens once more in the scan.
-    counted = tokened.select("doc_id", F.size("tokens").alias("dl"), F.explode_outer(F.concat(whole, _counts(F.col("tokens")))).alias("c")).select("doc_id", "dl", "c.term", "c.tf")
+    kept = F.col("tokens") if only is None else _picked(only)
+    counted = tokened.select("doc_id", F.size("tokens").alias("dl"), F.explode_outer(F.concat(whole, _counts(kept))).alias("c")).select("doc_id", "dl", "c.term", "c.tf")
     if only is not None:
-        wanted = only.select("term").unionByName(docs.sparkSession.createDataFrame([("",)], "term string")).distinct()
+        wanted = only.select("term").unionByName(docs.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
         counted = counted.join(_sent(wanted)[0], "term", "left_semi")
     # Dealt by document, so this needs no exchange of its own; what each part takes of it is told above it, not pushed below into exchanges that differ.
     counted = counted.repartition(parts, "doc_id").groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"), F.sum("dl").alias("dl"), F.max(F.col("term") == "").alias("whole"))

@@ -73,3 +73,13 @@ def test_tfidf_of_rows_that_share_an_id(spark):
     asked = spark.createDataFrame([(0, "aa bb bb"), (1, "dd zz"), (2, None)], "query_id long, text string")
     found, same = ([tuple(r) for r in sparse.tfidf(x, asked).orderBy("query_id", "rank").collect()] for x in (docs, merged))
     assert found == same and [(q, d) for q, d, *_ in found] == [(0, 2), (0, 1), (1, 2)]  # rows without an id are no hits
+
+
+def test_asked_terms_are_picked_before_they_are_counted(spark, table, monkeypatch):
+    docs, asked = table("documents").select("doc_id", "text"), table("benchmark").select(F.col("item_id").alias("query_id"), "text")
+    picked = sparse.bm25(docs, asked, 3)
+    lines = [x for x in plan(picked).splitlines() if "sort_array" in x]
+    assert lines and all("filter(" in x and "IN" in x for x in lines)
+    found = sorted(map(tuple, picked.collect()))
+    monkeypatch.setattr(sparse, "MOST_PICKED", 1)  # more terms than are picked
+    assert found == sorted(map(tuple, sparse.bm25(docs, asked, 3).collect()))
