@@ -3,6 +3,7 @@
 What SQL can say is expressions; resampling runs in numpy for each group, seeded by the group alone, so results do not depend on how
 rows are dealt. A group's values for a resampling test are those of one comparison and are gathered in one task: such groups hold an
 experiment's questions or configurations, not a corpus. ``MOST_VALUES`` is checked; beyond it use the normal approximations here.
+``unpaired_bootstrap`` has no such limit: the values of its largest groups are counted and their resamples drawn in chunks of values.
 """
 
 from __future__ import annotations
@@ -22,6 +23,10 @@ from quillmark.session import new_folder, stored
 MOST_VALUES = 5_000_000
 #: Draws of values that one task makes before a test's resamples are dealt into blocks, and blocks of a group at most.
 BLOCK_DRAWS, BLOCKS = 1 << 30, 16
+#: Values that come more often in a group drawn in chunks have their number in a resample drawn at once, which takes as long as some twenty draws.
+OFTEN = 20
+#: Other values are drawn from pieces of so many, which stay in a core's cache.
+PIECE = 1 << 14
 
 
 def normalize(rows: DataFrame, metric: str, by: str = "dataset", how: str = "zscore") -> DataFrame:
@@ -309,9 +314,70 @@ def _blocked(rows: DataFrame, by: str, times: int) -> DataFrame:
     return rows.join(F.broadcast(counts), by).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))  # a row for each group
 
 
+def _dealt(totals: np.ndarray, chunk: int, times: int, seed: list[int]) -> np.ndarray:
+    """How many draws of each resample fall to one of the chunks that have so many values. Halves are told apart by a binomial number seeded by the half, so tasks agree without meeting."""
+    low, high, many = 0, len(totals), np.full(times, totals.sum())
+    while high - low > 1:
+        mid = (low + high) // 2
+        left = np.random.default_rng([*seed, low, high]).binomial(many, totals[low:mid].sum() / totals[low:high].sum())
+        low, high, many = (low, mid, left) if chunk < mid else (mid, high, many - left)
+    return many
+
+
+def _sums(values: np.ndarray, counts: np.ndarray, many: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Sums of so many draws of values that come so often, for each resample."""
+    sums, total, often = np.zeros(len(many)), counts.sum(), counts > OFTEN
+    for value, n in zip(values[often], counts[often], strict=True):
+        k = rng.binomial(many, n / total)
+        sums[k > 0] += k[k > 0] * value  # an infinite value that is not drawn adds nothing
+        many, total = many - k, total - n
+    rest = np.repeat(values[~often], counts[~often])
+    for at in range(0, len(rest), PIECE):
+        piece = rest[at : at + PIECE]
+        own = rng.binomial(many, len(piece) / (len(rest) - at))
+        sums += [piece[rng.integers(0, len(piece), k)].sum() for k in own]
+        many = many - own
+    return sums
+
+
+def _unpaired_in_chunks(kept: DataFrame, by: str, metric: str, keys: list[str], times: int, seed: int) -> DataFrame:
+    """unpaired_bootstrap of the groups with these keys, whatever their size. Equal values are counted where they are; a chunk of a side's distinct values, of about BLOCK_DRAWS draws, is a task.
+    A resample's draws are dealt to the chunks by multinomial numbers and drawn in each, which is a resample of all values."""
+    spark = kept.sparkSession
+    valued = kept.select(F.col(by).alias("g"), "own", F.col(metric).alias("value")).filter(F.col("g").isin(keys) & F.col("value").isNotNull() & ~F.isnan("value"))
+    counted = stored(valued.groupBy("g", "own", "value").agg(F.count("*").alias("n")), new_folder(spark, "counts"))
+    chunks = F.ceil(F.sum(F.least("n", F.lit(OFTEN))) * max(times, 1024) / BLOCK_DRAWS).alias("chunks")  # of 2^20 values at most
+    dealt = counted.join(F.broadcast(counted.groupBy("g", "own").agg(chunks)), ["g", "own"]).withColumn("chunk", F.pmod(F.xxhash64("value"), "chunks"))  # a row for each side of a group
+    totals: dict[tuple[str, bool], np.ndarray] = {}
+    for r in dealt.groupBy("g", "own", "chunks", "chunk").agg(F.sum("n").alias("n")).collect():  # a row for each task to come
+        totals.setdefault((r["g"], r["own"]), np.zeros(r["chunks"], np.int64))[r["chunk"]] = r["n"]
+    sizes = {g: tuple(int(totals[g, own].sum()) if (g, own) in totals else 0 for own in (True, False)) for g in keys}
+
+    def draw(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        g, own, chunk = str(key[0]), bool(key[1]), int(key[2])
+        part, own_seed = part.sort_values("value"), [seed, _seed(g), int(own)]
+        values, counts = part["value"].to_numpy(np.float64), part["n"].to_numpy(np.int64)
+        sums = _sums(values, counts, _dealt(totals[g, own], chunk, times, own_seed), np.random.default_rng([*own_seed, chunk]))
+        return pd.DataFrame({"g": g, "own": own, "draw": np.arange(-1, times), "s": np.append(values @ counts, sums)})  # first that of the values themselves
+
+    def test(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        n_a, n_b = sizes[str(key[0])]
+        x, y = (rows[rows["own"] == own].sort_values("draw")["s"].to_numpy() / n for own, n in ((True, n_a), (False, n_b)))
+        diff, draws = y[0] - x[0], y[1:] - x[1:]
+        low, high = np.percentile(draws, [2.5, 97.5])
+        return pd.DataFrame([(key[0], diff, low, high, _p_value(diff, draws), n_a, n_b)])
+
+    both = [g for g in keys if min(sizes[g]) > 0]
+    tasks = 2 * max(1, sum(len(t) for (g, _), t in totals.items() if g in both))  # few chunks meet in one
+    drawn = dealt.filter(F.col("g").isin(both)).repartition(tasks, "g", "own", "chunk").groupBy("g", "own", "chunk").applyInPandas(draw, "g string, own boolean, draw int, s double")
+    added = F.aggregate(F.array_sort(F.collect_list("s")), F.lit(0.0), lambda a, s: a + s).alias("s")  # in one order, however they come
+    tested = drawn.groupBy("g", "own", "draw").agg(added).groupBy("g").applyInPandas(test, f"`{by}` string, {_TEST}")
+    return tested.union(spark.createDataFrame([(g, None, None, None, None, *sizes[g]) for g in keys if g not in both], tested.schema))
+
+
 def unpaired_bootstrap(rows: DataFrame, by: str, metric: str, kind: str = "exp_type", first: str = "direct", times: int = 10_000, seed: int = 42) -> DataFrame:
     """As paired_bootstrap, for the rows of the first kind and the others, resampled each. The resamples of a large group are dealt into blocks, each a task that has all values and a
-    seed of its own; a group of one block has the draws of the seed."""
+    seed of its own; a group of one block has the draws of the seed. Groups of over MOST_VALUES, or of more than BLOCKS blocks, are counted and drawn in chunks of their values."""
 
     def draw(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         block, blocks = int(key[1]), int(group["blocks"].iloc[0])
@@ -332,8 +398,11 @@ def unpaired_bootstrap(rows: DataFrame, by: str, metric: str, kind: str = "exp_t
 
     own = F.coalesce(F.col(kind) == first, F.lit(False)).alias("own")
     kept = rows.select(F.col(by).cast("string").alias(by), own, F.col(metric).cast("double").alias(metric)).filter(F.col(by).isNotNull())
-    drawn = _blocked(_bounded(kept, by), by, times).groupBy(by, "block").applyInPandas(draw, f"{by} string, diff double, n_a long, n_b long, draws array<double>")
-    return drawn.groupBy(by).applyInPandas(test, f"{by} string, {_TEST}")
+    large = [r[0] for r in kept.groupBy(by).agg(F.count("*").alias("n")).filter((F.col("n") > MOST_VALUES) | (F.col("n") * times > BLOCKS * BLOCK_DRAWS)).select(by).collect()]
+    few = kept.filter(~F.col(by).isin(large)) if large else kept
+    drawn = _blocked(few, by, times).groupBy(by, "block").applyInPandas(draw, f"{by} string, diff double, n_a long, n_b long, draws array<double>")
+    tested = drawn.groupBy(by).applyInPandas(test, f"{by} string, {_TEST}")
+    return tested.union(_unpaired_in_chunks(kept, by, metric, large, times, seed)) if large else tested
 
 
 def ranking_stability(rows: DataFrame, by: str, metric: str, times: int = 200, seed: int = 42) -> DataFrame:

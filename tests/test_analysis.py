@@ -202,3 +202,39 @@ def test_resamples_of_large_groups_are_dealt(spark, monkeypatch):
     many = st.unpaired_bootstrap(rows, "k", "m", times=1001).first()
     assert (one["diff"], one["n_a"], one["n_b"]) == (many["diff"], many["n_a"], many["n_b"])
     assert abs(one["low"] - many["low"]) < 0.3 and abs(one["high"] - many["high"]) < 0.3 and abs(one["p"] - many["p"]) < 0.2
+
+
+def test_groups_of_any_size_are_resampled(spark, monkeypatch):
+    """Groups over the limit are drawn in chunks of their values: as one task says up to the noise of draws, however rows are dealt, with null figures where a side is empty; other groups keep their draws."""
+    cycle = F.when(F.col("id") % 3 == 0, F.col("id") / 41).otherwise(F.col("id") % 97)  # values that come once and values that come often
+    rows = spark.range(4000).select(F.lit("a").alias("k"), F.when(F.col("id") % 4 == 0, "direct").otherwise("rag").alias("exp_type"), (cycle + F.col("id") % 2).cast("double").alias("m"))
+    rows = rows.union(rows.limit(50).withColumn("k", F.lit("small"))).union(rows.filter("exp_type = 'rag'").withColumn("k", F.lit("rag only"))).union(rows.select(F.lit("no value"), "exp_type", F.lit(None).cast("double")))
+    rows = rows.union(spark.createDataFrame([("a", "rag", float("nan")), ("a", "direct", None), (None, "rag", 1.0)], "k string, exp_type string, m double")).cache()
+    of = lambda: {r["k"]: tuple(r)[1:] for r in st.unpaired_bootstrap(rows, "k", "m", times=4000).collect()}
+    want = of()
+    monkeypatch.setattr(st, "MOST_VALUES", 2000)
+    for block in (1 << 30, 1_000_000):  # a chunk, and dozens
+        monkeypatch.setattr(st, "BLOCK_DRAWS", block)
+        got = of()
+        assert set(got) == set(want) and got["rag only"] == want["rag only"] == (None, None, None, None, 0, 3000) and got["no value"] == want["no value"] == (None, None, None, None, 0, 0)
+        assert got["small"] == want["small"] and got["a"][4:] == want["a"][4:] == (1000, 3000)
+        assert got["a"][0] == pytest.approx(want["a"][0], abs=1e-9) and got["a"][1:3] != want["a"][1:3]  # drawn another way
+        spread = want["a"][2] - want["a"][1]
+        assert got["a"][1:3] == pytest.approx(want["a"][1:3], abs=0.06 * spread) and got["a"][3] == pytest.approx(want["a"][3], abs=0.06)
+    rows = rows.repartition(7, "m")
+    assert of() == got
+
+
+def test_chunks_make_whole_resamples(monkeypatch):
+    """The draws of a resample that fall to chunks add up, spread as multinomial numbers do, and give sums of the variance of draws; an infinite value counts where it is drawn."""
+    monkeypatch.setattr(st, "PIECE", 8)
+    totals, rng = np.array([5000, 0, 2000, 1000, 2000]), np.random.default_rng(1)
+    many = np.stack([st._dealt(totals, k, 20_000, [42, 7, 1]) for k in (0, 2, 3, 4)])
+    assert (many.sum(axis=0) == 10_000).all() and (st._dealt(totals, 3, 20_000, [42, 7, 1]) == many[2]).all()
+    share = np.array([0.5, 0.2, 0.1, 0.2])
+    assert np.allclose(many.mean(axis=1), 10_000 * share, atol=2) and np.allclose(np.cov(many), 10_000 * (np.diag(share) - np.outer(share, share)), atol=80)
+    values, counts = np.arange(60.0), np.where(np.arange(60) % 2, 1, 40)  # some are drawn one by one, some by number
+    sums, all_values = st._sums(values, counts, np.full(20_000, 500), rng), np.repeat(values, counts)
+    assert sums.mean() == pytest.approx(500 * all_values.mean(), rel=0.001) and sums.var() == pytest.approx(500 * all_values.var(), rel=0.05)
+    held = st._sums(np.array([1.0, np.inf]), np.array([1000, 30]), np.full(500, 10), rng)
+    assert not np.isnan(held).any() and 0.6 < np.mean(held == 10) < 0.9 and np.isinf(held).any()
